@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_roundtrip
 from .common import load
+from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .sharding import shard_documents
+from .simhash import near_duplicates
 from .token_store import token_store
+from .url_filter import judge_urls, rule_table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +24,61 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(load(spark, sf_dir, "documents"))
 
 
+def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(load(spark, sf_dir, "documents"), shards=16)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(load(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_token_store, op10_bpe)
+    f.__name__: f for f in (
+        op1_packing,
+        op2_token_store,
+        op6_ring_sharding,
+        op7_url_filter,
+        op8_simhash,
+        op9_exact_dedup,
+        op10_bpe,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": r"""
+        WITH parts AS (
+            SELECT row_number() OVER () AS n, page_id,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+            FROM pages),
+        rules(verdict, rule_host, rule_path) AS (VALUES
+            ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+            ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fits AS (
+            SELECT n, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC) AS k
+            FROM parts JOIN rules
+              ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN fits ON parts.n = fits.n AND k = 1""",
+    "op9_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = min(doc_id) OVER g AND row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept,
+               sha256(body) AS text_sha256
+        FROM t WINDOW g AS (PARTITION BY body)""",
+}
