@@ -6,7 +6,9 @@ white-space separated chunks in a row. Each worker process keeps the chunks it h
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from array import array
 from functools import lru_cache
 
@@ -14,12 +16,16 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
+
 VOCABULARY = "word_bpe_49k.json"
 
-#: A chunk that ends in a letter or digit and then ASCII punctuation without an apostrophe:
-#: the punctuation is a piece of its own, so both parts can be encoded apart.
-_TAIL = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?|()\"*%$#&-]+)", re.S)
-_SEPARATOR = "|"
+#: Punctuation that ends a word is a piece of its own (no apostrophe: it starts contractions).
+_TAIL = b".,;:!?|()\"*%$#&-"
+#: Words of lower-case ASCII letters and Latin-1 letters only are one piece, already composed.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_ENDS_WORD = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
 _LONG = 64
 
 
@@ -36,65 +42,53 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, memory: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
+        letters = {c: chr(c) for c in range(ord("a"), ord("z") + 1)}
+        # the byte-level characters of Latin-1 letters, asked from the library once
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        latin = {c: split(chr(c))[0][0] for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
+        self.spelling = letters | latin
         self.memory = memory
         self.known: dict[bytes, bytes] = {}
-        self.separator = self._whole(_SEPARATOR)
-        if len(self.separator) != 4:
-            raise ValueError("the separator must be one id")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that are not known yet; returns those too long or odd to be kept."""
-        known, parts, words, apart = self.known, [], set(), {}
-        for chunk in chunks:
-            if len(chunk) > _LONG:
-                apart[chunk] = self._whole(chunk.decode())
-            elif (m := _TAIL.fullmatch(chunk)) is not None:
-                parts.append((chunk, *m.groups()))
-                words.update(w for w in m.groups() if w not in known)
+    def _chunk(self, chunk: bytes) -> bytes:
+        """Ids of one chunk, by its parts where they are sure to be pieces of their own."""
+        ids = self.known.get(chunk)
+        if ids is not None:
+            return ids
+        if _WORD.fullmatch(chunk):
+            word = chunk.decode().lower().translate(self.spelling)
+            ids = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        else:
+            head = chunk.rstrip(_TAIL)
+            if head and len(head) < len(chunk) and _ENDS_WORD.search(head):
+                ids = self._chunk(head) + self._chunk(chunk[len(head) :])
             else:
-                words.add(chunk)
-        lone = [w for w in words if b"|" in w]
-        joined = [w for w in words if b"|" not in w]
-        for w in lone:
-            known[w] = self._whole(w.decode())
-        for i in range(0, len(joined), 4096):
-            some = joined[i : i + 4096]
-            text = f" {_SEPARATOR} ".join(w.decode() for w in some)
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.separator, "<u4")[0]).tolist()
-            if len(ends) != len(some) - 1:
-                raise ValueError("a chunk holds the separator")
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(some, [*ends, len(ids)]):
-                known[w] = raw[4 * begin : 4 * end]
-                begin = end + 1
-        for chunk, head, tail in parts:
-            known[chunk] = known[head] + known[tail]
-        return apart
+                ids = self._whole(chunk.decode())
+        if len(chunk) <= _LONG:
+            self.known[chunk] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.memory:
             self.known.clear()
-        rows: list[list[bytes] | None] = [
-            None if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower().split() for t in texts
-        ]
-        new = set().union(*(r for r in rows if r is not None)) - self.known.keys()
-        apart = self._learn(new) if new else {}
-        known = self.known.__getitem__
-        out = []
-        for text, row in zip(texts, rows):
-            if row is None:
+        known, out = self.known.get, []
+        for text in texts:
+            if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
                 out.append(self._whole(text.decode()))
-            elif apart and not apart.keys().isdisjoint(row):
-                out.append(b"".join(apart[c] if c in apart else known(c) for c in row))
-            else:
-                out.append(b"".join(map(known, row)))
+                continue
+            chunks = text.lower().split()
+            found = list(map(known, chunks))
+            if None in found:
+                found = [self._chunk(c) if f is None else f for c, f in zip(chunks, found)]
+            out.append(b"".join(found))
         return out
 
 
