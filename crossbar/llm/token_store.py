@@ -31,7 +31,7 @@ from .tokens import encoder, little_blocks, vocabulary_path
 
 MAGIC, VERSION, HEADER = 0x31444853544F4B, 1, 8
 MANIFEST = "shard int, path string, n_rows bigint, n_ids bigint"
-ROWS = "shard int, doc_id bigint, row_in_shard bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
+ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int, row_in_shard bigint"
 
 
 def _mix(keys: np.ndarray, seed) -> np.ndarray:
@@ -212,7 +212,7 @@ def write_token_shards(
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist()):
+        for number, path, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "path", "base"))):
             shard = Shard(_read(path))
             at = shard.rows_of(shard.keys)
             at[: shard.nulls] = 0
@@ -228,14 +228,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc = [zlib.crc32(shard.ids(r).astype("<u4").tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number] * len(rows), pa.int32()),
                         pa.array([None if r < shard.nulls else int(shard.keys[r]) for r in rows], pa.int64()),
-                        pa.array(list(rows), pa.int64()),
-                        pa.array(shard.bounds[a : a + len(rows)], pa.int64()),
+                        pa.array(base + shard.bounds[a : a + len(rows)], pa.int64()),
                         pa.array(np.diff(shard.bounds[a : a + len(rows) + 1]), pa.int64()),
                         pa.array(crc, pa.int64()),
+                        pa.array([number] * len(rows), pa.int32()),
+                        pa.array(list(rows), pa.int64()),
                     ],
-                    names=["shard", "doc_id", "row_in_shard", "local_start", "n_tokens", "ids_crc32"],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "row_in_shard"],
                 )
 
 
@@ -247,12 +247,9 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
     """
     spark = prepare(manifest.sparkSession)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    based = manifest.select("shard", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = manifest.select("shard", "path").repartition(parts, "shard").mapInArrow(_reader, ROWS)
-    return rows.join(bases, "shard").select(
-        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard", "row_in_shard"
-    )
+    return based.repartition(parts, "shard").mapInArrow(_reader, ROWS)
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: list[int]) -> dict[int, list[int]]:
