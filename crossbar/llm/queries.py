@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_roundtrip
 from .common import load
 from .exact_dedup import exact_dedup
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_store import token_store
 from .url_filter import judge_urls, rule_table
+from .vptree import nearest
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,15 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(load(spark, sf_dir, "documents"))
 
 
+def op3_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(load(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(load(spark, sf_dir, "documents"))
+    return found.drop("places")
+
+
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"), shards=16)
 
@@ -48,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing,
         op2_token_store,
+        op3_vantage_point,
+        op4_license_scan,
         op6_ring_sharding,
         op7_url_filter,
         op8_simhash,
