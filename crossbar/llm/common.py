@@ -67,3 +67,40 @@ def cut(df: DataFrame) -> DataFrame:
 def documents_view(docs: DataFrame) -> DataFrame:
     """Only what the operators read: ``doc_id`` and ``text`` with null as the empty text."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+#: Name of the text key that ``drop_rows`` expects beside doc_id.
+DROP_KEY = "__text_key"
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (with DROP_KEY) without those in ``dropped``, and one row for a key of ``kept``.
+
+    Both have (doc_id, text key). Only rows that a bounded Bloom filter of the dropped keys passes go
+    through the exact join, so the texts of the others are never shuffled.
+    """
+    from . import bloom
+
+    folder = fresh_path(docs.sparkSession, "dropped")
+    schema = "drop_id bigint, drop_key " + docs.schema[DROP_KEY].dataType.simpleString()
+    names = ["drop_id", "drop_key"]
+    dropped.toDF(*names).distinct().write.parquet(f"{folder}/keys")
+    keys = docs.sparkSession.read.schema(schema).parquet(f"{folder}/keys")
+    blocks = bloom.block_count(keys.count())
+    same = lambda a, b: F.xxhash64(F.coalesce(a.cast("string"), F.lit("null")), b)
+    words = bloom.build(keys.withColumn("k", same(F.col("drop_id"), F.col("drop_key"))), "k", blocks)
+    probe = same(docs["doc_id"].cast("bigint"), docs[DROP_KEY])
+    flagged = bloom.possible(docs, probe, words, blocks, "__maybe")
+    sure = flagged.where("not __maybe").drop("__maybe")
+    maybe = flagged.where("__maybe").drop("__maybe")
+    match = maybe["doc_id"].cast("bigint").eqNullSafe(keys["drop_id"]) & (maybe[DROP_KEY] == keys["drop_key"])
+    left = sure.unionByName(maybe.join(keys, match, "left_anti"))
+    # keys that stay but stand in several rows: usually none
+    again = kept.toDF(*names).groupBy(*names).count().where("count > 1").drop("count")
+    again.write.parquet(f"{folder}/again")
+    again = docs.sparkSession.read.schema(schema).parquet(f"{folder}/again")
+    if not again.isEmpty():
+        match = left["doc_id"].cast("bigint").eqNullSafe(again["drop_id"]) & (left[DROP_KEY] == again["drop_key"])
+        once = left.join(again, match, "left_semi").dropDuplicates(["doc_id", DROP_KEY])
+        left = left.join(again, match, "left_anti").unionByName(once)
+    return left.drop(DROP_KEY)

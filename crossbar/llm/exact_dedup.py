@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import fresh_path, prepare
+from .common import DROP_KEY, drop_rows, fresh_path, materialize, prepare
 
 #: A digest with more than this share of the rows is hot; so there are at most as many hot digests.
 HOT_SHARE = 512
@@ -108,3 +108,15 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     several = found.where(candidate & (F.col("group_size") > 1)).withColumn("kept", F.row_number().over(first) == 1)
     others = found.where(~(candidate & (F.col("group_size") > 1))).withColumn("kept", F.col("group_size") == 1)
     return others.unionByName(several).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each set of equal texts, all columns as they are."""
+    found = materialize(exact_dedup(docs), "exact-duplicates")
+    keyed = docs.withColumn(DROP_KEY, F.sha2(normalised(F.col("text")), 256))
+    here = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return drop_rows(
+        keyed,
+        found.where(~F.col("kept") & ~here).select("doc_id", "text_sha256"),
+        found.where(here).select("doc_id", "text_sha256"),
+    )

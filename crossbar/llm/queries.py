@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_store import token_store
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import judge_urls, rule_table
 from .vptree import nearest
 
@@ -35,6 +36,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("places")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
+
+
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"), shards=16)
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_store,
         op3_vantage_point,
         op4_license_scan,
+        op5_toxicity,
         op6_ring_sharding,
         op7_url_filter,
         op8_simhash,

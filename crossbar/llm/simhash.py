@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents_view, materialize, prepare
+from .common import DROP_KEY, cut, documents_view, drop_rows, materialize, prepare
 
 SEED = 42
 CELL = 4096
@@ -58,15 +58,17 @@ def _fingerprints(words: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             prints = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "bits"])
+            cols = [batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "bits", "text_hash"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and bits (the fingerprint as a signed 64-bit integer) of every row."""
+    """doc_id, bits (the fingerprint as a signed 64-bit integer) and a hash of the text of every row."""
     prepare(docs.sparkSession)
-    return documents_view(docs).mapInArrow(_fingerprints(words), "doc_id bigint, bits bigint")
+    view = documents_view(docs).withColumn("text_hash", F.xxhash64("text"))
+    return view.mapInArrow(_fingerprints(words), "doc_id bigint, bits bigint, text_hash bigint")
 
 
 # --- the tree -----------------------------------------------------------------------------------------
@@ -260,28 +262,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row.
+    """doc_id, fingerprint (16 hex digits), component_id, text_hash, kept of every row.
+
+    ``kept`` marks one text of each component: that of its smallest doc_id, then of the smallest hash.
 
     Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts
     with fewer words than a shingle are one shingle; equal fingerprints are one component; repeated rows
-    each get their row; rows with a null doc_id take part, and a component of null doc_ids only has a null
-    component_id; an empty table gives no rows; other columns are never read.
+    each get their row (and share ``kept``); rows with a null doc_id take part, and a component of null
+    doc_ids only has a null component_id; an empty table gives no rows; other columns are never read.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    classes = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    # a node number per distinct fingerprint: its smallest doc_id, or the bits where doc_ids repeat or lack
-    distinct = materialize(classes.select("bits", "least", F.col("bits").alias("node")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    # a distinct fingerprint is its own node number; what names a component is put on at the end
+    distinct = materialize(prints.groupBy("bits").agg(first.alias("least")).withColumn("node", F.col("bits")), "classes")
     found = components(link_edges(distinct.select("node", "bits"), k))
-    # components come as the smallest node; what is asked for is the smallest doc_id
     member = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     labelled = distinct.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.select("bits", "component").join(smallest, "component").select("bits", "component_id")
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("least"))
+    named = labelled.select("bits", "component").join(smallest, "component").select("bits", "least")
     total = max(1, prints.count() // 512)
     hot = F.broadcast(prints.groupBy("bits").count().where(F.col("count") > total).select("bits").join(named, "bits"))
-    first = prints.join(hot, "bits", "left")  # at most 512 hot fingerprints
-    return (
-        first.where("component_id is not null")
-        .unionByName(first.where("component_id is null").drop("component_id").join(named, "bits"))
-        .select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = prints.join(hot, "bits", "left")  # at most 512 hot fingerprints
+    every = joined.where("least is not null").unionByName(joined.where("least is null").drop("least").join(named, "bits"))
+    return every.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+        F.col("least.doc_id").alias("component_id"),
+        "text_hash",
+        (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
+    """``docs`` with one document of each component, all columns as they are."""
+    found = materialize(near_duplicates(docs, k, words), "near-duplicates")
+    hashed = docs.withColumn(DROP_KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return drop_rows(hashed, found.where("not kept").select("doc_id", "text_hash"), found.where("kept").select("doc_id", "text_hash"))
