@@ -201,7 +201,7 @@ def link_edges(prints: DataFrame, k: int = 2, cell: int = CELL, block: int = BLO
         "part", "cell", F.ceil(F.col("n") / F.lit(block / 2)).cast("int").alias("blocks")
     )
     crowd = materialize(crowded, "crowded")
-    step = F.transform(F.sequence(F.lit(1), F.lit(MARKS - 1)), lambda x: x / float(MARKS))
+    step = [i / MARKS for i in range(1, MARKS)]
     is_crowded = not crowd.isEmpty()
     out = "u bigint, v bigint"
     if not is_crowded:
