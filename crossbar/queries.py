@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions import scalar as s
 from .operators import cross as x
 from .operators import series as t
+from .plans import catalogue
 from .plans import components as c
 from .plans.components import COMPONENTS, f1, f2, f3, f4, f5, f6, market, price, residual, sd20, sd60, target
 from .plans.expr import Node, evaluate, to_sql
@@ -146,3 +147,14 @@ for _name, _node in COMPONENTS.items():
 for _name, _node in PREDICTORS.items():
     QUERIES[f"p_{_name}"], ORACLE_SQL[f"p_{_name}"] = _signal(_node, LONG_PLACES), _signal_sql(_node, LONG_PLACES)
 QUERIES["flagship"], ORACLE_SQL["flagship"] = QUERIES["p_best"], ORACLE_SQL["p_best"]
+
+
+def _catalogued(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return catalogue.score(lineitem_panel(spark, sf_dir), name, catalogue.SHORT)
+
+    return run
+
+
+for _name in catalogue.CATALOGUE:
+    QUERIES[f"p_{_name}"] = _catalogued(_name)
