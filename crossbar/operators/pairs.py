@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAIR = Window.partitionBy("period", "i", "j").orderBy("bar")
-ROW = Window.partitionBy("period", "bar", "i")
+
+def pair_rows():
+    return Window.partitionBy("period", "i", "j").orderBy("bar")
+
+
+def row_rows():
+    return Window.partitionBy("period", "bar", "i")
 
 
 def cross_sections(df: DataFrame, value: str) -> DataFrame:
@@ -33,13 +38,13 @@ def pairs(df: DataFrame, value: str, lagged: bool = False) -> DataFrame:
 
 def moments(p: DataFrame, bars: int | None = None) -> DataFrame:
     """Sum and count of pair products over the last ``bars`` rows (all so far without); by prefix differences."""
-    total = F.sum("x").over(PAIR.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.count("x").over(PAIR.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("x").over(pair_rows().rowsBetween(Window.unboundedPreceding, 0))
+    n = F.count("x").over(pair_rows().rowsBetween(Window.unboundedPreceding, 0))
     out = p.withColumns({"m": total, "n": n})
     if bars is None:
         return out
     return out.withColumns(
-        {"m": F.col("m") - F.coalesce(F.lag("m", bars).over(PAIR), F.lit(0.0)), "n": F.least("n", F.lit(bars))}
+        {"m": F.col("m") - F.coalesce(F.lag("m", bars).over(pair_rows()), F.lit(0.0)), "n": F.least("n", F.lit(bars))}
     )
 
 
@@ -66,21 +71,21 @@ def expanding_correlation(df: DataFrame, value: str, warm: int = 30) -> DataFram
 def positive_weights(c: DataFrame, names: int) -> DataFrame:
     """Positive correlations scaled to sum 1 in each row; even weights where there is none."""
     plus = F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(0.0))
-    mass = F.sum(plus).over(ROW)
+    mass = F.sum(plus).over(row_rows())
     return c.withColumn("w", F.when(mass > 1e-9, plus / (mass + 1e-9)).otherwise(F.lit(1.0 / (names - 1)))).select("period", "bar", "i", "j", "w")
 
 
 def top_weights(c: DataFrame, k: int = 3) -> DataFrame:
     """Equal weights on the k most correlated names of each row, ties by name."""
-    place = F.row_number().over(ROW.orderBy(F.col("c").desc_nulls_last(), "j"))
+    place = F.row_number().over(row_rows().orderBy(F.col("c").desc_nulls_last(), "j"))
     return c.where("c is not null").withColumn("place", place).where(F.col("place") <= k).select("period", "bar", "i", "j", F.lit(1.0 / k).alias("w"))
 
 
 def top_magnitude(a: DataFrame, k: int = 5) -> DataFrame:
     """The k largest entries of each row by magnitude, scaled to magnitude 1 in sum; ties by name."""
-    place = F.row_number().over(ROW.orderBy(F.abs("a").desc(), "j"))
+    place = F.row_number().over(row_rows().orderBy(F.abs("a").desc(), "j"))
     kept = a.withColumn("place", place).where(F.col("place") <= k)
-    return kept.withColumn("w", F.col("a") / (F.sum(F.abs("a")).over(ROW) + 1e-12)).select("period", "bar", "i", "j", "w")
+    return kept.withColumn("w", F.col("a") / (F.sum(F.abs("a")).over(row_rows()) + 1e-12)).select("period", "bar", "i", "j", "w")
 
 
 def propagate(weights: DataFrame, df: DataFrame, value: str | Column) -> DataFrame:

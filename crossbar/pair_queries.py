@@ -152,7 +152,7 @@ def _trailing_weights(spark, sf_dir):
 
 def g12_correlation_reversal(spark, sf_dir):
     base, w = _trailing_weights(spark, sf_dir)
-    before = base.withColumn("u", F.lag("u").over(ev.HISTORY))
+    before = base.withColumn("u", F.lag("u").over(ev.history_rows()))
     return _round(p.propagate(w, before, -F.col("u")), "score")
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HISTORY = Window.partitionBy("period", "name_ix").orderBy("bar")
-BAR = Window.partitionBy("period", "bar")
+def history_rows():
+    return Window.partitionBy("period", "name_ix").orderBy("bar")
+
+
+def bar_rows():
+    return Window.partitionBy("period", "bar")
 
 
 def profits(scored: DataFrame, score: str = "score", ret: str = "f1") -> DataFrame:
     """(period, bar, profit): the scores of the bar before on this bar's returns; 0 on the first."""
-    held = scored.withColumn("held", F.coalesce(F.lag(score).over(HISTORY), F.lit(0.0)))
+    held = scored.withColumn("held", F.coalesce(F.lag(score).over(history_rows()), F.lit(0.0)))
     return held.groupBy("period", "bar").agg(F.sum(F.col("held") * F.coalesce(ret, F.lit(0.0))).alias("profit"))
 
 
@@ -23,7 +27,7 @@ def sharpe(p: DataFrame) -> DataFrame:
 
 def information(scored: DataFrame, score: str = "score", ret: str = "f1") -> DataFrame:
     """(period, ic): mean over bars of the correlation of scores with the next bar's returns."""
-    ahead = scored.withColumn("ahead", F.lead(ret).over(HISTORY)).where(F.col("ahead").isNotNull())
+    ahead = scored.withColumn("ahead", F.lead(ret).over(history_rows())).where(F.col("ahead").isNotNull())
     per_bar = ahead.groupBy("period", "bar").agg(F.corr(score, "ahead").alias("c"))
     return per_bar.groupBy("period").agg(F.avg(F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0))).alias("ic"))
 
@@ -62,7 +66,7 @@ def equal_risk(legs: dict[str, DataFrame], panel: DataFrame, first: int, last: i
         one = leg.join(risk, "period").select("period", "bar", "name_ix", (F.col("score") / F.nullif("risk", F.lit(0.0))).alias(name))
         out = one if out is None else out.join(one, ["period", "bar", "name_ix"])
     total = sum((F.coalesce(n, F.lit(0.0)) for n in legs), F.lit(0.0))
-    return out.select("period", "bar", "name_ix", (total - F.avg(total).over(BAR)).alias("score"))
+    return out.select("period", "bar", "name_ix", (total - F.avg(total).over(bar_rows())).alias("score"))
 
 
 def walk_forward(panel: DataFrame, train: int, step: int) -> list[DataFrame]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pair_queries
+from . import matrix_queries, pair_queries
 from .functions import scalar as s
 from .operators import cross as x
 from .operators import series as t
@@ -160,5 +160,5 @@ def _catalogued(name: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name in catalogue.CATALOGUE:
     QUERIES[f"p_{_name}"] = _catalogued(_name)
 
-QUERIES |= pair_queries.QUERIES
+QUERIES |= pair_queries.QUERIES | matrix_queries.QUERIES
 ORACLE_SQL |= pair_queries.ORACLE_SQL

@@ -15,7 +15,9 @@ NAMES = 20
 PERIOD_BARS = 120
 FORWARD = 5
 
-TS = Window.partitionBy("period", "name_ix").orderBy("bar")
+
+def ts_rows():
+    return Window.partitionBy("period", "name_ix").orderBy("bar")
 
 
 def clean(x: Column) -> Column:
@@ -90,9 +92,9 @@ def _finish(cells: DataFrame, period_bars: int) -> DataFrame:
     level = base.withColumns({f"f{k}": (F.col(f"r{k}") - 25.5e0) / 10 for k in (1, 3, 4)})
     moved = level.withColumns(
         {
-            "f2": F.lag("f1").over(TS),
-            "f6": F.avg("cash").over(TS.rowsBetween(-7, 0)),
-            "target": F.when(F.count("f1").over(TS.rowsBetween(1, FORWARD)) == FORWARD, F.sum("f1").over(TS.rowsBetween(1, FORWARD))),
+            "f2": F.lag("f1").over(ts_rows()),
+            "f6": F.avg("cash").over(ts_rows().rowsBetween(-7, 0)),
+            "target": F.when(F.count("f1").over(ts_rows().rowsBetween(1, FORWARD)) == FORWARD, F.sum("f1").over(ts_rows().rowsBetween(1, FORWARD))),
         }
     )
     return moved.select("period", "bar", "name", "name_ix", F.col("target").isNotNull().alias("is_train"), *FEATURES, "target")
