@@ -46,11 +46,31 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(s, SEED) for s in map(b" ".join, zip(*(row[i:] for i in range(words))))]
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    packed = np.array(hashes, dtype=">u8").view(np.uint8).reshape(n, 8)
-    for a in range(0, n, 1 << 14):
-        counts += np.unpackbits(packed[a : a + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(majority(np.array(hashes, dtype=">u8").view(np.uint8).reshape(len(hashes), 8)).tobytes(), "big")
+
+
+def majority(packed: np.ndarray) -> np.ndarray:
+    """Bits (packed as bytes) that are set in over half of the rows of packed bits."""
+    n, counts = len(packed), np.zeros(8 * packed.shape[1], np.int64)
+    for a in range(0, n, 255):  # sums of so many bits fit a byte
+        counts += np.add.reduce(np.unpackbits(packed[a : a + 255], axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n)
+
+
+def wide_fingerprint(text: bytes, words: int, width: int) -> np.ndarray:
+    """SimHash of the set of word shingles in ``width`` 64-bit words, each from its own mix of the hashes."""
+    row = text.lower().split()
+    if not row:
+        return np.zeros(width, np.uint64)
+    n = min(words, len(row))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([digest(s, SEED) for s in map(b" ".join, zip(*(row[i:] for i in range(n))))], dtype=np.uint64))
+    with np.errstate(over="ignore"):
+        x = hashes[:, None] + np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)
+        for shift, odd in ((32, 0xDABA0B6EB09322E3), (29, 0xAEF17502108EF2D9)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        x ^= x >> np.uint64(32)
+    return majority(x.astype(">u8").view(np.uint8).reshape(len(x), 8 * width)).view(">u8").astype(np.uint64)
 
 
 def _fingerprints(words: int):
@@ -148,14 +168,23 @@ class Forest:
                 root[:] = up
 
 
-def _cell_links(k: int):
+def _cell_links(k: int, radius: int | None = None):
+    """Spanning edges of one task; with ``radius`` the tree's pairs must also agree over all ``words``."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bits = pdf["bits"].to_numpy(np.int64).view(np.uint64)
         left = np.flatnonzero(pdf["side"].to_numpy() != 1)
         right = np.flatnonzero(pdf["side"].to_numpy() != 0)  # side 2: one block against itself
         tree, forest = GrayTree(bits[left]), Forest(len(bits))
+        wide = None if radius is None else np.stack(pdf["words"].to_list()).astype(np.int64).view(np.uint64)
         for q, p in tree.within(bits[right], k):
-            forest.link(right[q], left[p])
+            a, b = right[q], left[p]
+            if wide is not None:
+                fresh = forest.root[a] != forest.root[b]
+                a, b = a[fresh], b[fresh]
+                near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= radius
+                a, b = a[near], b[near]
+            forest.link(a, b)
         linked = np.flatnonzero(forest.root != np.arange(len(bits)))
         ids = pdf["node"].to_numpy(np.int64)
         return pd.DataFrame({"u": ids[linked], "v": ids[forest.root[linked]]})
@@ -194,7 +223,13 @@ def link_edges(prints: DataFrame, k: int = 2, cell: int = CELL, block: int = BLO
     """
     n = prints.count()
     route_bits = max(0, int(np.ceil(np.log2(max(1, n / cell)))))
-    routed = _cells(prints, k, route_bits).withColumn("rank", F.shiftrightunsigned(_gray(), 1))
+    return _link_cells(_cells(prints, k, route_bits), _cell_links(k), k, block)
+
+
+def _link_cells(routed: DataFrame, kernel, k: int, block: int) -> DataFrame:
+    """Edges of all cells. ``routed`` has part, cell, node, bits and whatever else the kernel reads."""
+    carried = [c for c in routed.columns if c not in ("part", "cell")]
+    routed = routed.withColumn("rank", F.shiftrightunsigned(_gray(), 1))
     sizes = routed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
     # boundaries of Gray blocks of crowded cells; at most n * (k + 1) / block of them exist
     crowded = sizes.where(F.col("n") > block).select(
@@ -206,9 +241,9 @@ def link_edges(prints: DataFrame, k: int = 2, cell: int = CELL, block: int = BLO
     out = "u bigint, v bigint"
     if not is_crowded:
         plain = routed.withColumn("side", F.lit(2))
-        return plain.groupBy("part", "cell").applyInPandas(_cell_links(k), out)
+        return plain.groupBy("part", "cell").applyInPandas(kernel, out)
     keyed = routed.join(F.broadcast(crowd) if crowd.count() <= 100_000 else crowd, ["part", "cell"], "left")
-    quiet = keyed.where("blocks is null").select("part", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "bits", F.lit(2).alias("side"))
+    quiet = keyed.where("blocks is null").select("part", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), *carried, F.lit(2).alias("side"))
     loud = keyed.where("blocks is not null")
     # Gray blocks by exact distinct ranks are not needed: any cut is right, even cuts are balanced
     edges = loud.groupBy("part", "cell").agg(F.percentile_approx("rank", step, F.lit(10 * MARKS)).alias("marks"), F.max("blocks").alias("blocks"))
@@ -232,9 +267,9 @@ def link_edges(prints: DataFrame, k: int = 2, cell: int = CELL, block: int = BLO
         .select("part", "cell", "i", "j")
     )
     sides = pairs.select("part", "cell", "i", "j", F.inline(F.expr("if(i = j, array(struct(i as at, 2 as side)), array(struct(i as at, 0 as side), struct(j as at, 1 as side)))")))
-    tasks = placed.select("part", "cell", F.col("i").alias("at"), "node", "bits").join(sides, ["part", "cell", "at"])
-    every = quiet.unionByName(tasks.select("part", "cell", "i", "j", "node", "bits", "side"))
-    return every.groupBy("part", "cell", "i", "j").applyInPandas(_cell_links(k), out)
+    tasks = placed.select("part", "cell", F.col("i").alias("at"), *carried).join(sides, ["part", "cell", "at"])
+    every = quiet.unionByName(tasks.select("part", "cell", "i", "j", *carried, "side"))
+    return every.groupBy("part", "cell", "i", "j").applyInPandas(kernel, out)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,8 +328,78 @@ def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, all columns as they are."""
-    found = materialize(near_duplicates(docs, k, words), "near-duplicates")
+# --- similar texts ------------------------------------------------------------------------------------
+
+
+def similar_bits(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits of ``bits`` that sets of this Jaccard similarity keep to, up to so many deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
+
+
+def table_count(similarity: float, route_bits: int, miss: float = 0.01) -> int:
+    """Tables of ``route_bits`` sampled bits in which a similar pair meets but for a share of ``miss``."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    meet = (1 - p) ** route_bits
+    return 1 if meet >= 1 - miss else int(np.ceil(np.log(miss) / np.log(1 - meet)))
+
+
+def _wide(words: int, width: int, route_bits: int, tables: int):
+    rng = np.random.default_rng(SEED)
+    # the first 64 bits are searched by the tree, so they don't route
+    picks = [rng.choice(np.arange(64, 64 * width), size=route_bits, replace=False) for _ in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            prints = np.array([wide_fingerprint(t.as_py(), words, width) for t in texts], np.uint64).reshape(-1, width)
+            cells = np.zeros((len(prints), tables), np.int64)
+            for i, pick in enumerate(picks):
+                for at in pick:
+                    cells[:, i] = cells[:, i] * 2 + ((prints[:, at // 64] >> np.uint64(63 - at % 64)) & np.uint64(1)).astype(np.int64)
+            lists = [pa.array(list(m), pa.list_(pa.int64())) for m in (prints.view(np.int64), cells)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "text_hash", "words", "cells"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 16, cell: int = 512) -> DataFrame:
+    """doc_id, text_hash, component_id, kept of every row: components of texts whose sets of word shingles have
+    about this Jaccard similarity or more, by wide SimHash fingerprints.
+
+    Similarity is read from 64 x ``width`` bits (one deviation is 0.025 at 0.8); a pair is met in one of several
+    tables of sampled bits, whose number grows slowly with the table so that no more than one in a hundred
+    pairs at the very threshold is missed, and found there by the Gray-order tree on the first 64 bits. Nothing
+    is cut off: crowded cells are split as for ``near_duplicates``, whose other rules hold here too.
+    """
+    prepare(docs.sparkSession)
+    view = documents_view(docs).withColumn("text_hash", F.xxhash64("text"))
+    route_bits = max(0, int(np.ceil(np.log2(max(1, view.count() / cell)))))
+    tables = table_count(similarity, route_bits)
+    schema = "doc_id bigint, text_hash bigint, words array<bigint>, cells array<bigint>"
+    prints = materialize(view.mapInArrow(_wide(words, width, route_bits, tables), schema), "wide-fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = prints.groupBy("words").agg(first.alias("least"), F.any_value("cells").alias("cells")).withColumn("node", F.xxhash64("words"))
+    classes = materialize(classes, "wide-classes")
+    routed = classes.select("node", "words", F.element_at("words", 1).alias("bits"), F.posexplode("cells").alias("part", "cell"))
+    near, radius = similar_bits(similarity, 64, 3.0), similar_bits(similarity, 64 * width, 1.5)
+    found = components(_link_cells(routed, _cell_links(near, radius), near, BLOCK))
+    member = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    labelled = classes.select("node", "least").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = labelled.groupBy("component").agg(F.min("least").alias("least"))
+    named = labelled.select("node", "component").join(smallest, "component").select("node", "least")
+    every = prints.select("doc_id", "text_hash", F.xxhash64("words").alias("node"))
+    total = max(1, every.count() // 512)
+    hot = F.broadcast(every.groupBy("node").count().where(F.col("count") > total).select("node").join(named, "node"))
+    joined = every.join(hot, "node", "left")  # at most 512 hot fingerprints
+    every = joined.where("least is not null").unionByName(joined.where("least is null").drop("least").join(named, "node"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return every.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = 0.8) -> DataFrame:
+    """``docs`` with one document of each component, all columns as they are: of similar texts, or of
+    fingerprints at two or fewer differing bits where ``similarity`` is None."""
+    found = materialize(near_duplicates(docs) if similarity is None else similar_documents(docs, similarity), "near-duplicates")
     hashed = docs.withColumn(DROP_KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
     return drop_rows(hashed, found.where("not kept").select("doc_id", "text_hash"), found.where("kept").select("doc_id", "text_hash"))

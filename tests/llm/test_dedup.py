@@ -7,7 +7,18 @@ import pytest
 import xxhash
 
 from crossbar.llm.exact_dedup import drop_exact_duplicates, exact_dedup
-from crossbar.llm.simhash import GrayTree, components, drop_near_duplicates, fingerprint, gray_rank, link_edges, near_duplicates
+from crossbar.llm.simhash import (
+    GrayTree,
+    components,
+    drop_near_duplicates,
+    fingerprint,
+    gray_rank,
+    link_edges,
+    near_duplicates,
+    similar_bits,
+    similar_documents,
+    table_count,
+)
 
 TEXTS = [
     (1, "a  b\n c"), (2, "a b c"), (3, " a b c"), (4, None), (5, ""), (6, " "), (7, "\t\n "), (8, "long " * 20_000),
@@ -92,11 +103,51 @@ def test_near_duplicates(spark):
     items = [(i, plain_fingerprint(t or "")) for i, t in enumerate(texts)]
     assert [got[i].component_id for i in range(len(texts))] == brute(items, 2)
     assert all(got[i].fingerprint == f"{f:016x}" for i, f in items)
-    assert drop_near_duplicates(df).count() == len({r.component_id for r in got.values()})
+    assert drop_near_duplicates(df, None).count() == len({r.component_id for r in got.values()})
     empty = df.limit(0)
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "q"), (None, "q"), (3, "r"), (3, "r"), (3, "other text here")], "doc_id bigint, text string")
-    assert near_duplicates(odd).count() == 5 and drop_near_duplicates(odd).count() == 3
+    assert near_duplicates(odd).count() == 5 and drop_near_duplicates(odd, None).count() == 3
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_similar_documents(spark):
+    """Copies above the threshold are one group, texts well below it are not; cells may be small or crowded."""
+    rng = random.Random(9)
+    texts, groups = [None, "", "lone word", "Lone  WORD"], [0, 0, 1, 1]
+    for g in range(60):
+        words = ["".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(400)]
+        for _ in range(rng.randint(1, 4)):
+            copy = list(words)
+            for _ in range(6):  # about 0.86 similar to the first
+                copy[rng.randrange(400)] = "edit" + str(rng.random())
+            texts.append(" ".join(words if not groups or groups[-1] != 10 + g else copy))
+            groups.append(10 + g)
+        half = words[:200] + ["".join(rng.choice("lmnop") for _ in range(5)) for _ in range(200)]
+        texts.append(" ".join(half))  # a third similar: not a copy
+        groups.append(1000 + g)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id bigint, text string, component_id string")
+    for cell in (512, 8):
+        got = {r.doc_id: r.component_id for r in similar_documents(df, cell=cell).collect()}
+        first = {}
+        for i, g in enumerate(groups):
+            first.setdefault(g, i)
+        wrong = [i for i, g in enumerate(groups) if got[i] != first[g]]
+        assert len(wrong) <= len(texts) // 50
+        assert not [i for i in wrong if groups[i] >= 1000]
+    left = drop_near_duplicates(df)
+    assert left.columns == df.columns and abs(left.count() - len(set(groups))) <= len(texts) // 50
+    assert drop_near_duplicates(df.limit(0)).count() == 0 and similar_documents(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "q"), (None, "q"), (3, "r"), (3, "r"), (3, "other text here")], "doc_id bigint, text string")
+    assert similar_documents(odd).count() == 5 and drop_near_duplicates(odd).count() == 3
+    assert table_count(0.8, 0) == 1 < table_count(0.8, 8) < table_count(0.8, 12)
+    assert similar_bits(1.0, 64, 3.0) == 0 < similar_bits(0.9, 64, 3.0) < similar_bits(0.8, 64, 3.0) < 24
 
 
 def test_crowded_cells_lose_no_link(spark):
