@@ -67,11 +67,12 @@ def to_wide(scores: DataFrame, value: str = "score") -> pd.DataFrame:
     return got.pivot(index="bar", columns="name_ix", values=value).sort_index(axis=0).sort_index(axis=1)
 
 
-def densify(cells: DataFrame, bars: DataFrame, names: DataFrame) -> DataFrame:
+def densify(cells: DataFrame) -> DataFrame:
     """Every (bar, name) cell, so that "one row before" is "one bar before". The names are few: the spine is
-    an array of them on each bar, not a join."""
-    every = names.agg(F.sort_array(F.collect_set("name_ix")).alias("all_names"))
-    spine = bars.join(F.broadcast(every)).select("bar", F.explode("all_names").alias("name_ix"))
+    an array of them on each bar. Cells are kept once made, so the table behind is scanned once."""
+    cells = cells.persist()
+    names = cells.agg(F.sort_array(F.collect_set("name_ix")).alias("names")).scalar()
+    spine = cells.select("bar").distinct().select("bar", F.explode(names).alias("name_ix"))
     return spine.join(cells, ["bar", "name_ix"], "left")
 
 
@@ -118,8 +119,7 @@ def lineitem_panel(spark: SparkSession, sf_dir: str, names: int = NAMES, period_
         F.sum(F.when(F.col("flag") == "A", F.col("qty"))).alias("qa"),
         F.sum("cents").alias("p"),
     )
-    bars = cells.select("bar").distinct()
-    return _finish(densify(cells, bars, cells.select("name_ix").distinct()), period_bars)
+    return _finish(densify(cells), period_bars)
 
 
 def events_panel(spark: SparkSession, sf_dir: str, period_bars: int = 240) -> DataFrame:
@@ -139,7 +139,7 @@ def events_panel(spark: SparkSession, sf_dir: str, period_bars: int = 240) -> Da
         F.sum(F.when(F.col("part") == 1, F.col("cents"))).alias("qa"),
         F.sum("cents").alias("p"),
     )
-    return _finish(densify(cells, cells.select("bar").distinct(), cells.select("name_ix").distinct()), period_bars)
+    return _finish(densify(cells), period_bars)
 
 
 #: The default panel in DuckDB SQL, as CTEs that end in ``panel``.
