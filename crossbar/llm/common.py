@@ -53,6 +53,22 @@ def documents_view(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: A key with more than one in so many rows is hot; so there are at most as many hot keys.
+HOT_SHARE = 512
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of unique keys. Hot keys (at most HOT_SHARE) go by broadcast, so that the
+    rows of one key are never gathered; the rest is left to the planner. Both are read more than once."""
+    hot_keys = rows.groupBy(key).count().where(F.col("count") > max(1, total // HOT_SHARE)).select(key)
+    hot = F.broadcast(table.join(F.broadcast(hot_keys), key).withColumn("__hot", F.lit(True)))
+    first = rows.join(hot, key, "left")
+    new = [c for c in table.columns if c != key]
+    done = first.where("__hot").drop("__hot")
+    rest = first.where("__hot is null").drop("__hot", *new).join(table, key, how)
+    return done.unionByName(rest)
+
+
 #: Name of the text key that ``drop_rows`` expects beside doc_id.
 DROP_KEY = "__text_key"
 

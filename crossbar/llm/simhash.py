@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DROP_KEY, cut, documents_view, drop_rows, materialize, prepare
+from .common import DROP_KEY, cut, documents_view, drop_rows, join_spread, materialize, prepare
 
 SEED = 42
 CELL = 4096
@@ -296,6 +296,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _named(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, least): the least member of the component of each class; classes without links keep their own."""
+    member = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    joined = classes.join(member, "node", "left")
+    alone = joined.where("component is null").select(key, "least")
+    linked = materialize(joined.where("component is not null").select(key, "component", "least"), "linked")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("least"))
+    named = join_spread(linked.select(key, "component"), smallest, "component", max(1, linked.count()))
+    return materialize(alone.unionByName(named.select(key, "least")), "named")
+
+
 def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, text_hash, kept of every row.
 
@@ -311,14 +322,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
     # a distinct fingerprint is its own node number; what names a component is put on at the end
     distinct = materialize(prints.groupBy("bits").agg(first.alias("least")).withColumn("node", F.col("bits")), "classes")
     found = components(link_edges(distinct.select("node", "bits"), k))
-    member = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    labelled = distinct.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("least"))
-    named = labelled.select("bits", "component").join(smallest, "component").select("bits", "least")
-    total = max(1, prints.count() // 512)
-    hot = F.broadcast(prints.groupBy("bits").count().where(F.col("count") > total).select("bits").join(named, "bits"))
-    joined = prints.join(hot, "bits", "left")  # at most 512 hot fingerprints
-    every = joined.where("least is not null").unionByName(joined.where("least is null").drop("least").join(named, "bits"))
+    named = _named(distinct.select("bits", "node", "least"), found, "bits")
+    every = join_spread(prints, named, "bits", max(1, prints.count()))
     return every.select(
         "doc_id",
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
@@ -384,15 +389,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     routed = classes.select("node", "words", F.element_at("words", 1).alias("bits"), F.posexplode("cells").alias("part", "cell"))
     near, radius = similar_bits(similarity, 64, 3.0), similar_bits(similarity, 64 * width, 1.5)
     found = components(_link_cells(routed, _cell_links(near, radius), near, BLOCK))
-    member = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    labelled = classes.select("node", "least").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("least"))
-    named = labelled.select("node", "component").join(smallest, "component").select("node", "least")
+    named = _named(classes.select("node", "least"), found, "node")
     every = prints.select("doc_id", "text_hash", F.xxhash64("words").alias("node"))
-    total = max(1, every.count() // 512)
-    hot = F.broadcast(every.groupBy("node").count().where(F.col("count") > total).select("node").join(named, "node"))
-    joined = every.join(hot, "node", "left")  # at most 512 hot fingerprints
-    every = joined.where("least is not null").unionByName(joined.where("least is null").drop("least").join(named, "node"))
+    every = join_spread(every, named, "node", max(1, every.count()))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     return every.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
