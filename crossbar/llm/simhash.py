@@ -387,7 +387,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     classes = prints.groupBy("words").agg(first.alias("least"), F.any_value("cells").alias("cells")).withColumn("node", F.xxhash64("words"))
     classes = materialize(classes, "wide-classes")
     routed = classes.select("node", "words", F.element_at("words", 1).alias("bits"), F.posexplode("cells").alias("part", "cell"))
-    near, radius = similar_bits(similarity, 64, 3.0), similar_bits(similarity, 64 * width, 1.5)
+    near, radius = similar_bits(similarity, 64, 3.0), similar_bits(similarity, 64 * width, 2.0)
     found = components(_link_cells(routed, _cell_links(near, radius), near, BLOCK))
     named = _named(classes.select("node", "least"), found, "node")
     every = prints.select("doc_id", "text_hash", F.xxhash64("words").alias("node"))
