@@ -15,6 +15,7 @@ A key is found in constant time: bucket, displacement, slot, fingerprint, row, b
 
 from __future__ import annotations
 
+import bisect
 import os
 import uuid
 import zlib
@@ -23,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents_view, fresh_path, prepare
 from .tokens import encoder, little_blocks, vocabulary_path
 
 MAGIC, VERSION, HEADER = 0x31444853544F4B, 1, 8
-MANIFEST = "shard int, path string, n_rows bigint, n_ids bigint"
+MANIFEST = "shard int, path string, n_rows bigint, n_ids bigint, first_key bigint, last_key bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int, row_in_shard bigint"
 
 
@@ -170,7 +171,7 @@ def _writer(vocabulary: str, end_id: int, folder: str, shard_ids: int):
             if docs:
                 path = f"{folder}/{part:06d}-{len(made):04d}.tokens"
                 _write(path, encode_shard(docs, rows, width))
-                made.append((part * 10_000 + len(made), path, len(docs), held))
+                made.append((part * 10_000 + len(made), path, len(docs), held, next((d for d in docs if d is not None), None), docs[-1]))
             docs, rows, held = [], [], 0
 
         for batch in batches:
@@ -184,9 +185,10 @@ def _writer(vocabulary: str, end_id: int, folder: str, shard_ids: int):
                     docs.append(doc)
                     rows.append(raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
         flush()
-        cols = list(zip(*made)) or [[], [], [], []]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "path", "n_rows", "n_ids"])
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+        cols = list(zip(*made)) or [[] for _ in kinds]
+        names = ["shard", "path", "n_rows", "n_ids", "first_key", "last_key"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return run
 
@@ -252,15 +254,25 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
     return based.repartition(parts, "shard").mapInArrow(_reader, ROWS)
 
 
-def lookup(spark: SparkSession, manifest: DataFrame, keys: list[int]) -> dict[int, list[int]]:
-    """Ids of a few documents by key, straight from the files (for interactive use)."""
-    found: dict[int, list[int]] = {}
-    for row in manifest.select("path").toLocalIterator():
-        shard = Shard(_read(row.path))
-        for key in keys:
-            if (ids := shard.get(key)) is not None:
-                found[key] = ids.tolist()
-    return found
+class TokenStore:
+    """Keyed access to a written store. The manifest's key ranges say which file may hold a key, the file's
+    hash says where: one memory map and one slot a key, whatever the size of the store."""
+
+    def __init__(self, manifest: DataFrame):
+        rows = manifest.where("last_key is not null").select("first_key", "last_key", "path").orderBy("first_key")
+        self.ranges = [tuple(r) for r in rows.toLocalIterator()]  # a row a file
+        self.firsts = [r[0] for r in self.ranges]
+        self.shards: dict[str, Shard] = {}
+
+    def get(self, key: int) -> np.ndarray | None:
+        """Ids of a document, None if there is none."""
+        at = bisect.bisect_right(self.firsts, key) - 1
+        if at < 0 or key > self.ranges[at][1]:
+            return None
+        path = self.ranges[at][2]
+        if path not in self.shards:
+            self.shards[path] = Shard(_read(path))
+        return self.shards[path].get(key)
 
 
 def token_store(docs: DataFrame, **options) -> DataFrame:

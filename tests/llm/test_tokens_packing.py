@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from crossbar.llm.bpe import bpe_roundtrip, codec
 from crossbar.llm.packing import TournamentTree, first_fit_decreasing, pack_documents
-from crossbar.llm.token_store import Shard, build_hash, encode_shard, lookup, read_token_shards, token_store, write_token_shards
+from crossbar.llm.token_store import Shard, TokenStore, build_hash, encode_shard, read_token_shards, token_store, write_token_shards
 from crossbar.llm.tokens import encoder, vocabulary_path
 
 EDGE = [
@@ -124,5 +124,9 @@ def test_token_store(spark, library):
 def test_lookup_in_several_files(spark, library, tmp_path):
     manifest = write_token_shards(frame(spark, EDGE), str(tmp_path / "t"), shard_ids=100)
     assert manifest.count() > 3
-    assert lookup(spark, manifest, [3, 12, 500]) == {3: ids_of(library, EDGE[3], 1).tolist(), 12: ids_of(library, "same", 1).tolist()}
+    store = TokenStore(manifest)
+    for i, text in enumerate(EDGE):
+        assert store.get(i).tolist() == ids_of(library, text, 1).tolist()
+    assert store.get(500) is None and store.get(-1) is None
+    assert TokenStore(write_token_shards(frame(spark, []), str(tmp_path / "e"))).get(1) is None
     assert read_token_shards(manifest).count() == len(EDGE)
