@@ -43,11 +43,28 @@ def lead_sum(x: Node, first: int = 2, last: int = 5) -> Node:
     return over_history("lead_sum", lambda d, a: f"(CASE WHEN count({a}) OVER ({f}) = {last - first + 1} THEN sum({a}) OVER ({f}) END)", x, params=(first, last))
 
 
+#: Windows longer than this are differences of running sums: a sliding frame costs its length in every row.
+LONG = 1000
+
+
+def _differences(x: Node, w: int, least: int) -> tuple[Node, Node]:
+    """Sum and count of the last w rows; the sum is null with fewer than ``least`` values."""
+    one = each("is_value", lambda d, a: f"(CASE WHEN {a} IS NOT NULL THEN 1 ELSE 0 END)", x)
+    s, n = (_gated("roll_sum", "sum({})", None, 1, v) for v in (fill(x), one))
+    count = n - fill(lag(n, w))
+    return each("gate", lambda d, k, v: f"(CASE WHEN {k} >= {least} THEN {v} END)", count, s - fill(lag(s, w)), params=(least,)), count
+
+
 def rolling_mean(x: Node, w: int | None, least: int = 1) -> Node:
+    if w is not None and w > LONG:
+        total, count = _differences(x, w, least)
+        return total / count
     return _gated("roll_mean", "avg({})", w, least, x)
 
 
 def rolling_sum(x: Node, w: int | None, least: int = 1) -> Node:
+    if w is not None and w > LONG:
+        return _differences(x, w, least)[0]
     return _gated("roll_sum", "sum({})", w, least, x)
 
 
