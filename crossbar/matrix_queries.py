@@ -76,14 +76,25 @@ def e_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.bootstrap(ev.profits(scored))
 
 
-def st_recursive_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recursive map over hourly events replayed as a stream."""
-    panel = events_panel(spark, sf_dir)
-    rows = panel.select("period", "bar", "name_ix", F.col("f1").alias("value"), F.timestamp_seconds(F.col("bar") * 3600).alias("ts"))
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_crossbar_streams"
-    return maps.replay(spark, rows, f"{configured}/replay-{uuid.uuid4().hex}", maps.RecursiveMap)
+def _stream(make: Callable[[], object]) -> Callable[[SparkSession, str], DataFrame]:
+    """Hourly events replayed as a stream through a stateful score."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        panel = events_panel(spark, sf_dir)
+        rows = panel.select("period", "bar", "name_ix", F.col("f1").alias("value"), F.timestamp_seconds(F.col("bar") * 3600).alias("ts"))
+        configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_crossbar_streams"
+        return maps.replay(spark, rows, f"{configured}/replay-{uuid.uuid4().hex}", make)
+
+    return run
+
+
+STREAMS: dict[str, Callable[[], object]] = {
+    "st_recursive_map": maps.RecursiveMap,
+    "st_running_mean": lambda: maps.RunningMean(20.0),
+    "st_factor_distance": lambda: maps.FactorDistance(24, 2),
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _kernel(n) for n in KERNELS} | {
-    f.__name__: f for f in (m01_ensemble, m12_walk_forward, e_bootstrap, st_recursive_map)
+    f.__name__: f for f in (m01_ensemble, m12_walk_forward, e_bootstrap)
 }
+QUERIES |= {n: _stream(make) for n, make in STREAMS.items()}
