@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import documents_view, prepare
 from .tokens import little_blocks, vocabulary_path
@@ -28,6 +28,7 @@ RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 #: Stands for the end of a word inside a search string; no byte-level character equals it.
 _END = "\ue000"
 _BIG = 1 << 40
+_LATIN = "\u0250"
 
 
 def byte_characters() -> list[str]:
@@ -144,6 +145,9 @@ class WordBpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.bpe = BacktrackingBpe(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.characters = byte_characters()
+        # outside Latin, letters and case are as the library's own Unicode tables have them
+        parts = Tokenizer.from_file(path)
+        self.normalize, self.split = parts.normalizer.normalize_str, parts.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -165,10 +169,11 @@ class WordBpe:
         return known
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
-        # one character at a time: the end of a word makes no difference to a capital sigma
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return b"".join(map(self._piece, self.pattern.findall(text)))
+        if text and max(text) < _LATIN:
+            # no character of this range composes with another, and all Unicode versions agree on its classes
+            return b"".join(map(self._piece, self.pattern.findall(text.lower())))
+        pieces = self.split(self.normalize(text))
+        return np.array([i for p, _ in pieces for i in self.bpe.encode(p)], dtype="<u4").tobytes()
 
     def _whole(self, text: str) -> bytes:
         out = []
