@@ -15,7 +15,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,19 +42,22 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     row = text.lower().split()
     if not row:
         return 0
-    if len(row) < words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(row), SEED)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(s, SEED) for s in map(b" ".join, zip(*(row[i:] for i in range(words))))]
-    return int.from_bytes(majority(np.array(hashes, dtype=">u8").view(np.uint8).reshape(len(hashes), 8)).tobytes(), "big")
-
-
-def majority(packed: np.ndarray) -> np.ndarray:
-    """Bits (packed as bytes) that are set in over half of the rows of packed bits."""
-    n, counts = len(packed), np.zeros(8 * packed.shape[1], np.int64)
-    for a in range(0, n, 255):  # sums of so many bits fit a byte
-        counts += np.add.reduce(np.unpackbits(packed[a : a + 255], axis=1), axis=0, dtype=np.uint8)
+    shingles = map(b" ".join, zip(*(row[i:] for i in range(min(words, len(row))))))
+
+    def hashed() -> Iterator[np.ndarray]:
+        while block := [xxhash.xxh64_intdigest(s, SEED) for s in islice(shingles, 1 << 14)]:
+            yield np.array(block, dtype=">u8").view(np.uint8).reshape(len(block), 8)
+
+    return int.from_bytes(majority(hashed()).tobytes(), "big")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    """Bits (packed as bytes) that are set in over half of the rows of blocks of packed bits."""
+    n, counts = 0, 0
+    for packed in blocks:
+        n += len(packed)
+        for a in range(0, len(packed), 255):  # sums of so many bits fit a byte
+            counts = counts + np.add.reduce(np.unpackbits(packed[a : a + 255], axis=1), axis=0, dtype=np.uint8).astype(np.int64)
     return np.packbits(2 * counts > n)
 
 
@@ -63,14 +67,19 @@ def wide_fingerprint(text: bytes, words: int, width: int) -> np.ndarray:
     if not row:
         return np.zeros(width, np.uint64)
     n = min(words, len(row))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(s, SEED) for s in map(b" ".join, zip(*(row[i:] for i in range(n))))], dtype=np.uint64))
-    with np.errstate(over="ignore"):
-        x = hashes[:, None] + np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)
-        for shift, odd in ((32, 0xDABA0B6EB09322E3), (29, 0xAEF17502108EF2D9)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
-        x ^= x >> np.uint64(32)
-    return majority(x.astype(">u8").view(np.uint8).reshape(len(x), 8 * width)).view(">u8").astype(np.uint64)
+    shingles = map(b" ".join, zip(*(row[i:] for i in range(n))))
+    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+    step = np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)
+
+    def mixed() -> Iterator[np.ndarray]:  # a long text's bits are never all there at once
+        for a in range(0, len(hashes), 16 * 255):
+            x = hashes[a : a + 16 * 255, None] + step
+            for shift, odd in ((32, 0xDABA0B6EB09322E3), (29, 0xAEF17502108EF2D9)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+            x ^= x >> np.uint64(32)
+            yield x.astype(">u8").view(np.uint8).reshape(len(x), 8 * width)
+
+    return majority(mixed()).view(">u8").astype(np.uint64)
 
 
 def _fingerprints(words: int):
