@@ -157,10 +157,10 @@ FROM l a JOIN l c USING (period, bar) WHERE a.u0 IS NOT NULL GROUP BY ALL"""
 
 
 def j_static_coefficients(spark, sf_dir):
-    """Later rows times a graph learned from the training rows: a broadcast join of names by names."""
+    """Later rows times a graph learned from the training rows, joined on the source name."""
     w = a_gram(spark, sf_dir).where("i <> j")
     block = _placed(spark, sf_dir).where(F.col("at") >= TRAIN).select("period", "bar", F.col("name_ix").alias("i"), "f1")
-    moved = block.join(F.broadcast(w), ["period", "i"]).groupBy("period", "bar", F.col("j").alias("name_ix"))
+    moved = block.join(w, ["period", "i"]).groupBy("period", "bar", F.col("j").alias("name_ix"))
     return moved.agg(_r(F.sum(F.col("g") * F.col("f1"))).alias("score"))
 
 
