@@ -251,7 +251,9 @@ def _link_cells(routed: DataFrame, kernel, k: int, block: int) -> DataFrame:
     if not is_crowded:
         plain = routed.withColumn("side", F.lit(2))
         return plain.groupBy("part", "cell").applyInPandas(kernel, out)
-    keyed = routed.join(F.broadcast(crowd) if crowd.count() <= 100_000 else crowd, ["part", "cell"], "left")
+    # both tables of crowded cells have at most one value a block
+    hint = F.broadcast if crowd.agg(F.sum("blocks")).first()[0] <= 1_000_000 else (lambda df: df)
+    keyed = routed.join(hint(crowd), ["part", "cell"], "left")
     quiet = keyed.where("blocks is null").select("part", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), *carried, F.lit(2).alias("side"))
     loud = keyed.where("blocks is not null")
     # Gray blocks by exact distinct ranks are not needed: any cut is right, even cuts are balanced
@@ -261,7 +263,7 @@ def _link_cells(routed: DataFrame, kernel, k: int, block: int) -> DataFrame:
         "cell",
         F.expr(f"array_distinct(transform(sequence(1, least({MARKS}, greatest(blocks, 2)) - 1), x -> element_at(marks, greatest(1, cast({MARKS} * x / least({MARKS}, greatest(blocks, 2)) as int)))))").alias("marks"),
     )
-    placed = loud.drop("blocks").join(F.broadcast(marks), ["part", "cell"]).withColumn(
+    placed = loud.drop("blocks").join(hint(marks), ["part", "cell"]).withColumn(
         "i", F.expr("size(filter(marks, m -> m < rank))")
     )
     patterns = placed.groupBy("part", "cell", "i").agg(
