@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import DROP_KEY, cut, documents_view, drop_rows, join_spread, materialize, prepare
 
 SEED = 42
@@ -32,6 +33,9 @@ CELL = 4096
 BLOCK = 8192
 FAN = 8
 MARKS = 1024
+#: Of similar texts: least hashes that a set is first met by, parity bits, texts in the sample, and shingles at most
+#: that are told as common in it (a table of fixed size).
+LEADS, PARITIES, SAMPLE, COMMON = 6, 256, 20_000, 1 << 17
 
 
 # --- fingerprints -------------------------------------------------------------------------------------
@@ -61,25 +65,12 @@ def majority(blocks: Iterable[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * counts > n)
 
 
-def wide_fingerprint(text: bytes, words: int, width: int) -> np.ndarray:
-    """SimHash of the set of word shingles in ``width`` 64-bit words, each from its own mix of the hashes."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
     row = text.lower().split()
-    if not row:
-        return np.zeros(width, np.uint64)
     n = min(words, len(row))
     shingles = map(b" ".join, zip(*(row[i:] for i in range(n))))
-    hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
-    step = np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)
-
-    def mixed() -> Iterator[np.ndarray]:  # a long text's bits are never all there at once
-        for a in range(0, len(hashes), 16 * 255):
-            x = hashes[a : a + 16 * 255, None] + step
-            for shift, odd in ((32, 0xDABA0B6EB09322E3), (29, 0xAEF17502108EF2D9)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
-            x ^= x >> np.uint64(32)
-            yield x.astype(">u8").view(np.uint8).reshape(len(x), 8 * width)
-
-    return majority(mixed()).view(">u8").astype(np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
 
 
 def _fingerprints(words: int):
@@ -177,23 +168,16 @@ class Forest:
                 root[:] = up
 
 
-def _cell_links(k: int, radius: int | None = None):
-    """Spanning edges of one task; with ``radius`` the tree's pairs must also agree over all ``words``."""
+def _cell_links(k: int):
+    """Spanning edges of one task."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bits = pdf["bits"].to_numpy(np.int64).view(np.uint64)
         left = np.flatnonzero(pdf["side"].to_numpy() != 1)
         right = np.flatnonzero(pdf["side"].to_numpy() != 0)  # side 2: one block against itself
         tree, forest = GrayTree(bits[left]), Forest(len(bits))
-        wide = None if radius is None else np.stack(pdf["words"].to_list()).astype(np.int64).view(np.uint64)
         for q, p in tree.within(bits[right], k):
-            a, b = right[q], left[p]
-            if wide is not None:
-                fresh = forest.root[a] != forest.root[b]
-                a, b = a[fresh], b[fresh]
-                near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= radius
-                a, b = a[near], b[near]
-            forest.link(a, b)
+            forest.link(right[q], left[p])
         linked = np.flatnonzero(forest.root != np.arange(len(bits)))
         ids = pdf["node"].to_numpy(np.int64)
         return pd.DataFrame({"u": ids[linked], "v": ids[forest.root[linked]]})
@@ -362,49 +346,167 @@ def table_count(similarity: float, route_bits: int, miss: float = 0.01) -> int:
     return 1 if meet >= 1 - miss else int(np.ceil(np.log(miss) / np.log(1 - meet)))
 
 
-def _wide(words: int, width: int, route_bits: int, tables: int):
-    rng = np.random.default_rng(SEED)
-    # the first 64 bits are searched by the tree, so they don't route
-    picks = [rng.choice(np.arange(64, 64 * width), size=route_bits, replace=False) for _ in range(tables)]
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.uint64).view(np.int64)))
+
 
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            prints = np.array([wide_fingerprint(t.as_py(), words, width) for t in texts], np.uint64).reshape(-1, width)
-            cells = np.zeros((len(prints), tables), np.int64)
-            for i, pick in enumerate(picks):
-                for at in pick:
-                    cells[:, i] = cells[:, i] * 2 + ((prints[:, at // 64] >> np.uint64(63 - at % 64)) & np.uint64(1)).astype(np.int64)
-            lists = [pa.array(list(m), pa.list_(pa.int64())) for m in (prints.view(np.int64), cells)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "text_hash", "words", "cells"])
+        for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, len(whole), 1024)):
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([_nodes(sets), _lists(sets)], names=["node", "shingles"])
 
     return run
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 16, cell: int = 512) -> DataFrame:
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64))
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order (count in ``common``, hash): sets of this similarity share one of them."""
+    least = int(np.ceil(similarity * len(shingles) - 1e-9))
+    often = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, often))][: len(shingles) - least + 1]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits in 64-bit words: of two sets they differ in no more bits than the sets in elements."""
+    odd = np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _profiles(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    mixes = np.random.default_rng(SEED).integers(0, 1 << 63, LEADS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, len(whole), 1024)):
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
+            leads = [((x[:, None] ^ (x[:, None] >> np.uint64(29))) * mixes).min(axis=0) if len(x) else x for x in sets]
+            tokens = [prefix(x, similarity, common, counts) if len(x) else x for x in sets]
+            n = pa.array([len(x) for x in sets], pa.int32())
+            cols = [batch.column(0), batch.column(2), _nodes(sets), n, _lists([parities(x) for x in sets]), _lists(leads), _lists(tokens)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "odd", "leads", "tokens"])
+
+    return run
+
+
+def _bounds(similarity: float) -> tuple[F.Column, F.Column]:
+    """Whether sizes n1, n2 and parities odd1, odd2 allow the similarity; how many shingles must then be shared."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
+    differ = sum((F.bit_count(F.element_at("odd1", i).bitwiseXOR(F.element_at("odd2", i))) for i in range(1, PARITIES // 64 + 1)), F.lit(0))
+    sizes = F.least("n1", "n2") >= F.lit(similarity) * F.greatest("n1", "n2") - 1e-6
+    return sizes & (differ <= F.col("n1") + F.col("n2") - 2 * least), least
+
+
+def _verified(pairs: DataFrame, view: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose shingle sets have this Jaccard similarity or more."""
+    pairs = materialize(pairs.distinct(), "similar-pairs")
+    total = pairs.count()
+    # sets are made again, of texts that a Bloom filter passes: one text of each node
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = materialize(asked.join(classes, "node").select("node", F.col("least.text_hash").alias("text_hash")), "similar-nodes")
+    blocks = bloom.block_count(asked.count())
+    passed = bloom.possible(view, F.col("text_hash"), bloom.build(asked, "text_hash", blocks), blocks, "__asked").where("__asked")
+    sets = passed.select("text").mapInArrow(_sets(words), "node bigint, shingles array<bigint>")
+    one = materialize(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "similar-sets")
+    both = pairs
+    for key, name in (("u", "a"), ("v", "b")):
+        both = join_spread(both, one.select(F.col("node").alias(key), F.col("shingles").alias(name)), key, max(1, total))
+    shared = F.size(F.array_intersect("a", "b"))
+    return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v"), "similar-edges")
+
+
+def _lead_pairs(profiles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of each set with one set of those that agree in one of LEADS least hashes: a few a row."""
+    keyed = profiles.select("node", "n", "odd", F.posexplode("leads").alias("part", "lead")).drop("part")
+    keyed = keyed.select(F.col("lead").alias("key"), *(F.col(c).alias(c + "1") for c in ("node", "n", "odd")))
+    keyed = materialize(keyed, "similar-leads")
+    chosen = F.min_by(F.struct("node1", "n1", "odd1"), F.xxhash64("node1", "key")).alias("head")
+    heads = keyed.groupBy("key").agg(chosen, F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = heads.select("key", *(F.col("head")[c + "1"].alias(c + "2") for c in ("node", "n", "odd")))
+    met = join_spread(keyed, materialize(heads, "similar-heads"), "key", max(1, keyed.count()))
+    met = met.where(_bounds(similarity)[0] & (F.col("node1") != F.col("node2")))
+    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"))
+
+
+def _open_pairs(profiles: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Pairs (u, v) of sets of different components that share a shingle of their prefixes, except those whose
+    sizes, places in the order or parities rule the similarity out.
+
+    The sets of a shingle outside its largest component meet all of them, in blocks of ``cell``.
+    """
+    rows = profiles.select("node", "n", "odd", "component", F.posexplode("tokens").alias("pos", "token"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    mixed = materialize(mixed, "similar-mixed")
+    blocks = bloom.block_count(mixed.count())
+    likely = bloom.possible(rows, F.col("token"), bloom.build(mixed, "token", blocks), blocks, "__mixed").where("__mixed").drop("__mixed")
+    members = materialize(likely, "similar-members")
+    sizes = materialize(members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")), "similar-sizes")
+    bulk = sizes.groupBy("token").agg(
+        F.max_by("component", F.struct("size", "component")).alias("bulk"), F.max("size").alias("most"), F.sum("size").alias("all")
+    )
+    # a shingle that only the filter lets pass has no others
+    bulk = materialize(bulk.where("all > most").withColumns({"few": F.ceil((F.col("all") - F.col("most")) / cell), "many": F.ceil(F.col("all") / cell)}).drop("most", "all"), "similar-bulks")
+    members = materialize(join_spread(members, bulk, "token", max(1, members.count())), "similar-members")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    side = lambda x: [F.col(c).alias(c + x) for c in ("node", "n", "odd", "component", "pos")]
+    left = members.where("component <> bulk").select("token", block("few").alias("i"), every("many").alias("j"), *side("1"))
+    right = members.select("token", every("few").alias("i"), block("many").alias("j"), *side("2"))
+    fits, least = _bounds(similarity)
+    possible = (
+        (F.col("component1") != F.col("component2"))
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
+        & fits
+    )
+    on = [left[c] == right[c] for c in ("token", "i", "j")]
+    met = left.join(right, on[0] & on[1] & on[2] & possible)
+    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, cell: int = 512) -> DataFrame:
     """doc_id, text_hash, component_id, kept of every row: components of texts whose sets of word shingles have
-    about this Jaccard similarity or more, by wide SimHash fingerprints.
+    this Jaccard similarity or more.
+
+    Every link is verified on the shingle sets (64-bit hashes), and none is missed:
+
+    1. Each set is compared with one set of those that agree in a least hash. This only joins most copies early.
+    2. Sets of this similarity share a shingle of their prefixes in any fixed order of shingles. Prefixes are taken
+       rarest first (by the counts in a sample of SAMPLE texts, which decide about speed only), and all pairs
+       across components that meet there are compared, but for those that exact bounds rule out.
 
-    Similarity is read from 64 x ``width`` bits (one deviation is 0.025 at 0.8); a pair is met in one of several
-    tables of sampled bits, whose number grows slowly with the table so that no more than one in a hundred
-    pairs at the very threshold is missed, and found there by the Gray-order tree on the first 64 bits. Nothing
-    is cut off: crowded cells are split as for ``near_duplicates``, whose other rules hold here too.
+    Shingles of many texts are split into blocks of ``cell``. The other rules of ``near_duplicates`` hold here too:
+    texts without words are one component, and texts with fewer words than a shingle are one shingle.
     """
     prepare(docs.sparkSession)
     view = documents_view(docs).withColumn("text_hash", F.xxhash64("text"))
-    route_bits = max(0, int(np.ceil(np.log2(max(1, view.count() / cell)))))
-    tables = table_count(similarity, route_bits)
-    schema = "doc_id bigint, text_hash bigint, words array<bigint>, cells array<bigint>"
-    prints = materialize(view.mapInArrow(_wide(words, width, route_bits, tables), schema), "wide-fingerprints")
+    part = -(-max(1, view.count()) // SAMPLE)
+    sample = view.where(F.pmod("text_hash", F.lit(part)) == 0).select("text").mapInArrow(_sets(words), "node bigint, shingles array<bigint>")
+    often = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
+    often = often.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    common = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, counts = common[order], np.array([r["count"] for r in often], np.int64)[order]
+    schema = "doc_id bigint, text_hash bigint, node bigint, n int, odd array<bigint>, leads array<bigint>, tokens array<bigint>"
+    rows = materialize(view.mapInArrow(_profiles(words, similarity, common, counts), schema), "similar-rows")
+    names = rows.select("doc_id", "text_hash", "node")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    classes = prints.groupBy("words").agg(first.alias("least"), F.any_value("cells").alias("cells")).withColumn("node", F.xxhash64("words"))
-    classes = materialize(classes, "wide-classes")
-    routed = classes.select("node", "words", F.element_at("words", 1).alias("bits"), F.posexplode("cells").alias("part", "cell"))
-    near, radius = similar_bits(similarity, 64, 3.0), similar_bits(similarity, 64 * width, 2.0)
-    found = components(_link_cells(routed, _cell_links(near, radius), near, BLOCK))
-    named = _named(classes.select("node", "least"), found, "node")
-    every = prints.select("doc_id", "text_hash", F.xxhash64("words").alias("node"))
-    every = join_spread(every, named, "node", max(1, every.count()))
+    classes = materialize(names.groupBy("node").agg(first.alias("least")), "similar-classes")
+    profiles = rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "odd", "leads", "tokens")))
+    profiles = materialize(profiles, "similar-profiles")
+    edges = _verified(_lead_pairs(profiles, similarity), view, classes, words, similarity)
+    found = components(edges)
+    found = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "similar-found")
+    profiles = profiles.drop("leads").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    edges = edges.unionByName(_verified(_open_pairs(profiles, similarity, cell), view, classes, words, similarity))
+    named = _named(classes, components(edges), "node")
+    every = join_spread(names, named, "node", max(1, names.count()))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     return every.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
