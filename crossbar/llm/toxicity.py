@@ -7,8 +7,8 @@ a negation and in reported speech; a threat needs a target after it. A document'
 its matched clauses and a logistic model maps them to a score.
 
 Insults beyond the built-in words are learned from labelled documents: whole words, and word beginnings that
-many different words share. Learning reads at most ``fit_rows`` labelled rows (a documented bound, the rows
-with the smallest hash); scoring reads every whole text.
+many different words share. Learning reads at most ``fit_rows`` labelled documents (a documented bound, those
+with the smallest hash) and counts every word of theirs; scoring reads every whole text and every clause whole.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialize, prepare
 
 #: Words of the closed classes, four languages.
 INSULT = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "loser", "losers", "worthless", "pathetic", "disgusting", "trash", "clown", "imbecile", "vermin", "trottel", "abschaum", "dummkopf", "crétin", "imbécile", "connard", "estúpido", "idiota", "imbécil", "escoria")
@@ -39,7 +39,8 @@ NEAR = 3
 
 FEATURES = ("hits", "weight", "strongest", "density", "negated", "reported", "threats")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_CLAUSE = re.compile(r"[.!?;:\n|]+")
+_ENDS = ".!?;:\n|"
+_CLAUSE = re.compile(f"[{_ENDS}]")
 
 
 # --- transducers --------------------------------------------------------------------------------------
@@ -141,23 +142,23 @@ class Lexicon:
         return found
 
     def features(self, text: str) -> list[float]:
-        """One value for each of FEATURES over the clauses of a whole text."""
+        """One value for each of FEATURES over the clauses of a whole text.
+
+        A clause that holds a word of the lexicon is read whole and once, whatever its length.
+        """
         low = text.lower()
         out = dict.fromkeys(FEATURES, 0.0)
-        done = -1
+        done = 0  # everything before is read or holds no word of the lexicon
         table = grammar()
         for end, size in self.search.iter(low) if len(self.search) else ():
             start = end + 1 - size
             if start < done or (start and low[start - 1].isalnum()):
                 continue
-            cut = -1
-            for sign in ".!?;:\n|":
-                cut = max(cut, low.rfind(sign, max(0, start - 400), start))
-            begin = cut + 1 if cut >= 0 else max(0, start - 400)
+            begin = max(done, *(low.rfind(sign, done, start) + 1 for sign in _ENDS))
             stop = _CLAUSE.search(low, end)
-            done = min(stop.start() if stop else len(low), end + 400)
+            done = stop.start() if stop else len(low)
             state = weight = 0
-            for m in _WORD.finditer(low, max(begin, 0), done):
+            for m in _WORD.finditer(low, begin, done):
                 symbol, strength = self.symbol(m[0])
                 state, factor, marks = table[state][symbol]
                 if marks:
@@ -174,7 +175,17 @@ class Lexicon:
 
 # --- learning -----------------------------------------------------------------------------------------
 
-LEAST_STEM, MOST_STEM = 4, 12
+#: Least counts and log-odds of a learned form; the shortest word beginning that is counted.
+LEAST_DOCS, LEAST_ODDS, LEAST_STEM = 5, 0.5, 4
+
+
+def stem_sizes(length: int) -> Iterator[int]:
+    """Lengths of the beginnings that are counted of a word: each up to 12, then in growing steps, so that a
+    word of any length has few of them and words with a common beginning always share one."""
+    n = LEAST_STEM
+    while n < length:
+        yield n
+        n += max(1, n // 12)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +196,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         neg: Counter = Counter()
         for text, label in zip(texts, toxic):
             words = set(_WORD.findall(text.lower()))
-            forms = {"=" + w for w in words if len(w) <= 40}
-            for n in range(LEAST_STEM, MOST_STEM + 1):
-                forms.update(w[:n] + "~" for w in words if len(w) > n)
+            forms = {"=" + w for w in words}
+            forms.update(w[:n] + "~" for w in words for n in stem_sizes(len(w)))
             (pos if label else neg).update(forms)
         forms = [*pos.keys() | neg.keys()]
         yield pa.RecordBatch.from_arrays(
@@ -196,33 +206,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, most: int = 2000) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that speak for label 1, from their document counts.
+def speaking(counts: DataFrame, pos: int, neg: int) -> DataFrame:
+    """form, pos, odds of the forms that speak for label 1: at least as many documents labelled 1 as 0, and
+    surely more than by chance. Odds are smoothed log-odds, lowered for small counts."""
+    p, n = F.col("pos") + F.lit(0.5), F.col("neg") + F.lit(0.5)
+    odds = F.log(p / n) - F.lit(math.log((pos + 1) / (neg + 1))) - F.lit(3.0) * F.sqrt(1 / p + 1 / n)
+    return counts.where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") >= F.col("neg"))).select("form", "pos", odds.alias("odds")).where(F.col("odds") > LEAST_ODDS)
+
+
+def choose_terms(forms: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with their weights out of forms (form, documents labelled 1, odds).
 
     A stem stands for its words if no single word makes up most of it; of nested stems with the same
-    documents the longest is enough. Weights are smoothed log-odds, lowered for small counts.
+    documents the longest is enough.
     """
-    base = math.log((pos + 1) / (neg + 1))
-    words: dict[str, tuple[int, float]] = {}
-    stems: dict[str, tuple[int, float]] = {}
-    for form, p, n in counts:
-        odds = math.log((p + 0.5) / (n + 0.5)) - base - 3.0 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        # at least as many labelled 1 as 0, and surely more than by chance
-        if p >= 5 and p >= n and odds > 0.5:
-            (words if form[0] == "=" else stems)[form.strip("=~")] = (p, odds)
-    alone = {w: p for w, (p, _) in words.items()}
+    words = {f[1:]: (p, odds) for f, p, odds in forms if f[0] == "="}
+    stems = {f[:-1]: (p, odds) for f, p, odds in forms if f[0] != "="}
+    most: dict[str, int] = {}  # of the words that begin so, the greatest count
+    for w, (p, _) in words.items():
+        for n in {*stem_sizes(len(w)), len(w)}:
+            most[w[:n]] = max(p, most.get(w[:n], 0))
     kept: dict[str, float] = {}
-    covered: dict[str, int] = {}
+    below: dict[str, int] = {}  # of the stems kept so far that begin so, the greatest count
     for stem in sorted(stems, key=lambda s: (-stems[s][0], -len(s), s)):
         p, odds = stems[stem]
-        if max((alone.get(stem[: len(stem)] + "", 0), *(c for w, c in alone.items() if w.startswith(stem))), default=0) > 0.6 * p:
+        if most.get(stem, 0) > 0.6 * p or below.get(stem, 0) >= 0.95 * p:
             continue
-        if any(stem.startswith(k) or k.startswith(stem) and covered[k] >= 0.95 * p for k in kept):
+        if any(stem[:n] in kept for n in stem_sizes(len(stem))):
             continue
-        kept[stem], covered[stem] = odds, p
-    single = {w: x for w, (p, x) in words.items() if not any(w.startswith(k) for k in kept)}
-    top = sorted(single, key=lambda w: (-single[w], w))[:most]
-    return {w: single[w] for w in top}, dict(list(kept.items())[:most])
+        kept[stem] = odds
+        for n in stem_sizes(len(stem)):
+            below[stem[:n]] = max(p, below.get(stem[:n], 0))
+    single = {w: odds for w, (_, odds) in words.items() if not any(w[:n] in kept for n in {*stem_sizes(len(w)), len(w)})}
+    return dict(sorted(single.items())), kept
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -255,19 +271,25 @@ def remainder(doc_id):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> ToxicityModel:
-    """Learn from labelled rows whose crc32(doc_id) mod 4 is not 2; at most ``fit_rows`` of them."""
+    """Learn from labelled documents whose crc32(doc_id) mod 4 is not 2; at most ``fit_rows`` of them.
+
+    This bound is on labelled rows only: of a chosen document the whole text and every form of it are counted.
+    Of several labels of one doc_id the greater counts, of several texts the least. Without labels of both
+    kinds the score is that of built-in weights.
+    """
     prepare(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != 2))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "labelled")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    train = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most fit_rows small rows
-    counts = train.mapInArrow(_count, "form string, pos bigint, neg bigint").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = [tuple(r) for r in counts.where("pos >= 5 and pos >= neg").orderBy(F.desc("pos"), "form").limit(50_000).collect()]
-    totals = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    found = texts.join(F.broadcast(sample), "doc_id")  # at most fit_rows small rows
+    train = materialize(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("doc_id"), "training")
+    totals = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     pos, n = int(totals[0] or 0), int(totals[1])
-    words, stems = choose_terms(found, pos, n - pos)
+    counts = train.mapInArrow(_count, "form string, pos bigint, neg bigint").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # what bounds this table is fit_rows: a form stands in LEAST_DOCS of so many texts
+    words, stems = choose_terms([tuple(r) for r in speaking(counts, pos, n - pos).collect()])
     mean = sum(words.values()) / len(words) if words else 1.0
     words = {w: mean for w in INSULT if not any(w.startswith(s) for s in stems)} | words
     lexicon = Lexicon(words, stems)

@@ -7,9 +7,9 @@ import pytest
 
 from crossbar.llm.license_scan import BASE, scan_licenses
 from crossbar.llm.sharding import SLOTS, ring, shard_documents, walk
-from crossbar.llm.toxicity import FEATURES, Lexicon, ToxicityModel, choose_terms, fit_logistic, fit_toxicity, grammar, keep_clean, score_toxicity
+from crossbar.llm.toxicity import AIMED, FEATURES, NEAR, NEGATED, NEGATION, REPORT, REPORTED, TARGET, THREAT, THREATENED, Lexicon, ToxicityModel, choose_terms, fit_logistic, fit_toxicity, grammar, keep_clean, score_toxicity, stem_sizes
 from crossbar.llm.url_filter import RULES, judge_urls, rule_table
-from crossbar.llm.vptree import Search, VantageTree, nearest
+from crossbar.llm.vptree import Search, VantageTree, lifted, nearest
 
 
 # --- nearest neighbours -------------------------------------------------------------------------------
@@ -44,17 +44,54 @@ def test_nearest(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_with_ties(spark):
+    """Different vectors with equal scores, also across shards: the smaller ids win."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(8)]) for i in range(1500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = brute_nearest(rows, 20, 20)
+    for how in ({}, {"shard_rows": 100, "block_rows": 9}):
+        got = {}
+        for r in nearest(df, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+
+
+def clustered(rng, n, spread=0.3):
+    centres = rng.normal(size=(20, 16))
+    return centres[rng.integers(0, 20, n)] + spread * rng.normal(size=(n, 16))
+
+
 def test_relaxed_search_visits_less_and_keeps_recall():
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(20, 16))
-    x = (centres[rng.integers(0, 20, 6000)] + 0.3 * rng.normal(size=(6000, 16))).astype(np.float64)
+    x = clustered(rng, 6000)
     queries, bound = x[:50], float((x**2).sum(axis=1).max())
-    tree = VantageTree(np.hstack([x, np.sqrt(bound - (x**2).sum(axis=1))[:, None]]))
-    exact, loose = (Search(tree, x, queries, bound, 20, relax) for relax in (1.0, 2.0))
+    tree = VantageTree(lifted(x, bound))
+    exact, some, loose = (Search(tree, x, np.arange(len(x)), queries, bound, 20, relax) for relax in (1.0, 1.3, 2.0))
     want = np.argsort(-(queries @ x.T), axis=1)[:, :20]
-    assert all(set(a) == set(b) for a, b in zip(exact.rows.tolist(), want.tolist()))
-    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(loose.rows.tolist(), want.tolist())])
-    assert loose.visited < exact.visited and recall > 0.6
+    assert exact.rows.tolist() == want.tolist()
+    recall = lambda s: np.mean([len(set(a) & set(b)) / 20 for a, b in zip(s.rows.tolist(), want.tolist())])
+    assert loose.visited < some.visited < exact.visited and recall(some) >= 0.9 and recall(loose) > 0.6
+
+
+def test_leaves_are_skipped(spark, monkeypatch):
+    """Of clustered vectors most leaves are ruled out, no tree is built twice, and the relaxed job keeps its recall."""
+    x = clustered(np.random.default_rng(4), 2000, 0.1)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    made = {}
+    monkeypatch.setattr("crossbar.llm.vptree.materialize", lambda df, name: made.setdefault(name, []).append(df.persist()) or made[name][-1])
+    want = brute_nearest(rows, 20, 20)
+    for relax, least in ((1.0, 1.0), (1.3, 0.9)):
+        made.clear()
+        got = {}
+        for r in nearest(df, relax=relax, shard_rows=100).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= least
+        trees, queries = made["trees"][0].count(), made["queries"][0].count()
+        assert len(made["trees"]) == 1 and trees >= 20
+        assert sum(v.count() for v in made["visits"]) < 0.7 * trees * queries
 
 
 # --- licences -----------------------------------------------------------------------------------------
@@ -170,10 +207,58 @@ def test_grammar():
     assert f("")["weight"] == f("clean text. nothing")["weight"] == 0
 
 
+def plain_features(text, words, stems):
+    """The grammar's rules said plainly: every clause is split off and read word by word, with looks back."""
+    out = dict.fromkeys(FEATURES, 0.0)
+    for clause in re.split(r"[.!?;:\n|]", text.lower()):
+        row = re.findall(r"[^\W_]+(?:['’][^\W_]+)*", clause)
+        kinds = []
+        for w in row:
+            stem = max((s for s in stems if w.startswith(s)), key=len, default=None)
+            kind = "I" if w in words else "R" if w in REPORT else "N" if w in NEGATION else "T" if w in TARGET else "P" if w in THREAT else "I" if stem else "O"
+            kinds.append((kind, words.get(w, stems.get(stem))))
+        weight = 0.0
+        for i, (kind, strength) in enumerate(kinds):
+            back = {k for k, _ in kinds[max(0, i - NEAR) : i]}
+            if kind == "I":
+                reported = any(k == "R" for k, _ in kinds[:i])
+                weight += strength * (NEGATED if "N" in back else 1) * (REPORTED if reported else 1) * (1 + AIMED * ("T" in back))
+                out["hits"] += 1
+                out["negated"] += "N" in back
+                out["reported"] += reported
+            elif kind == "T" and "P" in back:
+                weight += THREATENED
+                out["threats"] += 1
+        out["weight"] += weight
+        out["strongest"] = max(out["strongest"], weight)
+    out["density"] = out["weight"] / (1 + len(text.lower()) / 200)
+    return [np.log1p(out[f]) for f in FEATURES]
+
+
+def test_features_by_plain_rules():
+    rng = random.Random(12)
+    words, stems = {"idiot": 2.0, "scum": 1.5, "gro'b": 0.5}, {"bozo": 2.5, "bozoid": 1.0, "kretin": 0.7}
+    lexicon = Lexicon(words, stems)
+    some = ["lorem", "you", "not", "said", "kill", "people", "bozos", "bozoids", "xbozo", "idiot", "_idiot", "idiot's", "gro'b", "é", "Kretin", "SCUM", "never", "them", "wrote"]
+    for length in (0, 1, 5, 40, 3000):
+        for _ in range(40 if length < 1000 else 5):
+            for ends in ("", ".!?;:\n|"):  # without ends the text is one long clause
+                text = "".join(rng.choice(some if rng.random() < 0.5 else ["lorem"]) + (rng.choice(ends) if ends and rng.random() < 0.1 else "") + rng.choice([" ", "  ", ","]) for _ in range(length))
+                assert np.allclose(lexicon.features(text), plain_features(text, words, stems), rtol=1e-9, atol=1e-12)
+    spread = " ".join(["idiot"] + ["lorem"] * 59) * 1 + " " + " ".join((["idiot"] + ["lorem"] * 59) * 3)
+    assert dict(zip(FEATURES, np.expm1(lexicon.features(spread))))["hits"] == pytest.approx(4)
+    said = "he said " + "lorem " * 5000 + "idiot"
+    assert dict(zip(FEATURES, np.expm1(lexicon.features(said))))["reported"] == pytest.approx(1)
+
+
 def test_terms():
-    counts = [("=grob", 40, 0), ("=der", 40, 400), ("gemei~", 30, 0), ("gemein~", 30, 0)] + [(f"=gemein{c}", 5, 0) for c in "abcdef"]
-    words, stems = choose_terms(counts, 80, 800)
-    assert "grob" in words and set(stems) == {"gemein"} and "der" not in words
+    counts = [("=grob", 40, 4.0), ("gemei~", 30, 3.0), ("gemein~", 30, 3.0)] + [(f"=gemein{c}", 5, 1.0) for c in "abcdef"]
+    words, stems = choose_terms(counts)
+    assert "grob" in words and set(stems) == {"gemein"}
+    long = "x" * 5000
+    assert list(stem_sizes(4)) == [] and list(stem_sizes(14)) == [4, 5, 6, 7, 8, 9, 10, 11, 12, 13] and len(list(stem_sizes(5000))) < 100
+    words, stems = choose_terms([("=" + long, 9, 2.0), (long[:12] + "~", 9, 2.0)])
+    assert set(words) == {long} and not stems  # one word makes up the stem
     x = np.array([[0.0], [0.0], [1.0], [1.0]] * 10)
     w = fit_logistic(x, np.array([0.0, 0.0, 1.0, 1.0] * 10))
     assert w[0] > 1 and w[1] < 0
@@ -191,8 +276,10 @@ def test_learning_and_held_out(spark):
         docs.append((i, " ".join(words), "s"))
         labels.append((i, 1, toxic))
     docs += [(2000, None, "s"), (2001, "", "s"), (5, docs[5][1], "s"), (None, "you idiot", "s")]
+    again = next(i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs += [(again, "another text", "s")] * 300  # one doc_id in many rows
     d = spark.createDataFrame(docs, "doc_id bigint, text string, score string")
-    lab = spark.createDataFrame(labels + [(None, 1, 1), (3000, 1, None)], "doc_id bigint, quality int, toxic int")
+    lab = spark.createDataFrame(labels + [(None, 1, 1), (3000, 1, None), (8, 1, 0), (8, 0, labels[8][2])], "doc_id bigint, quality int, toxic int")
     model = fit_toxicity(d, lab)
     assert "blarg" in model.stems and isinstance(model, ToxicityModel)
     got = score_toxicity(d, model).toPandas()
