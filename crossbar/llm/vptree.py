@@ -5,60 +5,114 @@ point is then the one with the largest inner product, and the triangle inequalit
 subtree is skipped if its least possible distance, times ``relax``, is beyond the k-th best so far.
 ``relax`` 1 is the exact search; more skips more.
 
+1. Shards are the leaves of a small tree over a bounded sample (at most SAMPLE_POINTS points a shard and
+   SAMPLE_VALUES numbers); every vector is placed in one. Crowded leaves are dealt out to several shards.
+2. Each shard's tree is built once and written to the shared folder.
+3. Each query first visits the leaf whose centre is nearest. Its k-th best there bounds the second visit, to
+   the leaves only that the triangle inequality leaves over, where the search starts from that bound.
+
 Equal vectors are one point with its k + 1 smallest ids: a larger id of the same vector can't be among the
-k nearest of any query, which loses at most its own row. Shards of candidates meet blocks of queries, so a
-task holds a bounded number of both whatever the size of the table.
+k nearest of any query, which loses at most its own row. A task holds one shard and one block of queries,
+whatever the size of the table.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from .common import materialize, prepare
 
 LEAF = 256
+#: Leaves of the tree over the sample at most; sample points for each; numbers in the sample at most.
+MOST_LEAVES, SAMPLE_POINTS, SAMPLE_VALUES = 4096, 16, 8_000_000
+#: Rounding that a matrix product may add to a score, as a share of the product of the norms.
+SLACK = 1e-10
 
 
 class VantageTree:
     """Points in rows; inner children hold the half that is nearer to the vantage point."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 7):
-        self.points, self.leaf = points, leaf
-        self.rng = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
+        self.leaf, self.rng = leaf, np.random.default_rng(seed)
+        self.root = self._build(points, np.arange(len(points)))
 
-    def _build(self, rows: np.ndarray):
+    def _build(self, points: np.ndarray, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
-        some = self.points[self.rng.choice(rows, size=min(64, len(rows)), replace=False)]
+        some = points[self.rng.choice(rows, size=min(64, len(rows)), replace=False)]
         far = np.linalg.norm(some[:, None, :] - some[None, :, :], axis=2).var(axis=1)
         vantage = some[int(far.argmax())]
-        away = np.linalg.norm(self.points[rows] - vantage, axis=1)
+        away = np.linalg.norm(points[rows] - vantage, axis=1)
         middle = np.median(away)
         inside = away <= middle
         if inside.all():
             return rows
         a, b = away[inside], away[~inside]
-        return (vantage, middle, (a.min(), a.max()), (b.min(), b.max()), self._build(rows[inside]), self._build(rows[~inside]))
+        return (vantage, middle, (a.min(), a.max()), (b.min(), b.max()), self._build(points, rows[inside]), self._build(points, rows[~inside]))
+
+    def leaves(self) -> list[np.ndarray]:
+        """Rows of each leaf, from the inside out."""
+        out, todo = [], [self.root]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, np.ndarray):
+                out.append(node)
+            else:
+                todo += [node[5], node[4]]
+        return out
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        """Number of the leaf that each point falls in."""
+        out, number = np.zeros(len(points), np.int64), 0
+        todo = [(self.root, np.arange(len(points)))]
+        while todo:
+            node, who = todo.pop()
+            if isinstance(node, np.ndarray):
+                out[who] = number
+                number += 1
+                continue
+            inside = np.linalg.norm(points[who] - node[0], axis=1) <= node[1]
+            todo += [(node[5], who[~inside]), (node[4], who[inside])]
+        return out
+
+
+def lifted(vectors: np.ndarray, bound: float) -> np.ndarray:
+    """The points of vectors whose squared norms are at most ``bound``."""
+    lift = np.sqrt(np.maximum(bound - (vectors**2).sum(axis=1), 0.0))
+    return np.concatenate([vectors, lift[:, None]], axis=1)
+
+
+def radius(base: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    """Distance of a point with the score ``worst`` (with some room for rounding)."""
+    return np.sqrt(np.maximum(base - 2 * worst, 0.0)) * (1 + 1e-9) + 1e-7
 
 
 class Search:
-    """The k best rows of a tree for many queries at once: each node is met by all queries that reach it."""
+    """The k best rows of a tree for many queries at once: each node is met by all queries that reach it.
 
-    def __init__(self, tree: VantageTree, vectors: np.ndarray, queries: np.ndarray, bound: float, k: int, relax: float):
-        self.tree, self.vectors, self.queries, self.k, self.relax = tree, vectors, queries, k, relax
-        self.base = (queries**2).sum(axis=1) + bound
+    Ties of scores go to the smaller of ``ids``; rows that score below ``floor`` may be left out.
+    """
+
+    def __init__(self, tree: VantageTree, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, bound: float, k: int, relax: float, floor: np.ndarray | None = None):
+        self.tree, self.vectors, self.ids, self.queries, self.k, self.relax = tree, vectors, ids, queries, k, relax
+        square = (queries**2).sum(axis=1)
+        self.base, self.slack = square + bound, SLACK * np.sqrt(square * bound)
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         self.best = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1, np.int64)
         self.visited = 0
         self._visit(tree.root, np.arange(len(queries)))
 
-    def _radius(self, who: np.ndarray) -> np.ndarray:
-        worst = self.best[who, -1]
-        return np.sqrt(np.maximum(self.base[who] - 2 * worst, 0.0)) * (1 + 1e-9) + 1e-7
+    def _worst(self, who: np.ndarray) -> np.ndarray:
+        return np.maximum(self.best[who, -1], self.floor[who])
 
     def _visit(self, node, who: np.ndarray) -> None:
         if not len(who):
@@ -75,46 +129,125 @@ class Search:
         for child, span, left in ((outer, far, first), (inner, near, ~first)):
             rest, d = who[left], away[left]
             least = np.maximum(np.maximum(span[0] - d, d - span[1]), 0.0)
-            self._visit(child, rest[least * self.relax <= self._radius(rest)])
+            self._visit(child, rest[least * self.relax <= radius(self.base[rest], self._worst(rest))])
 
     def _scan(self, rows: np.ndarray, who: np.ndarray) -> None:
         self.visited += len(rows) * len(who)
         for a in range(0, len(who), 2048):
             some = who[a : a + 2048]
-            score = self.queries[some] @ self.vectors[rows].T
-            score = np.concatenate([self.best[some], score], axis=1)
-            index = np.concatenate([self.rows[some], np.broadcast_to(rows, (len(some), len(rows)))], axis=1)
-            top = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k] if score.shape[1] > self.k else np.arange(score.shape[1])[None, :].repeat(len(some), 0)
-            score, index = np.take_along_axis(score, top, 1), np.take_along_axis(index, top, 1)
-            order = np.argsort(-score, axis=1, kind="stable")
-            self.best[some], self.rows[some] = np.take_along_axis(score, order, 1), np.take_along_axis(index, order, 1)
+            rough = self.queries[some] @ self.vectors[rows].T
+            limit = self._worst(some)
+            if len(rows) > self.k:
+                limit = np.maximum(limit, np.partition(rough, -self.k, axis=1)[:, -self.k])
+            q, r = np.nonzero(rough >= (limit - self.slack[some])[:, None])
+            # scores in one fixed order of summation, so that equal ones are equal
+            q, r = some[q], rows[r]
+            score = (self.queries[q] * self.vectors[r]).sum(axis=1)
+            old = np.nonzero(self.rows[some] >= 0)
+            q = np.concatenate([some[old[0]], q])
+            score = np.concatenate([self.best[some][old], score])
+            r = np.concatenate([self.rows[some][old], r])
+            order = np.lexsort((self.ids[r], -score, q))
+            q, score, r = q[order], score[order], r[order]
+            at = np.arange(len(q)) - np.searchsorted(q, q)
+            top = at < self.k
+            self.best[q[top], at[top]], self.rows[q[top], at[top]] = score[top], r[top]
 
 
+# --- jobs ---------------------------------------------------------------------------------------------
+
 _FOUND = "q1 bigint, q2 bigint, vec_id bigint, score double"
+_TREE = "dim int, shard int, part int, tree binary"
+_VISIT = "q1 bigint, q2 bigint, v array<{kind}>, dim int, block int, floor double, shard int, part int"
+
+
+def _matrix(lists: pa.Array | pd.Series) -> np.ndarray:
+    """Vectors of one length as rows."""
+    if isinstance(lists, pa.Array):
+        return lists.flatten().to_numpy().reshape(len(lists), -1).astype(np.float64)
+    return np.stack(lists.to_list()).astype(np.float64)
+
+
+def _build(bound: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[np.lexsort((pdf["least"].to_numpy(), pdf["h"].to_numpy()))]
+        vectors = _matrix(pdf["v"])
+        ids = [np.asarray(x, np.int64) for x in pdf["ids"]]
+        tree = VantageTree(lifted(vectors, bound))
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "part": [key[2]], "tree": [pickle.dumps((tree, vectors, ids))]})
+
+    return run
 
 
 def _search(k: int, relax: float, bound: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q1": [], "q2": [], "vec_id": [], "score": []}).astype({"q1": "int64", "q2": "int64", "vec_id": "int64"})
-        left = left.iloc[np.lexsort((left["least"].to_numpy(), left["h"].to_numpy()))]
-        vectors, queries = np.stack(left["v"].to_list()).astype(np.float64), np.stack(right["v"].to_list()).astype(np.float64)
-        lift = np.sqrt(np.maximum(bound - (vectors**2).sum(axis=1), 0.0))
-        tree = VantageTree(np.concatenate([vectors, lift[:, None]], axis=1))
-        found = Search(tree, vectors, queries, bound, k, relax)
-        q, r = np.nonzero(found.rows >= 0)
-        rows = found.rows[q, r]
-        score = np.einsum("ij,ij->i", queries[q], vectors[rows])
-        ids = left["ids"].to_numpy()[rows]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return pd.DataFrame(
-            {
-                "q1": np.repeat(right["q1"].to_numpy()[q], sizes),
-                "q2": np.repeat(right["q2"].to_numpy()[q], sizes),
-                "vec_id": np.concatenate(list(ids)) if len(ids) else np.zeros(0, np.int64),
-                "score": np.repeat(score, sizes),
-            }
-        )
+        out = {"q1": [], "q2": [], "vec_id": [], "score": []}
+        if len(left) and len(right):
+            tree, vectors, ids = pickle.loads(left["tree"].iloc[0])
+            floor = right["floor"].fillna(-np.inf).to_numpy(np.float64)
+            found = Search(tree, vectors, np.array([x[0] for x in ids]), _matrix(right["v"]), bound, k, relax, floor)
+            q, at = np.nonzero(found.rows >= 0)
+            members = [ids[r] for r in found.rows[q, at]]
+            sizes = np.array([len(x) for x in members], np.int64)
+            q, score, vec_id = np.repeat(q, sizes), np.repeat(found.best[q, at], sizes), np.concatenate([*members, np.zeros(0, np.int64)])
+            order = np.lexsort((vec_id, -score, q))
+            q, score, vec_id = q[order], score[order], vec_id[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q = q[top]
+            out = {"q1": right["q1"].to_numpy()[q], "q2": right["q2"].to_numpy()[q], "vec_id": vec_id[top], "score": score[top]}
+        return pd.DataFrame(out).astype({"q1": "int64", "q2": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
+def _place(router: VantageTree, dim: int, bound: float, centres: np.ndarray):
+    """The leaf of each vector and its distance from the leaf's centre; vectors of other lengths have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = np.flatnonzero(batch.column("dim").to_numpy() == dim)
+            leaf, away = np.full(len(batch), -1, np.int32), np.zeros(len(batch))
+            if len(here):
+                points = lifted(_matrix(batch.column("v").take(pa.array(here))), bound)
+                leaf[here] = router.place(points)
+                away[here] = np.linalg.norm(points - centres[leaf[here]], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(away)], names=[*batch.schema.names, "leaf", "away"])
+
+    return run
+
+
+def _visits(dim: int, shards: int, bound: float, centres: np.ndarray, spans: np.ndarray, parts: np.ndarray, relax: float, first: bool):
+    """A row for each shard of each leaf that a query visits: the one with the nearest centre, or all others that may hold better."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square = (centres**2).sum(axis=1)
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+            dims = batch.column("dim").to_numpy()
+            rows, leaves = [], []
+            other = np.flatnonzero(dims != dim)
+            if first:  # vectors of lengths that the sample lacks meet all shards of their length at once
+                rows.append(np.repeat(other, shards)), leaves.append(np.tile(np.arange(shards), len(other)))
+            here = np.flatnonzero(dims == dim)
+            if len(here):
+                q = _matrix(batch.column("v").take(pa.array(here)))
+                norm = (q**2).sum(axis=1)
+                away = np.sqrt(np.maximum(norm[:, None] - 2 * q @ centres[:, :-1].T + square, 0.0))
+                home = np.where(spans[:, 1] >= 0, away, np.inf).argmin(axis=1)
+                if first:
+                    rows.append(here), leaves.append(home)
+                else:
+                    floor = np.nan_to_num(batch.column("floor").take(pa.array(here)).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf, neginf=-np.inf)
+                    least = np.maximum(np.maximum(spans[:, 0] - away, away - spans[:, 1]), 0.0)
+                    may = (least * relax <= radius(norm + bound, floor)[:, None]) & (spans[:, 1] >= 0)
+                    may[np.arange(len(here)), home] = False
+                    a, b = np.nonzero(may)
+                    rows.append(here[a]), leaves.append(b)
+            at, shard = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, leaves))
+            times = np.where(dims[at] == dim, parts[np.minimum(shard, len(parts) - 1)], 1)
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at, shard = pa.array(np.repeat(at, times)), pa.array(np.repeat(shard, times).astype(np.int32))
+            columns = [batch.column(c).take(at) for c in ("q1", "q2", "v", "dim", "block", "floor")]
+            yield pa.RecordBatch.from_arrays([*columns, shard, pa.array(part.astype(np.int32))], names=["q1", "q2", "v", "dim", "block", "floor", "shard", "part"])
 
     return run
 
@@ -128,6 +261,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The first k hits of each query."""
+    order = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("r", order).where(F.col("r") <= k).drop("r")
+
+
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, relax: float = 1.0, shard_rows: int = 8192, block_rows: int = 4096
 ) -> DataFrame:
@@ -135,8 +274,8 @@ def nearest(
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
     do null vec_ids; a query meets only vectors of its own length; its own vec_id is never a candidate; ties
-    go to the smaller vec_id; repeated rows count once; fewer than k candidates give fewer rows; an empty
-    table gives none; other columns are never read.
+    go to the smaller vec_id, also between different vectors; repeated rows count once; fewer than k candidates
+    give fewer rows; an empty table gives none; other columns are never read.
     """
     prepare(vectors.sparkSession)
     rows = usable(vectors).where("vec_id is not null").distinct()
@@ -151,15 +290,46 @@ def nearest(
     classes = materialize(classes, "vectors")
     asked = rows.where(F.col("vec_id") % every == 0)
     query = asked.groupBy("v").agg(F.min("vec_id").alias("q2")).withColumns({"q1": F.xxhash64("v"), "dim": F.size("v")})
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, bound, dim = classes.agg(F.count(F.lit(1)), F.max(square), F.mode("dim")).first()
+    bound, dim, shards = bound or 0.0, dim or 0, max(1, -(-n // shard_rows))
+    blocks = max(1, -(-query.count() // block_rows))
+    query = query.withColumns({"block": F.pmod("q1", F.lit(blocks)).cast("int"), "floor": F.lit(None).cast("double")})
     query = materialize(query, "queries")
-    n, m, bound = classes.count(), query.count(), classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    shard, block = F.pmod("h", F.lit(shards)).cast("int"), F.pmod("q1", F.lit(blocks)).cast("int")
-    left = classes.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = query.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block")).applyInPandas(_search(k + 1, relax, bound), _FOUND)
-    best = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
-    top = found.withColumn("r", best).where(F.col("r") <= k + 1)
+
+    leaves = min(shards, MOST_LEAVES)
+    some = classes.where(F.col("dim") == dim).orderBy("h", "least").limit(max(1, min(leaves * SAMPLE_POINTS, SAMPLE_VALUES // max(1, dim))))
+    points = lifted(_matrix(pd.Series([np.array(r["v"]) for r in some.select("v").collect()])), bound) if n else np.zeros((1, 1))
+    router = VantageTree(points, leaf=max(1, -(-len(points) // leaves)))
+    centres = np.array([points[x].mean(axis=0) for x in router.leaves()])
+    wider = StructType([*classes.schema.fields]).add("leaf", IntegerType()).add("away", DoubleType())
+    placed = classes.mapInArrow(_place(router, dim, bound, centres), wider)
+    placed = materialize(placed, "placed")
+    spans = np.tile([np.inf, -np.inf], (len(centres), 1))
+    sizes = np.zeros(len(centres), np.int64)
+    for r in placed.where("leaf >= 0").groupBy("leaf").agg(F.min("away"), F.max("away"), F.count(F.lit(1))).collect():  # at most 2 * MOST_LEAVES rows
+        spans[r[0]], sizes[r[0]] = (r[1] - 1e-7, r[2] + 1e-7), r[3]
+    parts = np.maximum(1, -(-sizes // (2 * shard_rows)))
+    routed, several = F.col("leaf") >= 0, F.element_at(F.lit(parts.tolist()), F.greatest("leaf", F.lit(0)) + 1)
+    placed = placed.withColumn("shard", F.when(routed, F.col("leaf")).otherwise(F.pmod("h", F.lit(shards))).cast("int"))
+    placed = placed.withColumn("part", F.when(routed, F.pmod("h", several)).otherwise(0).cast("int"))
+    trees = placed.select("dim", "shard", "part", "h", "least", "ids", "v").groupBy("dim", "shard", "part")
+    trees = materialize(trees.applyInPandas(_build(bound), _TREE), "trees")
+
+    def visit(asking: DataFrame, first: bool) -> DataFrame:
+        schema = _VISIT.format(kind=query.schema["v"].dataType.elementType.simpleString())
+        made = asking.select("q1", "q2", "v", "dim", "block", "floor").mapInArrow(_visits(dim, shards, bound, centres, spans, parts, relax, first), schema)
+        made = materialize(made, "visits")
+        keys = ["dim", "shard", "part", "block"]
+        met = trees.join(made.select(*[F.col(c).alias(c) for c in keys]).distinct(), keys[:3])
+        found = met.groupBy(*keys).cogroup(made.groupBy(*keys)).applyInPandas(_search(k + 1, relax, bound), _FOUND)
+        return materialize(_best(found, k + 1), "found")
+
+    top = visit(query, True)
+    if len(centres) > 1:
+        full = top.groupBy("q1", "q2").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n"))
+        bounded = query.join(full, ["q1", "q2"], "left").withColumn("floor", F.when(F.col("n") > k, F.col("bound")))
+        top = _best(top.unionByName(visit(bounded, False)), k + 1)
     lists = top.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
     lists = lists.join(query.select("q1", "q2", "v"), ["q1", "q2"])
     each = asked.join(lists, "v").select(
