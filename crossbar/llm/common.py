@@ -42,6 +42,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Named tables of one computation in a folder of the shared one. A table is dropped once nothing reads it any
+    more: what was made of it is written too."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, fresh_path(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan behind is dropped, the rows are in the shared folder."""
     shared_dir(df.sparkSession)

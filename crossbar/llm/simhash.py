@@ -22,20 +22,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import DROP_KEY, cut, documents_view, drop_rows, join_spread, materialize, prepare
+from .common import DROP_KEY, Scratch, cut, documents_view, drop_rows, join_spread, materialize, prepare
 
 SEED = 42
 CELL = 4096
 BLOCK = 8192
 FAN = 8
 MARKS = 1024
-#: Of similar texts: least hashes that a set is first met by, parity bits, texts in the sample, and shingles at most
-#: that are told as common in it (a table of fixed size).
-LEADS, PARITIES, SAMPLE, COMMON = 6, 256, 20_000, 1 << 17
+#: Of similar texts: least hashes that a set is first met by, texts in the sample, and shingles at most that are
+#: told as common in it (a table of fixed size).
+LEADS, SAMPLE, COMMON = 6, 20_000, 1 << 17
 
 
 # --- fingerprints -------------------------------------------------------------------------------------
@@ -333,19 +333,6 @@ def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
 # --- similar texts ------------------------------------------------------------------------------------
 
 
-def similar_bits(similarity: float, bits: int, deviations: float) -> int:
-    """Differing bits of ``bits`` that sets of this Jaccard similarity keep to, up to so many deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
-
-
-def table_count(similarity: float, route_bits: int, miss: float = 0.01) -> int:
-    """Tables of ``route_bits`` sampled bits in which a similar pair meets but for a share of ``miss``."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    meet = (1 - p) ** route_bits
-    return 1 if meet >= 1 - miss else int(np.ceil(np.log(miss) / np.log(1 - meet)))
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
@@ -354,7 +341,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, len(whole), 1024)):
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, len(whole), 256)):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([_nodes(sets), _lists(sets)], names=["node", "shingles"])
 
@@ -376,90 +363,140 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """PARITIES bits in 64-bit words: of two sets they differ in no more bits than the sets in elements."""
-    odd = np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    """A bit or more for each element, in 2^k words of 64: of two sets they differ in no more bits than the sets
+    differ in elements, also once the longer one is folded to the length of the other."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(words: np.ndarray, length: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
+
+
 def _profiles(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
     mixes = np.random.default_rng(SEED).integers(0, 1 << 63, LEADS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, len(whole), 1024)):
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, len(whole), 256)):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
             leads = [((x[:, None] ^ (x[:, None] >> np.uint64(29))) * mixes).min(axis=0) if len(x) else x for x in sets]
             tokens = [prefix(x, similarity, common, counts) if len(x) else x for x in sets]
+            odd = [parities(x) for x in sets]
+            brief = np.array([folded(x, 1)[0] for x in odd], np.uint64).view(np.int64)
             n = pa.array([len(x) for x in sets], pa.int32())
-            cols = [batch.column(0), batch.column(2), _nodes(sets), n, _lists([parities(x) for x in sets]), _lists(leads), _lists(tokens)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "odd", "leads", "tokens"])
+            cols = [batch.column(0), batch.column(2), _nodes(sets), n, pa.array(brief), _lists(odd), _lists(leads), _lists(tokens)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "brief", "odd", "leads", "tokens"])
 
     return run
 
 
-def _bounds(similarity: float) -> tuple[F.Column, F.Column]:
-    """Whether sizes n1, n2 and parities odd1, odd2 allow the similarity; how many shingles must then be shared."""
+def _fits(similarity: float) -> tuple[Column, Column]:
+    """Whether sizes n1, n2 and parities brief1, brief2 allow the similarity; how many shingles must then be shared."""
     least = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
-    differ = sum((F.bit_count(F.element_at("odd1", i).bitwiseXOR(F.element_at("odd2", i))) for i in range(1, PARITIES // 64 + 1)), F.lit(0))
     sizes = F.least("n1", "n2") >= F.lit(similarity) * F.greatest("n1", "n2") - 1e-6
+    differ = F.bit_count(F.col("brief1").bitwiseXOR(F.col("brief2")))
     return sizes & (differ <= F.col("n1") + F.col("n2") - 2 * least), least
 
 
-def _verified(pairs: DataFrame, view: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+def _close(similarity: float):
+    """Pairs whose parities allow the similarity."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch.column("n1").to_numpy() + batch.column("n2").to_numpy()) * share + 1e-6
+            one, two = batch.column("odd1"), batch.column("odd2")
+            keep = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                a, b = (c[i].values.to_numpy().view(np.uint64) for c in (one, two))
+                size = min(len(a), len(b))
+                keep[i] = np.bitwise_count(folded(a, size) ^ folded(b, size)).sum() <= n[i]
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return run
+
+
+def _both_ends(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...], total: int) -> DataFrame:
+    """Pairs (u, v) with some columns of both their nodes, numbered 1 and 2."""
+    for key, place in (("u", "1"), ("v", "2")):
+        end = table.select(F.col("node").alias(key), *[F.col(c).alias(c + place) for c in columns])
+        pairs = join_spread(pairs, end, key, max(1, total))
+    return pairs
+
+
+def _verified(pairs: DataFrame, profiles: DataFrame, view: DataFrame, classes: DataFrame, words: int, similarity: float, scratch: Scratch, step: str) -> DataFrame:
     """Those of the pairs (u, v) of nodes whose shingle sets have this Jaccard similarity or more."""
-    pairs = materialize(pairs.distinct(), "similar-pairs")
+    pairs = scratch.write(pairs.distinct(), f"{step}-met")
     total = pairs.count()
+    close = _both_ends(pairs, profiles, ("n", "odd"), total).mapInArrow(_close(similarity), "u bigint, v bigint")
+    close = scratch.write(close, f"{step}-close")
     # sets are made again, of texts that a Bloom filter passes: one text of each node
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = materialize(asked.join(classes, "node").select("node", F.col("least.text_hash").alias("text_hash")), "similar-nodes")
+    asked = close.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = scratch.write(asked.join(classes, "node").select("node", F.col("least.text_hash").alias("text_hash")), f"{step}-asked")
     blocks = bloom.block_count(asked.count())
     passed = bloom.possible(view, F.col("text_hash"), bloom.build(asked, "text_hash", blocks), blocks, "__asked").where("__asked")
     sets = passed.select("text").mapInArrow(_sets(words), "node bigint, shingles array<bigint>")
-    one = materialize(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "similar-sets")
-    both = pairs
-    for key, name in (("u", "a"), ("v", "b")):
-        both = join_spread(both, one.select(F.col("node").alias(key), F.col("shingles").alias(name)), key, max(1, total))
-    shared = F.size(F.array_intersect("a", "b"))
-    return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v"), "similar-edges")
+    one = scratch.write(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")), f"{step}-sets")
+    both = _both_ends(close, one, ("shingles",), close.count())
+    shared = F.size(F.array_intersect("shingles1", "shingles2"))
+    edges = both.where(shared / (F.size("shingles1") + F.size("shingles2") - shared) >= similarity).select("u", "v")
+    edges = scratch.write(edges, f"{step}-edges")
+    scratch.drop(*(f"{step}-{t}" for t in ("met", "close", "asked", "sets")))
+    return edges
 
 
-def _lead_pairs(profiles: DataFrame, similarity: float) -> DataFrame:
+def _lead_pairs(profiles: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of each set with one set of those that agree in one of LEADS least hashes: a few a row."""
-    keyed = profiles.select("node", "n", "odd", F.posexplode("leads").alias("part", "lead")).drop("part")
-    keyed = keyed.select(F.col("lead").alias("key"), *(F.col(c).alias(c + "1") for c in ("node", "n", "odd")))
-    keyed = materialize(keyed, "similar-leads")
-    chosen = F.min_by(F.struct("node1", "n1", "odd1"), F.xxhash64("node1", "key")).alias("head")
+    columns = ("node", "n", "brief")
+    keyed = profiles.select(*columns, F.posexplode("leads").alias("part", "lead"))
+    keyed = scratch.write(keyed.select(F.col("lead").alias("key"), *(F.col(c).alias(c + "1") for c in columns)), "leads")
+    chosen = F.min_by(F.struct("node1", "n1", "brief1"), F.xxhash64("node1", "key")).alias("head")
     heads = keyed.groupBy("key").agg(chosen, F.count(F.lit(1)).alias("size")).where("size > 1")
-    heads = heads.select("key", *(F.col("head")[c + "1"].alias(c + "2") for c in ("node", "n", "odd")))
-    met = join_spread(keyed, materialize(heads, "similar-heads"), "key", max(1, keyed.count()))
-    met = met.where(_bounds(similarity)[0] & (F.col("node1") != F.col("node2")))
+    heads = heads.select("key", *(F.col("head")[c + "1"].alias(c + "2") for c in columns))
+    met = join_spread(keyed, scratch.write(heads, "heads"), "key", max(1, keyed.count()))
+    met = met.where(_fits(similarity)[0] & (F.col("node1") != F.col("node2")))
     return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"))
 
 
-def _open_pairs(profiles: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _with_component(profiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Profiles with the component of their node, its own number where it has no link. Only rows that a Bloom filter
+    of the linked nodes passes are joined, so the prefixes of the others stay where they are."""
+    blocks = bloom.block_count(found.count())
+    flagged = bloom.possible(profiles, F.col("node"), bloom.build(found, "node", blocks), blocks, "__linked")
+    alone = flagged.where("not __linked").drop("__linked").withColumn("component", F.col("node"))
+    linked = flagged.where("__linked").drop("__linked").join(found, "node", "left")
+    return alone.unionByName(linked.withColumn("component", F.coalesce("component", "node")))
+
+
+def _open_pairs(profiles: DataFrame, similarity: float, cell: int, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of sets of different components that share a shingle of their prefixes, except those whose
     sizes, places in the order or parities rule the similarity out.
 
     The sets of a shingle outside its largest component meet all of them, in blocks of ``cell``.
     """
-    rows = profiles.select("node", "n", "odd", "component", F.posexplode("tokens").alias("pos", "token"))
+    rows = profiles.select("node", "n", "brief", "component", F.posexplode("tokens").alias("pos", "token"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    mixed = materialize(mixed, "similar-mixed")
+    mixed = scratch.write(mixed, "mixed")
     blocks = bloom.block_count(mixed.count())
     likely = bloom.possible(rows, F.col("token"), bloom.build(mixed, "token", blocks), blocks, "__mixed").where("__mixed").drop("__mixed")
-    members = materialize(likely, "similar-members")
-    sizes = materialize(members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")), "similar-sizes")
+    likely = scratch.write(likely, "likely")
+    sizes = scratch.write(likely.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     bulk = sizes.groupBy("token").agg(
         F.max_by("component", F.struct("size", "component")).alias("bulk"), F.max("size").alias("most"), F.sum("size").alias("all")
     )
     # a shingle that only the filter lets pass has no others
-    bulk = materialize(bulk.where("all > most").withColumns({"few": F.ceil((F.col("all") - F.col("most")) / cell), "many": F.ceil(F.col("all") / cell)}).drop("most", "all"), "similar-bulks")
-    members = materialize(join_spread(members, bulk, "token", max(1, members.count())), "similar-members")
+    bulk = scratch.write(bulk.where("all > most").withColumns({"few": F.ceil((F.col("all") - F.col("most")) / cell), "many": F.ceil(F.col("all") / cell)}).drop("most", "all"), "bulks")
+    members = scratch.write(join_spread(likely, bulk, "token", max(1, likely.count())), "members")
+    scratch.drop("mixed", "likely", "sizes", "bulks")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    side = lambda x: [F.col(c).alias(c + x) for c in ("node", "n", "odd", "component", "pos")]
+    side = lambda x: [F.col(c).alias(c + x) for c in ("node", "n", "brief", "component", "pos")]
     left = members.where("component <> bulk").select("token", block("few").alias("i"), every("many").alias("j"), *side("1"))
     right = members.select("token", every("few").alias("i"), block("many").alias("j"), *side("2"))
-    fits, least = _bounds(similarity)
+    fits, least = _fits(similarity)
     possible = (
         (F.col("component1") != F.col("component2"))
         & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
@@ -479,41 +516,49 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     1. Each set is compared with one set of those that agree in a least hash. This only joins most copies early.
     2. Sets of this similarity share a shingle of their prefixes in any fixed order of shingles. Prefixes are taken
        rarest first (by the counts in a sample of SAMPLE texts, which decide about speed only), and all pairs
-       across components that meet there are compared, but for those that exact bounds rule out.
+       across components that meet there are compared, but for those that exact bounds rule out: sizes, places in
+       the order, and parities of the sets (a fingerprint of a bit a shingle, folded to one length).
 
     Shingles of many texts are split into blocks of ``cell``. The other rules of ``near_duplicates`` hold here too:
     texts without words are one component, and texts with fewer words than a shingle are one shingle.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "similar")
     view = documents_view(docs).withColumn("text_hash", F.xxhash64("text"))
-    part = -(-max(1, view.count()) // SAMPLE)
+    total = view.count()
+    part = -(-max(1, total) // SAMPLE)
     sample = view.where(F.pmod("text_hash", F.lit(part)) == 0).select("text").mapInArrow(_sets(words), "node bigint, shingles array<bigint>")
     often = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
     often = often.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     common = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(common)
     common, counts = common[order], np.array([r["count"] for r in often], np.int64)[order]
-    schema = "doc_id bigint, text_hash bigint, node bigint, n int, odd array<bigint>, leads array<bigint>, tokens array<bigint>"
-    rows = materialize(view.mapInArrow(_profiles(words, similarity, common, counts), schema), "similar-rows")
-    names = rows.select("doc_id", "text_hash", "node")
+    schema = "doc_id bigint, text_hash bigint, node bigint, n int, brief bigint, odd array<bigint>, leads array<bigint>, tokens array<bigint>"
+    rows = scratch.write(view.mapInArrow(_profiles(words, similarity, common, counts), schema), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    classes = materialize(names.groupBy("node").agg(first.alias("least")), "similar-classes")
-    profiles = rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "odd", "leads", "tokens")))
-    profiles = materialize(profiles, "similar-profiles")
-    edges = _verified(_lead_pairs(profiles, similarity), view, classes, words, similarity)
+    classes = scratch.write(rows.groupBy("node").agg(first.alias("least")), "classes")
+    profiles = rows.drop("doc_id", "text_hash")
+    if classes.count() < total:  # sets that several rows have are one profile
+        profiles = scratch.write(profiles.groupBy("node").agg(*(F.any_value(c).alias(c) for c in profiles.columns if c != "node")), "profiles")
+    edges = _verified(_lead_pairs(profiles, similarity, scratch), profiles, view, classes, words, similarity, scratch, "first")
+    scratch.drop("leads", "heads")
     found = components(edges)
-    found = materialize(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "similar-found")
-    profiles = profiles.drop("leads").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    edges = edges.unionByName(_verified(_open_pairs(profiles, similarity, cell), view, classes, words, similarity))
+    found = scratch.write(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "found")
+    placed = _with_component(profiles.drop("leads", "odd"), found)
+    edges = edges.unionByName(_verified(_open_pairs(placed, similarity, cell, scratch), profiles, view, classes, words, similarity, scratch, "second"))
+    scratch.drop("members", "found", "profiles")
     named = _named(classes, components(edges), "node")
-    every = join_spread(names, named, "node", max(1, names.count()))
+    names = rows.select("doc_id", "text_hash", "node")
+    every = join_spread(names, named, "node", max(1, total))
     kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
-    return every.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+    done = scratch.write(every.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), kept.alias("kept")), "done")
+    scratch.drop("rows", "classes", "first-edges", "second-edges")
+    return done
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float | None = 0.8) -> DataFrame:
     """``docs`` with one document of each component, all columns as they are: of similar texts, or of
     fingerprints at two or fewer differing bits where ``similarity`` is None."""
-    found = materialize(near_duplicates(docs) if similarity is None else similar_documents(docs, similarity), "near-duplicates")
+    found = materialize(near_duplicates(docs), "near-duplicates") if similarity is None else similar_documents(docs, similarity)
     hashed = docs.withColumn(DROP_KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
     return drop_rows(hashed, found.where("not kept").select("doc_id", "text_hash"), found.where("kept").select("doc_id", "text_hash"))
