@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, shared_folder
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder, read by Spark only (any file system it knows)."""
@@ -16,17 +17,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a folder of the session's warehouse is used instead.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_crossbar_shared"
+    """The folder that driver and executors share; checkpoints go there too."""
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as the full URI that Spark would take it for."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

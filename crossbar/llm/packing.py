@@ -1,7 +1,7 @@
 """Operator 1: packing of documents into fixed-length training sequences.
 
 First-fit decreasing with a tournament tree of bin capacities, run independently in randomised
-groups of documents. A group holds a bounded number of documents whatever the size of the corpus,
+groups of pieces. A group holds a bounded number of pieces whatever the size of the corpus,
 so memory is bounded and the groups are packed side by side; the only loss against one global
 packing is about one part-filled sequence a group.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_view, prepare
+from .common import documents_view, materialize, prepare
 from .tokens import encoder, little_blocks, vocabulary_path
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -104,6 +104,8 @@ def pack_documents(
 
     Each document is encoded whole and closed with ``end_id``; documents longer than a sequence are
     cut every ``capacity`` ids. ``with_ids`` adds the ids of a piece (unsigned 32-bit, little-endian).
+    Every piece draws its group by its row, not by its key, so no key can fill one; the draws are stored
+    with the pieces, so that a task that runs again finds them unchanged.
 
     Defined cases: a null or empty text is the end id alone; very long texts make full pieces and one
     rest; equal lengths are placed by doc_id, then start; repeated rows are documents of their own;
@@ -111,10 +113,10 @@ def pack_documents(
     """
     prepare(docs.sparkSession)
     path = vocabulary or vocabulary_path()
-    view = documents_view(docs)
-    groups = max(1, -(-view.count() // group_docs))
     schema = PIECES + (", ids binary" if with_ids else "")
-    pieces = view.mapInArrow(_pieces(path, capacity, end_id, with_ids), schema)
-    keyed = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.lit(seed)), F.lit(groups)))
-    out = PIECES + (", ids binary" if with_ids else "") + ", sequence_id bigint, offset bigint"
-    return keyed.groupBy("pack_group").applyInPandas(_pack_group(capacity), out)
+    pieces = documents_view(docs).mapInArrow(_pieces(path, capacity, end_id, with_ids), schema)
+    drawn = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    pieces = materialize(pieces.withColumn("draw", drawn), "pieces")
+    groups = max(1, -(-pieces.count() // group_docs))
+    keyed = pieces.withColumn("pack_group", F.pmod("draw", F.lit(groups))).drop("draw")
+    return keyed.groupBy("pack_group").applyInPandas(_pack_group(capacity), schema + ", sequence_id bigint, offset bigint")
