@@ -27,12 +27,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_view, fresh_path, prepare
+from .common import documents_view, fresh_path, prepare, qualified
 from .tokens import encoder, little_blocks, vocabulary_path
 
 MAGIC, VERSION, HEADER = 0x31444853544F4B, 1, 8
-MANIFEST = "shard int, path string, n_rows bigint, n_ids bigint, first_key bigint, last_key bigint"
-ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int, row_in_shard bigint"
+MANIFEST = "shard bigint, path string, n_rows bigint, n_ids bigint, first_key bigint, last_key bigint"
+ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard bigint, row_in_shard bigint"
 
 
 def _mix(keys: np.ndarray, seed) -> np.ndarray:
@@ -127,9 +127,7 @@ class Shard:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and inner path of a URI or plain path."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
+    """File system and inner path of a full URI."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path)
@@ -171,21 +169,21 @@ def _writer(vocabulary: str, end_id: int, folder: str, shard_ids: int):
             if docs:
                 path = f"{folder}/{part:06d}-{len(made):04d}.tokens"
                 _write(path, encode_shard(docs, rows, width))
-                made.append((part * 10_000 + len(made), path, len(docs), held, next((d for d in docs if d is not None), None), docs[-1]))
+                made.append(((part << 32) + len(made), path, len(docs), held, next((d for d in docs if d is not None), None), docs[-1]))
             docs, rows, held = [], [], 0
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in little_blocks(texts):
                 for doc, raw in zip(ids[a:b], enc.encode(texts[a:b])):
-                    if held >= shard_ids and doc != docs[-1]:
+                    if held >= shard_ids:
                         flush()
                     raw += end
                     held += len(raw) // 4
                     docs.append(doc)
                     rows.append(raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
         flush()
-        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
         cols = list(zip(*made)) or [[] for _ in kinds]
         names = ["shard", "path", "n_rows", "n_ids", "first_key", "last_key"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -198,14 +196,17 @@ def write_token_shards(
 ) -> DataFrame:
     """Encode all documents, write the shard files, return their manifest (one row a file).
 
-    Shards follow doc_id order: a lower shard number holds lower doc_ids. A document is never split,
-    rows of one doc_id are in one shard. File names depend on the partition only, and files appear
+    Shards follow doc_id order: a higher shard number holds no lower doc_ids. A document is never split; the rows
+    of one doc_id (or without one) may fill several shards in a row, dealt out by their text's hash and the input
+    partition they come from. File names depend on the partition only, and files appear
     under them whole, so a task that runs again replaces its own files by the same bytes.
     """
     spark = prepare(docs.sparkSession)
-    view = documents_view(docs)
+    keys = ["doc_id", "text_hash", "origin"]
+    view = documents_view(docs).withColumns({"text_hash": F.xxhash64("text"), "origin": F.spark_partition_id()})
+    folder = qualified(spark, folder)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = view.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = view.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     made = ordered.mapInArrow(_writer(vocabulary or vocabulary_path(), end_id, folder, shard_ids), MANIFEST)
     path = f"{folder}/manifest"
     made.write.parquet(path)
@@ -234,7 +235,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(base + shard.bounds[a : a + len(rows)], pa.int64()),
                         pa.array(np.diff(shard.bounds[a : a + len(rows) + 1]), pa.int64()),
                         pa.array(crc, pa.int64()),
-                        pa.array([number] * len(rows), pa.int32()),
+                        pa.array([number] * len(rows), pa.int64()),
                         pa.array(list(rows), pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "row_in_shard"],
@@ -259,15 +260,15 @@ class TokenStore:
     hash says where: one memory map and one slot a key, whatever the size of the store."""
 
     def __init__(self, manifest: DataFrame):
-        rows = manifest.where("last_key is not null").select("first_key", "last_key", "path").orderBy("first_key")
+        rows = manifest.where("last_key is not null").select("first_key", "last_key", "path").orderBy("shard")
         self.ranges = [tuple(r) for r in rows.toLocalIterator()]  # a row a file
-        self.firsts = [r[0] for r in self.ranges]
+        self.lasts = [r[1] for r in self.ranges]
         self.shards: dict[str, Shard] = {}
 
     def get(self, key: int) -> np.ndarray | None:
-        """Ids of a document, None if there is none."""
-        at = bisect.bisect_right(self.firsts, key) - 1
-        if at < 0 or key > self.ranges[at][1]:
+        """Ids of a document (of several rows with this key, the first), None if there is none."""
+        at = bisect.bisect_left(self.lasts, key)
+        if at == len(self.ranges) or key < self.ranges[at][0]:
             return None
         path = self.ranges[at][2]
         if path not in self.shards:
@@ -278,8 +279,8 @@ class TokenStore:
 def token_store(docs: DataFrame, **options) -> DataFrame:
     """Write all documents to shards in the shared folder and read every one back by its key.
 
-    Defined cases: a null or empty text is the end id alone; repeated doc_ids keep all their rows, in
-    one shard, in order of a hash of their text; null doc_ids come first; an empty table gives no rows;
+    Defined cases: a null or empty text is the end id alone; repeated doc_ids keep all their rows, one after
+    the other in order of a hash of their text; null doc_ids come first; an empty table gives no rows;
     other columns are never read.
     """
     folder = fresh_path(docs.sparkSession, "tokens")

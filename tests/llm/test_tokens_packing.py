@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crossbar.llm.bpe import bpe_roundtrip, codec
@@ -97,6 +98,30 @@ def test_packing(spark, library):
     assert pack_documents(frame(spark, ["a", "a", "b"], [None, None, 7])).count() == 3
 
 
+def hot(spark, n=40_000):
+    """Rows without a doc_id and rows of one doc_id, all of one length."""
+    ids = F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(7).cast("bigint")
+    return spark.range(0, n, 1, 16).select(ids.alias("doc_id"), F.lit("one two three").alias("text"))
+
+
+def test_rows_of_one_key_are_packed_in_many_groups(spark):
+    pieces = pack_documents(hot(spark), group_docs=1000)
+    groups = pieces.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().toPandas()
+    assert len(groups) == 40 and groups["count"].max() < 1400
+    assert pieces.count() == 40_000 and pieces.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
+
+
+def test_rows_of_one_key_fill_many_shards(spark, tmp_path):
+    manifest = write_token_shards(hot(spark), str(tmp_path / "hot"))
+    assert manifest.agg(F.sum("n_rows")).first()[0] == 40_000
+    assert manifest.where("n_rows > 0").count() > 3 and manifest.agg(F.max("n_rows")).first()[0] < 20_000
+    rows = read_token_shards(manifest)
+    assert rows.count() == 40_000 and rows.where("doc_id is null").agg(F.max("start")).first()[0] < rows.where("doc_id = 7").agg(F.min("start")).first()[0]
+    assert rows.select("start").distinct().count() == 40_000
+    store = TokenStore(manifest)
+    assert store.get(7) is not None and store.get(6) is None and store.get(8) is None
+
+
 def test_hash_is_minimal_and_perfect():
     keys = np.array(sorted(random.Random(2).sample(range(-(1 << 60), 1 << 60), 3000)), dtype=np.int64)
     seeds, slots = build_hash(keys)
