@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_roundtrip
 from .common import load
 from .exact_dedup import exact_dedup
-from .license_scan import BASE, TEMPLATES, scan_licenses
+from .license_scan import BASE, SHARE, TEMPLATES, needed, scan_licenses
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -79,10 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _license_sql() -> str:
     """Every place of every phrase by trying all positions; the index only makes this quick."""
     words = lambda t: "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
-    rows = [f"('{label}', {words(phrase)}, {words(phrase)}, 0, true)" for phrase, label in BASE]
+    rows = [f"('{label}', {words(phrase)}, {words(phrase)}, 0, true, 0)" for phrase, label in BASE]
     for label, notice, key in TEMPLATES:
         at = len(notice[: notice.index(key)].split())
-        rows.append(f"('{label}', {words(key)}, {words(notice)}, {at}, false)")
+        rows.append(f"('{label}', {words(key)}, {words(notice)}, {at}, false, {needed(notice.split(), SHARE)})")
     return rf"""
         WITH w AS (
             SELECT row_number() OVER () AS r, doc_id,
@@ -90,16 +90,17 @@ def _license_sql() -> str:
                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
             FROM documents),
-        p(label, phrase, notice, skip, base) AS (VALUES {", ".join(rows)}),
+        p(label, phrase, notice, skip, base, needed) AS (VALUES {", ".join(rows)}),
         f AS (
-            SELECT r, label, base, skip, notice, words,
+            SELECT r, label, base, skip, notice, needed, words,
                    unnest(list_filter(range(0, len(words) - len(phrase) + 1), lambda i: words[i + 1:i + len(phrase)] = phrase)) AS s
             FROM w, p WHERE list_has_all(words, phrase)),
-        g AS (
-            SELECT r, label, base, s,
-                   CASE WHEN base THEN 1.0e0 ELSE list_sum(list_transform(range(0, len(notice)), lambda j:
-                       CASE WHEN s - skip + j >= 0 AND words[s - skip + j + 1] = notice[j + 1] THEN 1 ELSE 0 END)) / CAST(len(notice) AS DOUBLE) END AS share
+        c AS (
+            SELECT r, label, base, s, needed, len(notice) AS size,
+                   CASE WHEN base THEN len(notice) ELSE list_sum(list_transform(range(0, len(notice)), lambda j:
+                       CASE WHEN s - skip + j >= 0 AND words[s - skip + j + 1] = notice[j + 1] THEN 1 ELSE 0 END)) END AS same
             FROM f),
+        g AS (SELECT r, label, base, s, same / CAST(size AS DOUBLE) AS share FROM c WHERE same >= needed),
         h AS (
             SELECT r, count(*) FILTER (base) AS n, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
                    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
