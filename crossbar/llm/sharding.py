@@ -20,6 +20,8 @@ from .common import prepare
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
 VIRTUAL_NODES = 64
+#: A slot with more than one in so many rows is hot; its rows are ordered in so many parts, by input partition.
+HOT_SHARE, HOT_PARTS = 512, 1024
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[int]:
@@ -84,8 +86,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtu
     home shard, so a change in the number of shards moves few rows.
 
     Defined cases: a null text has size 1 and the checksum of no bytes; rows of one slot are ordered by
-    hash, doc_id, checksum and size, so repeated rows (which are interchangeable) each get a place; null
-    doc_ids share one slot; an empty table gives no rows; other columns are never read.
+    hash, doc_id, checksum and size (in a hot slot, one with a 512th of all rows, first by where they come from),
+    so repeated rows (which are interchangeable) each get a place; null doc_ids share one slot; an empty table gives no rows; other columns are never read.
     """
     spark = prepare(docs.sparkSession)
     hashed = docs.select(
@@ -93,6 +95,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtu
         F.xxhash64(F.col("doc_id").cast("bigint")).alias("at"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("bigint")).alias("text_crc32"),
+        F.pmod(F.spark_partition_id(), F.lit(HOT_PARTS)).alias("origin"),
     ).withColumn("ring_slot", F.shiftrightunsigned("at", 64 - SLOT_BITS).cast("int"))
     counts = [0] * SLOTS
     for row in hashed.groupBy("ring_slot").count().collect():  # at most SLOTS rows
@@ -100,8 +103,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtu
     kind = "array<struct<ring_slot:int,first:bigint,last:bigint,shard:int,base:bigint,home:int>>"
     text = json.dumps(walk(counts, shards, slack, virtual_nodes), separators=(",", ":"))
     segments = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
-    rank = F.row_number().over(Window.partitionBy("ring_slot").orderBy("at", "doc_id", "text_crc32", "size")) - 1
-    placed = hashed.withColumn("rank", rank.cast("bigint")).join(F.broadcast(segments), "ring_slot")
+    hot = [slot for slot, n in enumerate(counts) if n > max(1, sum(counts) // HOT_SHARE)]  # at most HOT_SHARE slots
+    if hot:
+        hashed = hashed.withColumn("origin", F.when(F.col("ring_slot").isin(hot), F.col("origin")).otherwise(0))
+        before = Window.partitionBy("ring_slot").orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
+        parts = hashed.where(F.col("ring_slot").isin(hot)).groupBy("ring_slot", "origin").count()
+        parts = parts.select("ring_slot", "origin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    else:
+        hashed, parts = hashed.withColumn("origin", F.lit(0)), None
+    rank = F.row_number().over(Window.partitionBy("ring_slot", "origin").orderBy("at", "doc_id", "text_crc32", "size")) - 1
+    placed = hashed.withColumn("rank", rank.cast("bigint"))
+    if parts is not None:  # at most HOT_SHARE * HOT_PARTS rows
+        placed = placed.join(F.broadcast(parts), ["ring_slot", "origin"], "left")
+        placed = placed.withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0)))
+    placed = placed.join(F.broadcast(segments), "ring_slot")
     return placed.where("rank between first and last").select(
         "doc_id",
         "size",
