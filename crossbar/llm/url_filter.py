@@ -1,10 +1,15 @@
-"""Operator 7: URL filter. A blocked Bloom filter of the listed URLs passes possible hits to an exact
-hash join, which removes the false positives. DataFrame operations only; only the url is read.
+"""Operator 7: URL filter. A blocked Bloom filter of listed canonical URLs passes possible hits to an exact hash
+join, which removes the false positives. DataFrame operations only; only the url is read.
 
 A listed URL is a host with a path prefix. It fits a page's url if the host is the listed one or one of
-its subdomains and the path starts with the listed path. For every shape in the list (number of host
-labels, length of path) a url has one key that could be listed, so each shape is one probe and one join
-on equality, and no row is multiplied.
+its subdomains and the path starts with the listed path. Whatever is listed, there are two lookups:
+
+1. a url's host and the domains above it (as many labels as the longest listed host) against the listed hosts,
+   each of which knows how long its listed paths are;
+2. for each host found, the path's beginnings of those lengths, as canonical URLs, against the list.
+
+Before each join stands a Bloom filter, so most rows are never joined or moved; the longest rule of a url is one
+aggregate over its hits.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import prepare
+from .common import join_spread, materialize, prepare
 
 #: The rules of the contract (verdict, host, path).
 RULES = (
@@ -25,7 +30,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Listed rows up to which the exact join broadcasts the list; a longer list is shuffled.
+#: Listed rows up to which the joins broadcast the list; a longer list is shuffled, hot hosts apart.
 BROADCAST_ROWS = 100_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -40,6 +45,16 @@ def _key(host, path):
     return F.concat(host, F.lit("\n"), path)
 
 
+def _listed(rows: DataFrame, key: str, table: DataFrame, small: bool) -> DataFrame:
+    """Rows whose key is in the table (of unique keys), with its columns: a Bloom filter, then an exact join."""
+    blocks = bloom.block_count(table.count())
+    likely = bloom.possible(rows, F.col(key), bloom.build(table, key, blocks), blocks, "__maybe").where("__maybe").drop("__maybe")
+    if small:
+        return likely.join(F.broadcast(table), key)
+    likely = materialize(likely, "likely-urls")
+    return join_spread(likely, table, key, max(1, likely.count()))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict of every row.
 
@@ -49,46 +64,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     never read.
     """
     prepare(pages.sparkSession)
-    listed = rules.groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("rule_verdict")).withColumns(
-        {
-            "listed_key": _key(F.col("rule_host"), F.col("rule_path")),
-            "labels": F.size(F.split("rule_host", r"\.")),
-            "reach": F.length("rule_path"),
-        }
-    )
-    n = listed.count()
-    blocks = bloom.block_count(n)
-    words = bloom.build(listed, "listed_key", blocks)
-    shapes = [(r.labels, r.reach) for r in listed.select("labels", "reach").distinct().collect()]
-    # the longest rule wins, and of rules that fit one url with the same number of labels the longer path
     url = F.coalesce(F.col("url"), F.lit(""))
-    out = pages.select(
+    parts = pages.select(
         "page_id",
         F.translate(F.regexp_extract(url, _PARTS, 1), string.ascii_uppercase, string.ascii_lowercase).alias("host"),
         F.regexp_extract(url, _PARTS, 2).alias("path"),
     )
-    names = []
-    for labels, reach in sorted(shapes):
-        name = f"fit_{labels}_{reach}"
-        probe = _key(F.substring_index("host", ".", -labels), F.substring("path", 1, reach))
-        out = bloom.possible(out, probe, words, blocks, f"{name}_maybe")
-        # rows that the filter stops get keys of their own that are never listed, so none of them is hot
-        spread = F.concat(F.lit("\n\n"), F.xxhash64("page_id", "host", "path").cast("string"))
-        out = out.withColumn(f"{name}_key", F.when(F.col(f"{name}_maybe"), probe).otherwise(spread)).drop(f"{name}_maybe")
-        some = listed.where((F.col("labels") == labels) & (F.col("reach") == reach)).select(
-            F.col("listed_key").alias(f"{name}_key"),
-            F.struct(
-                (F.length("rule_host") + F.length("rule_path")).alias("size"),
-                F.concat("rule_host", "rule_path").alias("rule"),
-                F.col("rule_verdict").alias("verdict"),
-            ).alias(name),
-        )
-        out = out.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, f"{name}_key", "left").drop(f"{name}_key")
-        names.append(name)
-    if len(names) > 1:
-        best = F.greatest(*names)  # skips nulls; the size comes first in the struct
-    else:
-        best = F.col(names[0]) if names else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
-    return out.withColumn("best", best).select(
+    # written once, so that the number of a row is the same wherever it is read
+    parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "urls")
+    listed = rules.groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("rule_verdict"))
+    listed = materialize(listed, "listed-urls")
+    small = listed.count() <= BROADCAST_ROWS
+    hosts = listed.groupBy(F.col("rule_host").alias("domain")).agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    most = listed.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 0
+    canonical = listed.select(
+        _key(F.col("rule_host"), F.col("rule_path")).alias("key"),
+        F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")).alias("hit"),
+    )
+    labels = F.least(F.size(F.split("host", r"\.")), F.lit(most))
+    above = F.when(labels > 0, F.transform(F.sequence(F.lit(1), labels), lambda k: F.call_function("substring_index", "host", F.lit("."), -k)))
+    domains = parts.select("row", "path", F.explode(above).alias("domain"))
+    known = _listed(domains, "domain", hosts, small)
+    begun = known.select("row", F.explode("lengths").alias("length"), "domain", "path").where(F.length("path") >= F.col("length"))
+    begun = begun.select("row", _key(F.col("domain"), F.call_function("substring", "path", F.lit(1), F.col("length"))).alias("key"))
+    best = _listed(begun, "key", canonical, small).groupBy("row").agg(F.max("hit").alias("best"))
+    judged = parts.join(best, "row", "left")
+    return judged.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
     )
