@@ -1,28 +1,30 @@
 """Operator 9: exact deduplication by a log-structured merge index, in DataFrame operations only.
 
-    flush    every input split is a memtable: its (digest, doc_id) rows are sorted and written as one
-             run file with Parquet's minima, maxima and Bloom filter of the digest; no shuffle
-    compact  runs merge to one row a digest with the smallest identifier (map-side combine first)
+    flush    every input split is a memtable: its (digest, row) entries are sorted and written as one run, whose
+             Parquet minima, maxima and Bloom filters of the digest serve lookups (``lookup``); no shuffle
+    compact  runs merge into the next level: one entry a digest with the smallest identifier and the number of rows
+             (map-side combine first). Of a level that exists, only entries that a blocked Bloom filter of the new
+             runs passes are merged again; the others are carried over as they are
     verify   texts whose digest is shared are compared byte by byte: the least and the greatest text
              of a digest are equal exactly if all are; partial aggregation makes a hot digest cheap
     resolve  digests that turn out to hold different texts are grouped by the text itself
 
 Texts are read twice; only those that a blocked Bloom filter of the shared digests passes are sorted
-or shuffled. Everything else that moves is 40 bytes a row.
+or shuffled. Everything else that moves is some 50 bytes a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import DROP_KEY, drop_rows, fresh_path, materialize, prepare
+from .common import DROP_KEY, Scratch, drop_rows, fresh_path, materialize, prepare
 
 #: A digest with more than this share of the rows is hot; so there are at most as many hot digests.
 HOT_SHARE = 512
-_RUN = "doc_id bigint, digest binary, text_sha256 string"
-_LEVEL = "digest binary, keep_id bigint, group_size bigint"
+_RUN = "doc_id bigint, batch int, row bigint, digest binary, text_sha256 string"
+_LEVEL = "digest binary, keep struct<no_id:boolean,doc_id:bigint,batch:int,row:bigint>, group_size bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -37,19 +39,44 @@ def _digested(docs: DataFrame, digest_bytes: int) -> DataFrame:
     )
 
 
-def flush(docs: DataFrame, folder: str, digest_bytes: int = 32) -> DataFrame:
-    """Write sorted digest runs, one for each input split, and return them all. Later batches of
-    documents can be flushed into the same folder."""
-    rows = _digested(docs, digest_bytes).select("doc_id", "digest", "text_sha256").sortWithinPartitions("digest", "doc_id")
-    rows.write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
+def _first() -> Column:
+    """The row that stays: smallest doc_id, rows without one last, of repeated rows the first number."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "batch", "row"))
+
+
+def _numbered(rows: DataFrame, batch: int) -> DataFrame:
+    return rows.withColumns({"batch": F.lit(batch), "row": F.monotonically_increasing_id()})
+
+
+def flush(docs: DataFrame, folder: str, digest_bytes: int = 32, batch: int = 0) -> DataFrame:
+    """Write sorted digest runs, one for each input split; the rows are numbered there once and for all."""
+    rows = _numbered(_digested(docs, digest_bytes), batch)
+    rows = rows.select("doc_id", "batch", "row", "digest", "text_sha256").sortWithinPartitions("digest", "doc_id")
+    rows.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
     return docs.sparkSession.read.schema(_RUN).parquet(folder)
 
 
-def compact(runs: DataFrame, folder: str) -> DataFrame:
-    """Merge runs: the smallest identifier and the number of rows of each digest that has several."""
-    level = runs.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    level.where("group_size > 1").sortWithinPartitions("digest").write.parquet(folder)
-    return runs.sparkSession.read.schema(_LEVEL).parquet(folder)
+def compact(runs: DataFrame, folder: str, level: DataFrame | None = None) -> DataFrame:
+    """Merge runs, and the level before them if there is one, into a new level. Of equal identifiers in several
+    batches that of the first stays."""
+    spark = runs.sparkSession
+    fresh = runs.groupBy("digest").agg(_first().alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    if level is not None:
+        fresh.write.parquet(f"{folder}-fresh")
+        fresh = spark.read.schema(_LEVEL).parquet(f"{folder}-fresh")
+        blocks = bloom.block_count(fresh.count())
+        flagged = bloom.possible(level, F.col("digest"), bloom.build(fresh, "digest", blocks), blocks, "maybe")
+        both = fresh.unionByName(flagged.where("maybe").drop("maybe"))
+        merged = both.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+        fresh = merged.unionByName(flagged.where("not maybe").drop("maybe"))
+    fresh.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
+    return spark.read.schema(_LEVEL).parquet(folder)
+
+
+def lookup(table: DataFrame, digests: list[str]) -> DataFrame:
+    """Entries of runs or a level for some digests (hexadecimal). The files' minima, maxima and Bloom filters rule
+    out row groups that don't hold them."""
+    return table.where(F.col("digest").isin([bytearray.fromhex(d) for d in digests]))
 
 
 def collisions(docs: DataFrame, hits: DataFrame, n_hits: int, digest_bytes: int = 32) -> DataFrame:
@@ -62,11 +89,11 @@ def collisions(docs: DataFrame, hits: DataFrame, n_hits: int, digest_bytes: int
 
 
 def _assigned(rows: DataFrame, level: DataFrame, key: str, total: int) -> DataFrame:
-    """Rows with keep_id and group_size; hot keys (at most HOT_SHARE) by broadcast, the rest shuffled."""
+    """Rows with keep and group_size; hot keys (at most HOT_SHARE) by broadcast, the rest shuffled."""
     hot = F.broadcast(level.where(F.col("group_size") > max(1, total // HOT_SHARE)).withColumn("is_hot", F.lit(True)))
     first = rows.join(hot, key, "left")
     done = first.where("is_hot").drop("is_hot")
-    cold = first.where("is_hot is null").drop("is_hot", "keep_id", "group_size")
+    cold = first.where("is_hot is null").drop("is_hot", "keep", "group_size")
     rest = cold.join(level.where(F.col("group_size") <= max(1, total // HOT_SHARE)), key, "left")
     return done.unionByName(rest)
 
@@ -82,32 +109,27 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     spark: SparkSession = prepare(docs.sparkSession)
     folder = fresh_path(spark, "digest-log")
     runs = flush(docs, f"{folder}/runs", digest_bytes)
-    hits = compact(runs, f"{folder}/level1")
+    hits = compact(runs, f"{folder}/level1").where("group_size > 1")
     total, n_hits = runs.count(), hits.count()
-    found = _assigned(runs, hits, "digest", total).drop("digest")
+    found = _assigned(runs, hits, "digest", total)
     if n_hits:
-        clash = collisions(docs, hits, n_hits, digest_bytes)
-        clash.write.parquet(f"{folder}/clash")
-        clash = spark.read.schema("digest binary").parquet(f"{folder}/clash")
+        scratch = Scratch(spark, "digest-clash")
+        clash = scratch.write(collisions(docs, hits, n_hits, digest_bytes), "digests")
         if not clash.isEmpty():
             plain = runs.join(clash, "digest", "left_anti")
+            # numbered anew, and written so that the numbers stay
             mixed = _digested(docs, digest_bytes).join(clash, "digest", "left_semi")
-            level = mixed.groupBy("body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-            found = (
-                _assigned(plain, hits, "digest", total)
-                .drop("digest")
-                .unionByName(_assigned(mixed.drop("digest"), level, "body", total).drop("body"))
-            )
-    single = F.col("group_size").isNull()
-    found = found.withColumn("keep_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn(
-        "group_size", F.coalesce("group_size", F.lit(1).cast("bigint"))
+            mixed = scratch.write(_numbered(mixed, 0), "texts")
+            level = mixed.groupBy("body").agg(_first().alias("keep"), F.count(F.lit(1)).alias("group_size"))
+            found = _assigned(plain, hits, "digest", total).unionByName(_assigned(mixed, level, "body", total).drop("body"))
+    single = F.coalesce("group_size", F.lit(1)) == 1
+    return found.select(
+        "doc_id",
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+        (single | (F.col("row") == F.col("keep.row"))).alias("kept"),
+        "text_sha256",
     )
-    candidate = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # only the candidates of real groups are numbered, so the window never sees a group's other copies
-    first = Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")
-    several = found.where(candidate & (F.col("group_size") > 1)).withColumn("kept", F.row_number().over(first) == 1)
-    others = found.where(~(candidate & (F.col("group_size") > 1))).withColumn("kept", F.col("group_size") == 1)
-    return others.unionByName(several).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from crossbar.llm.exact_dedup import drop_exact_duplicates, exact_dedup
+from crossbar.llm.exact_dedup import compact, drop_exact_duplicates, exact_dedup, flush, lookup
 from crossbar.llm.simhash import (
     GrayTree,
     components,
@@ -15,9 +15,7 @@ from crossbar.llm.simhash import (
     gray_rank,
     link_edges,
     near_duplicates,
-    similar_bits,
     similar_documents,
-    table_count,
 )
 
 TEXTS = [
@@ -54,6 +52,24 @@ def test_dropping(spark):
     assert exact_dedup(frame(spark, [])).count() == 0 and drop_exact_duplicates(frame(spark, [])).count() == 0
 
 
+def test_levels_of_several_batches(spark, tmp_path):
+    rng = random.Random(5)
+    batches = [[(rng.randint(0, 400) if rng.random() < 0.9 else None, f"t{rng.randint(0, 150)}") for _ in range(300)] for _ in range(3)]
+    level, every = None, []
+    for b, rows in enumerate(batches):
+        runs = flush(frame(spark, rows), str(tmp_path / f"runs{b}"), batch=b)
+        level = compact(runs, str(tmp_path / f"level{b}"), level)
+        every += rows
+        groups = {}
+        for i, t in every:
+            groups.setdefault(hashlib.sha256(t.encode()).hexdigest(), []).append(i)
+        got = {bytes(r.digest).hex(): (r.keep.doc_id, r.group_size) for r in level.collect()}
+        assert got == {d: (min((i for i in g if i is not None), default=None), len(g)) for d, g in groups.items()}
+    some = [*groups][:3]
+    assert {bytes(r.digest).hex() for r in lookup(level, [*some, "00" * 32]).collect()} == set(some)
+    assert lookup(runs, some).count() == sum(hashlib.sha256(t.encode()).hexdigest() in some for _, t in batches[-1])
+
+
 def plain_fingerprint(text):
     words = [w for w in re.split(b"[\x20\x09-\x0d]+", text.encode().lower()) if w]
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -146,8 +162,6 @@ def test_similar_documents(spark):
     assert drop_near_duplicates(df.limit(0)).count() == 0 and similar_documents(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "q"), (None, "q"), (3, "r"), (3, "r"), (3, "other text here")], "doc_id bigint, text string")
     assert similar_documents(odd).count() == 5 and drop_near_duplicates(odd).count() == 3
-    assert table_count(0.8, 0) == 1 < table_count(0.8, 8) < table_count(0.8, 12)
-    assert similar_bits(1.0, 64, 3.0) == 0 < similar_bits(0.9, 64, 3.0) < similar_bits(0.8, 64, 3.0) < 24
 
 
 def test_crowded_cells_lose_no_link(spark):

@@ -4,8 +4,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from crossbar.llm.license_scan import BASE, scan_licenses
+from crossbar.llm.license_scan import BASE, SHARE, TEMPLATES, scan_licenses
 from crossbar.llm.sharding import SLOTS, ring, shard_documents, walk
 from crossbar.llm.toxicity import AIMED, FEATURES, NEAR, NEGATED, NEGATION, REPORT, REPORTED, TARGET, THREAT, THREATENED, Lexicon, ToxicityModel, choose_terms, fit_logistic, fit_toxicity, grammar, keep_clean, score_toxicity, stem_sizes
 from crossbar.llm.url_filter import RULES, judge_urls, rule_table
@@ -97,10 +98,30 @@ def test_leaves_are_skipped(spark, monkeypatch):
 # --- licences -----------------------------------------------------------------------------------------
 
 
+def plain_licence(words):
+    """Labels and score by trying every template at every place."""
+    labels, best = set(), 0.0
+    for phrase, label in BASE:
+        n = len(phrase.split())
+        if any(words[i : i + n] == phrase.split() for i in range(len(words))):
+            labels, best = labels | {label}, 1.0
+    for label, notice, key in TEMPLATES:
+        notice, key = notice.split(), key.split()
+        at = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        for s in range(-at, len(words)):
+            if words[max(0, s + at) : s + at + len(key)] == key and s + at >= 0:
+                share = sum(0 <= s + j < len(words) and words[s + j] == w for j, w in enumerate(notice)) / len(notice)
+                if share >= SHARE - 1e-9:
+                    labels, best = labels | {label}, max(best, share)
+    return ",".join(sorted(labels)), best
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     words = ["cc", "by", "CC", "general", "Public", "license", "all", "rights", "reserved", "x", "é", "nc", "mit", "the", "gnu"]
     texts = [None, "", "...", "cc by", "all rights reserved all rights reserved", "Licensed under CC BY-NC 4.0.", "K\u212aing all rights re\u212a",
+             "An MIT License is named here, and apache license there.", "Permission is hereby granted to nobody at all.",
+             "Permission is hereby granted, free of charge, to any person getting a copy of that software and associated documentation files (the Software), to deal in it without restriction",
              "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "cc bye", "cc-by", "general\npublic;license", "y " * 50_000 + "cc by"]
     texts += [rng.choice(" -").join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(150)]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(3, "cc by", 9)], "doc_id bigint, text string, labels int")
@@ -114,8 +135,10 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        label, score = plain_licence(found)
+        assert (r.labels, pytest.approx(r.score)) == (label, score)
     label = {r.doc_id: r.labels for r in rows}
-    assert (label[5], label[7], label[8]) == ("cc-by,cc-by-nc", "mit", "apache")
+    assert (label[5], label[7], label[8], label[9], label[10], label[11]) == ("cc-by,cc-by-nc", "", "", "mit", "mit", "apache")
     assert scan_licenses(df.limit(0)).count() == 0
 
 
@@ -139,6 +162,57 @@ def test_sharding(spark):
     assert sorted(shard_documents(df.limit(3)).toPandas().slot) == [0, 0, 0]
 
 
+def plain_walk(slots, shards):
+    """The ring said plainly: every row in the order of its slot; when its shard is full it goes on clockwise."""
+    import hashlib
+
+    nodes = {}
+    for shard in range(shards):
+        for v in range(64):
+            d = hashlib.sha256(f"shard {shard} node {v}".encode()).digest()
+            at, order = int.from_bytes(d[:4], "big") % SLOTS, int.from_bytes(d[4:8], "big")
+            nodes[at] = min(nodes.get(at, (order, shard)), (order, shard))
+    places = sorted(nodes)
+    after = lambda slot: nodes[next((p for p in places if p >= slot), places[0])][1]
+    demand = np.bincount([after(s) for s in slots], minlength=shards)
+    room = np.full(shards, len(slots) // shards)
+    room[sorted(range(shards), key=lambda s: (-demand[s], s))[: len(slots) % shards]] += 1
+    used, out, over = np.zeros(shards, int), {}, []
+    for slot in sorted(slots):
+        home = after(slot)
+        if used[home] < room[home]:
+            used[home] += 1
+            out[slot, home] = out.get((slot, home), 0) + 1
+        else:
+            over.append(slot)
+    for slot in over:
+        at = slot
+        while used[after(at)] >= room[after(at)]:
+            at = (at + 1) % SLOTS
+        used[after(at)] += 1
+        out[slot, after(at)] = out.get((slot, after(at)), 0) + 1
+    return out
+
+
+def test_placement_by_a_plain_ring():
+    rng = random.Random(9)
+    for n in (0, 1, 37, 400):
+        slots = [rng.randrange(SLOTS) if rng.random() < 0.7 else 77 for _ in range(n)]
+        got = {}
+        for s in walk(np.bincount(slots, minlength=SLOTS).tolist() if n else [0] * SLOTS, 16):
+            key = s["ring_slot"], s["shard"]
+            got[key] = got.get(key, 0) + s["last"] - s["first"] + 1
+        assert got == plain_walk(slots, 16)
+
+
+def test_many_rows_of_one_key_are_sharded(spark):
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("bigint")
+    rows = shard_documents(spark.range(0, 60_000, 1, 20).select(ids.alias("doc_id"), F.lit("same").alias("text"))).toPandas()
+    sizes = rows.groupby("shard").slot.apply(sorted)
+    assert len(rows) == 60_000 and max(map(len, sizes)) - min(map(len, sizes)) <= 1
+    assert all(s == list(range(len(s))) for s in sizes)
+
+
 def test_few_rows_move_when_a_shard_is_added():
     rng = random.Random(1)
     counts = [rng.randint(0, 40) for _ in range(SLOTS)]
@@ -192,6 +266,20 @@ def test_long_lists_are_joined_by_shuffle(spark, monkeypatch):
     assert len(got) == 60
 
 
+def test_joins_do_not_grow_with_the_list(spark):
+    rng = random.Random(6)
+    rules = {(h, p): rng.choice(["allow", "block"]) for h, p in ((".".join(rng.choice("abc") for _ in range(rng.randint(1, 5))), "/" + "x" * rng.randint(0, 12)) for _ in range(150))}
+    long = [(v, h, p) for (h, p), v in rules.items()]
+    urls = ["http://" + ".".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) + "/" + "x" * rng.randint(0, 15) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    found = judge_urls(df, rule_table(spark, long))
+    for r in found.collect():
+        fits = [(len(h + p), h + p, v) for v, h, p in long if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == max(fits, default=(0, None, "allow"))[1:]
+    joins = [str(judge_urls(df, t)._jdf.queryExecution().optimizedPlan().toString()).count("Join") for t in (rule_table(spark), rule_table(spark, long))]
+    assert joins[0] == joins[1] <= 5
+
+
 # --- toxicity -----------------------------------------------------------------------------------------
 
 
