@@ -189,8 +189,8 @@ def stem_sizes(length: int) -> Iterator[int]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold a word ("=word") or a word beginning ("word~") of a batch."""
-    for batch in batches:
+    """Documents of each label that hold a word ("=word") or a word beginning ("word~"), by blocks of a few rows."""
+    for batch in (whole.slice(a, 128) for whole in batches for a in range(0, len(whole), 128)):
         texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         pos: Counter = Counter()
         neg: Counter = Counter()
