@@ -1,19 +1,21 @@
-"""Learned legs: boosted trees of Spark ML on ranked features, labels with a purge, recency weights.
+"""Learned legs: boosted trees on ranked features, labels with a purge, recency weights.
 
-Native boosters aren't part of Spark; their parameter sets are mapped on ``GBTRegressor`` (an approximation)
-and adaptive boosting is a loop of weighted trees.
+Every period has models of its own, fitted on its training bars: features, labels and weights are columns of the
+signal graph, and fitting is one grouped kernel a period (``boost``). Parameter sets of several native boosters are
+mapped on it (an approximation of them, not the libraries).
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
+from . import boost
 from ..functions.scalar import fill, magnitude, tanh
 from ..operators import cross as x
 from ..operators import series as t
@@ -84,7 +86,7 @@ REACH = {"next_rank": 1, "next_rank_residual": 1, "target_rank": 5, "forward_pat
 
 @dataclass(frozen=True)
 class Booster:
-    """One booster: features, label, training window and tree parameters."""
+    """One booster: label, training window and tree parameters."""
 
     label: str
     rounds: int = 200
@@ -96,78 +98,70 @@ class Booster:
     cap: int | None = None
     neutral: bool = False
     seed: int = 7
-    bins: int = 32
+    bins: int = 64
+    leaves: int | None = None
+    columns: float = 1.0
+    ridge: float = 0.0
+    kind: str = "gradient"  # or "symmetric", "adaptive"
 
 
 # The parameter sets of the ensemble and of the single boosters.
 ENSEMBLE = (
-    Booster("next_rank", 80, 3, 0.06, 1500, 0.6, 1500.0, 8000),
-    Booster("next_rank_residual", 80, 3, 0.06, 1500, 0.6, 800.0, 5000, True),
-    Booster("next_rank_residual", 80, 3, 0.06, 1500, 0.6, 1500.0, 8000, True),
-    Booster("next_rank_residual", 80, 3, 0.06, 1500, 0.6, 3000.0, 12000, True),
+    Booster("next_rank", 80, 3, 0.06, 1500, 0.6, 1500.0, 8000, leaves=7),
+    Booster("next_rank_residual", 80, 3, 0.06, 1500, 0.6, 800.0, 5000, True, leaves=7),
+    Booster("next_rank_residual", 80, 3, 0.06, 1500, 0.6, 1500.0, 8000, True, leaves=7),
+    Booster("next_rank_residual", 80, 3, 0.06, 1500, 0.6, 3000.0, 12000, True, leaves=7),
 )
-LGB = Booster("target_rank", 200, 4, 0.05, 500)
-XGB = Booster("target_rank", 200, 4, 0.05, 50)
-CAT = Booster("target_rank", 200, 4, 0.05, 1, 1.0)
+LGB = Booster("target_rank", 200, 4, 0.05, 500, leaves=15, columns=0.8, ridge=5.0)
+XGB = Booster("target_rank", 200, 4, 0.05, 50, columns=0.8, ridge=5.0)
+CAT = Booster("target_rank", 200, 4, 0.05, 1, 1.0, ridge=5.0, kind="symmetric")
 CAT_ONE_BAR = replace(CAT, label="next_rank")
 PATH = Booster("forward_path", 250, 4, 0.05, 200, 1.0, seed=31)
-ADA = Booster("target_rank", 200, 4, 0.05, 200, 1.0)
+ADA = Booster("target_rank", 200, 4, 0.05, 200, 1.0, kind="adaptive")
 
 
-def small(b: Booster, rounds: int = 3) -> Booster:
-    """The same booster for panels of a few thousand rows."""
-    return replace(b, rounds=rounds, least=min(b.least, 20))
+def training_weight(b: Booster, train: int) -> Column:
+    """Weight of the rows that a booster learns from, null elsewhere: labelled rows of each period's first ``train``
+    bars, less those whose label reaches past them, the most recent ``cap`` bars of them; weights halve every
+    ``half_life`` bars."""
+    age = F.lit(train - 1) - (F.col("bar") - F.min("bar").over(Window.partitionBy("period")))
+    fits = (age >= REACH[b.label]) & F.col(b.label).isNotNull()
+    if b.cap:
+        fits = fits & (age < b.cap)
+    return F.when(fits, F.pow(F.lit(0.5), age / b.half_life) if b.half_life else F.lit(1.0))
 
 
-def training_rows(df: DataFrame, b: Booster, train: int, purge: int | None = None) -> DataFrame:
-    """Labelled rows of each period's first ``train`` bars, less those whose label reaches past them, the most
-    recent ``cap`` bars of them, with weights that halve every ``half_life`` bars."""
-    first = F.min("bar").over(Window.partitionBy("period"))
-    reach = REACH[b.label] if purge is None else purge
-    rows = df.withColumn("age", F.lit(train - 1) - (F.col("bar") - first)).where(F.col("age") >= reach)
-    rows = rows.where(F.col(b.label).isNotNull())
-    if b.cap:
-        rows = rows.where(F.col("age") < b.cap)
-    weight = F.pow(F.lit(0.5), F.col("age") / b.half_life) if b.half_life else F.lit(1.0)
-    return rows.withColumn("weight", weight)
-
-
-def boosted(df: DataFrame, names: list[str], b: Booster, train: int, column: str) -> DataFrame:
-    """``df`` with a column of raw predictions of one booster."""
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    tree = GBTRegressor(
-        labelCol=b.label, weightCol="weight", predictionCol=column, maxIter=b.rounds, maxDepth=b.depth, stepSize=b.rate,
-        subsamplingRate=b.subsample, minInstancesPerNode=b.least, seed=b.seed, maxBins=b.bins,
-    )
-    model = tree.fit(assemble.transform(training_rows(df, b, train)))
-    return model.transform(assemble.transform(df)).drop("features")
-
-
-def adaptive_boosted(df: DataFrame, names: list[str], b: Booster, train: int, column: str) -> DataFrame:
-    """Adaptive boosting of weighted trees with linear loss; the prediction is their weighted median."""
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    rows = assemble.transform(training_rows(df, b, train)).withColumn("weight", F.lit(1.0)).select("features", b.label, "weight")
-    out, votes = assemble.transform(df), []
-    for i in range(b.rounds):
-        tree = DecisionTreeRegressor(labelCol=b.label, weightCol="weight", predictionCol=f"ada{i}", maxDepth=b.depth, minInstancesPerNode=b.least, seed=b.seed + i)
-        model = tree.fit(rows)
-        scored = model.transform(rows).withColumn("error", F.abs(F.col(f"ada{i}") - F.col(b.label)))
-        worst, mass, loss = scored.agg(F.max("error"), F.sum("weight"), F.sum(F.col("weight") * F.col("error"))).first()
-        mean = loss / mass / worst if worst else 0.0
-        if mean >= 0.5 and votes:
-            break
-        odds = max(mean, 1e-6) / (1 - min(mean, 0.999))
-        out = model.transform(out)
-        votes.append((f"ada{i}", math.log(1 / odds) * b.rate))
-        if not worst or mean >= 0.5:
-            break
-        power = F.pow(F.lit(odds), b.rate * (1 - F.col("error") / worst))
-        rows = scored.withColumn("weight", F.col("weight") * power).select("features", b.label, "weight")
-    half = sum(w for _, w in votes) / 2
-    ordered = F.array_sort(F.array(*[F.struct(F.col(n).alias("p"), F.lit(w).alias("w")) for n, w in votes]))
-    start = F.struct(F.lit(0.0).alias("mass"), F.lit(None).cast("double").alias("p"))
-    step = lambda s, v: F.struct((s["mass"] + v["w"]).alias("mass"), F.when(s["mass"] < half, v["p"]).otherwise(s["p"]).alias("p"))
-    return out.withColumn(column, F.aggregate(ordered, start, step)["p"]).drop("features", *[n for n, _ in votes])
+def predictions(b: Booster, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of all rows, by a model of those that have a weight; 0 without any."""
+    rows = np.isfinite(w)
+    if not rows.any():
+        return np.zeros(len(x))
+    shape = boost.Shape(b.depth, b.least, b.ridge, b.kind == "symmetric", b.leaves)
+    if b.kind == "adaptive":
+        return boost.adaptive_boosted(x[rows], y[rows], w[rows], x, b.rounds, b.rate, shape, b.bins)
+    return boost.gradient_boosted(x[rows], y[rows], w[rows], x, b.rounds, b.rate, shape, b.subsample, b.columns, b.bins, b.seed)
+
+
+def boosted(df: DataFrame, names: list[str], boosters: dict[str, Booster], train: int) -> DataFrame:
+    """period, bar, name_ix and a column of raw predictions for each booster; a model a period.
+
+    ``df`` has the features ``names`` and the boosters' labels. Rows are taken in the order of bar and name, so
+    draws don't depend on how they arrive.
+    """
+    labels = sorted({b.label for b in boosters.values()})
+    rows = df.select("period", "bar", "name_ix", *names, *labels, *[training_weight(b, train).alias(f"weight_{c}") for c, b in boosters.items()])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bar", "name_ix"], kind="stable")
+        x = np.nan_to_num(pdf[names].to_numpy(np.float64))
+        out = pdf[["period", "bar", "name_ix"]].copy()
+        for column, b in boosters.items():
+            out[column] = predictions(b, x, pdf[b.label].to_numpy(np.float64), pdf[f"weight_{column}"].to_numpy(np.float64))
+        return out
+
+    prepare(df.sparkSession)
+    schema = "period int, bar bigint, name_ix int, " + ", ".join(f"{c} double" for c in boosters)
+    return rows.groupBy("period").applyInPandas(run, schema)
 
 
 def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -180,7 +174,5 @@ def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_labels(panel: DataFrame, features: dict[str, Node], labels: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Features and labels of the panel, kept in memory while boosters read them again and again."""
-    return evaluate(panel, features | {n: LABELS[n] for n in labels}, extra).persist()
-
-
+    """Features and labels of the panel."""
+    return evaluate(panel, features | {n: LABELS[n] for n in labels}, extra)

@@ -2,8 +2,8 @@
 
 Each period is a key with its own state: the recursion and the rows of bars that aren't closed. A bar is closed
 once a row ``lateness`` or more bars later has come, or its event-time timeout passes; rows of closed bars are
-late and dropped. Bars go through the same step as in batch, so a replayed stream gives the batch scores of all
-closed bars, whatever the cut into micro-batches.
+late and dropped. A row without a name only tells that a bar has come. Bars go through the same step as in batch,
+so a replayed stream gives the batch scores of all bars, whatever the cut into micro-batches.
 """
 
 from __future__ import annotations
@@ -71,7 +71,9 @@ def _folder(make: Callable[[], object], lateness: int, patience_ms: int):
         for pdf in batches:
             for bar, name, value, ts in zip(pdf["bar"], pdf["name_ix"], pdf["value"], pdf["ts"]):
                 if closed is None or bar > closed:
-                    waiting.setdefault(int(bar), {})[int(name)] = 0.0 if pd.isna(value) else float(value)
+                    cells = waiting.setdefault(int(bar), {})
+                    if not pd.isna(name):
+                        cells[int(name)] = 0.0 if pd.isna(value) else float(value)
                 newest = ts if newest is None else max(newest, ts)
         due = sorted(waiting)
         if not state.hasTimedOut and due:
@@ -79,6 +81,8 @@ def _folder(make: Callable[[], object], lateness: int, patience_ms: int):
         rows = []
         for bar in due:
             got = waiting.pop(bar)
+            if not got:
+                continue
             # names are fixed by the first bar; later ones are unknown to the state, missing ones count as 0
             names = sorted(got) if names is None else names
             score = fold.step(np.array([got.get(n, 0.0) for n in names]))
@@ -113,11 +117,19 @@ def bar_events(stream: DataFrame, period_bars: int = 240) -> DataFrame:
 
 
 def replay(spark: SparkSession, rows: DataFrame, folder: str, make: Callable[[], object], files: int = 4, lateness: int = 1) -> DataFrame:
-    """Write bars as ``files`` files in order, stream them one a micro-batch, return all scores."""
+    """Write bars as ``files`` files in order, stream them one a micro-batch, return all scores. The last file
+    has a row without a name after the last bar of each period, which closes it.
+
+    For tests and demonstrations: the table is put in order in one task.
+    """
     cut = F.ntile(files).over(Window.orderBy("bar"))
     parts = rows.withColumn("part", cut).persist()
     for i in range(1, files + 1):
         parts.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ends = rows.groupBy("period").agg((F.max("bar") + lateness).alias("bar"), (F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
+    kinds = dict(rows.dtypes)
+    ends = ends.select(*[(F.col(c) if c in ends.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in rows.columns])
+    ends.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     query = (
         stateful_scores(source, make, lateness)
