@@ -8,14 +8,13 @@ long histories, ``SHORT`` the same shapes for panels of a hundred bars.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators import matrix as m
-from . import models
+from . import core, models
 from .components import COMPONENTS, e3, e4
 from .components import rank as signal_rank
 from .expr import Node, evaluate
@@ -47,14 +46,25 @@ class Settings:
     memory: int = 2000
     refresh: int = 100
     memory_least: int = 400
-    booster_rounds: int | None = None
+    booster_least: int | None = None
+    inner_tail: int = 3000
+    inner_least: int = 2000
+
+    @property
+    def core(self) -> tuple[int, int, int, int]:
+        return self.train, self.core_tail, self.core_least, self.core_cap
+
+    @property
+    def inner(self) -> Settings:
+        """One step earlier: what is fitted before the last ``inner_tail`` training bars."""
+        return replace(self, train=self.train - self.inner_tail)
 
 
 FULL = Settings()
 SHORT = Settings(
-    train=60, windows=(40, 60), wide_windows=(30, 50), least_pairs=25, tails=(50, 60), core_tail=30, core_least=20, core_cap=25,
+    train=60, windows=(40, 60), wide_windows=(30, 50), least_pairs=25, tails=(50, 60), core_tail=30, core_least=20, core_cap=26,
     covariance=50, covariance_least=25, half_lives=(20.0, 60.0), looks=(10, 20), graph=30, scale_tail=40, scale_least=10,
-    memory=50, refresh=10, memory_least=25, booster_rounds=2,
+    memory=50, refresh=10, memory_least=25, booster_least=20, inner_tail=20, inner_least=30,
 )
 
 
@@ -76,127 +86,43 @@ def graph_leg(f: Arrays, s: Settings, gain_a: float = 1.0, gain_b: float = 1.0,
 
 # --- the core leg -------------------------------------------------------------------------------------
 
-# Weights of the five parts of the core, and of its blend with the learned and trend legs.
-CORE = {"spread": 0.3229, "state": 0.2656, "top": 0.1556, "innovation": 0.1493, "full": 0.1065}
+# Blend of the core with the learned and trend legs.
 CORE_SHARE, LEARNED_SHARE, TREND_SHARE = 0.60, 0.20, 0.20
 CORE_SCALE, LEARNED_SCALE, TREND_SCALE = 0.34507836, 0.86575845, 0.60800000
 
 
-def _moments(a: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    return float(len(a)), a.sum(axis=0), (a * a).sum(axis=0)
-
-
-def _deviation(a: np.ndarray, prior: tuple[float, np.ndarray, np.ndarray], least: int) -> np.ndarray:
-    """Expanding deviation with earlier sums added; infinite (so that what it divides is 0) while there are
-    few rows and none before."""
-    n0, s1, s2 = prior
-    n = np.arange(1, len(a) + 1)[:, None] + n0
-    mean = (np.cumsum(a, axis=0) + s1) / n
-    sd = np.sqrt(np.maximum((np.cumsum(a * a, axis=0) + s2) / n - mean * mean, 1e-18))
-    return np.where((n0 > 0) | (n > least), sd, np.inf)
-
+def core_leg(f: Arrays, s: Settings, centre_beta: bool = True, of: str = "core") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(core, trend, beta) from the columns of ``core.signals``."""
+    return core.blend({"f1": f["f1"]} | {c: f[f"{of}_{c}"] for c in core.FIELDS}, *s.core, centre_beta)
 
-def _ts_rank(a: np.ndarray, w: int, least: int) -> np.ndarray:
-    return np.nan_to_num(2 * pd.DataFrame(a).rolling(w, min_periods=least).rank(pct=True).to_numpy() - 1)
 
-
-def _scaled60(a: np.ndarray) -> np.ndarray:
-    sd = pd.DataFrame(a).rolling(60, min_periods=10).std().to_numpy()
-    return np.clip(np.nan_to_num(a / (sd + 1e-9)), -5.0, 5.0)
+def lead_lag(f1: np.ndarray) -> np.ndarray:
+    """Rank of what the expanding lead-lag graph of standardised returns passes on."""
+    d = m.centre(f1)
+    rows = np.arange(1.0, len(d) + 1)[:, None]
+    mean = np.cumsum(d, axis=0) / rows
+    sd = np.sqrt(np.maximum(np.cumsum(d * d, axis=0) / rows - mean * mean, 1e-18))
+    u = np.where(rows > 10, np.clip(d / (sd + 1e-12), -3, 3), 0.0)
+    out = m.rank_one(m.expanding_adjacency(u, 40))
+    out[:41] = 0.0
+    return m.centre(out)
 
 
-def _sums(f: Arrays) -> dict:
-    """What the core keeps of rows too old to be replayed."""
-    f1 = m.centre(f["f1"])
-    none = (0.0, np.zeros(f1.shape[1]), np.zeros(f1.shape[1]))
-    u, p = np.clip(f1 / (_deviation(f1, none, 10) + 1e-12), -3, 3), _scaled60(f1)
-    kept = {
-        "u": _moments(f1),
-        "f6": _moments(f["f6"]),
-        "e3": _moments(m.cs_residual(f["f3"], [f["f1"], f["f2"]])),
-        "lead": (float(len(u)), u[:-1].T @ u[1:]),
-        "auto": ((u[1:] * u[:-1]).sum(axis=0), (u * u).sum(axis=0)),
-        "pairs": p.T @ p,
-    }
-    return kept | {f"gap{w}": _moments(m.path(p, w)) for w in (10, 40)}
-
-
-def core_leg(f: Arrays, s: Settings, centre_beta: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(core, trend, beta): five ranked parts off market beta and partly off reversal; the trend leg; the beta.
-
-    Rows before the last ``core_tail`` training bars enter by their sums only, counted as ``core_cap`` rows at most.
-    """
-    n, k = f["f1"].shape
-    start = max(0, min(s.train, n) - s.core_tail)
-    zero = (0.0, np.zeros(k), np.zeros(k))
-    prior: dict = {"u": zero, "f6": zero, "e3": zero, "gap10": zero, "gap40": zero, "lead": (0.0, np.zeros((k, k))), "auto": (np.zeros(k), np.zeros(k)), "pairs": np.zeros((k, k))}
-    warm = start <= s.core_least
-    if not warm:
-        part = min(1.0, s.core_cap / start)
-        old = _sums({c: v[:start] for c, v in f.items()})
-        prior = {c: (tuple(x * part for x in v) if isinstance(v, tuple) else v * part) for c, v in old.items()}
-    g = {c: v[start:] for c, v in f.items()}
-    f1, rows = g["f1"], np.arange(len(g["f1"]))[:, None]
-    fresh = lambda a, least: np.where(warm & (rows < least), 0.0, a)
-
-    spread = m.rank_one(_ts_rank(g["f4"] - f1, 60, 20))
-    d = m.centre(f1)
-    u = np.clip(d / (_deviation(d, prior["u"], 10) + 1e-12), -3, 3)
-    lead = fresh(m.rank_one(m.expanding_adjacency(u, 40 if warm else 1, prior["lead"][1], prior["lead"][0])), 41)
-    level = (np.cumsum(g["f6"], axis=0) + prior["f6"][1]) / (rows + 1 + prior["f6"][0])
-    fade = fresh(-m.rank_one((g["f6"] - level) / (_deviation(g["f6"], prior["f6"], 10) + 1e-12)), 30)
-    e = m.cs_residual(g["f3"], [f1, g["f2"]])
-    ewm = pd.DataFrame(e).ewm(span=2, min_periods=1).mean().to_numpy()
-    lagged = -m.rank_one(0.9 * m.lagged(f1, 1) + 0.35 * m.lagged(f1, 2) - 1.4 * ewm)
-    state = m.centre(lead + fade + 0.8 * lagged)
-    s3 = np.clip(e / (_deviation(e, prior["e3"], 20) + 1e-9), -5, 5)
-    innovation = fresh(m.rank_one(sum((5 - i) * m.lagged(s3, i) for i in range(5)) / 15), 30)
-
-    p = _scaled60(d)
-    short, long = m.path(p, 10), m.path(p, 40)
-    near = short / (_deviation(short, prior["gap10"], 20) + 1e-9)
-    far = _ts_rank(long, 120, 40)
-    top, full = np.zeros_like(f1), np.zeros_like(f1)
-    least = 30 if warm else 1
-    for b, wide, best in m.pair_weights(p, least, prior["pairs"]):
-        top[b], full[b] = m.relative_fade(best, near[b]), m.relative_fade(wide, far[b])
-    top[:least] = full[:least] = 0.0
-
-    parts = {"spread": spread, "state": state, "top": top, "innovation": innovation, "full": full}
-    out = sum(w * parts[c] for c, w in CORE.items())
-    market = pd.Series(f1.mean(axis=1))
-    frame = pd.DataFrame(f1)
-    roll = lambda a: a.rolling(250, min_periods=20).mean()
-    cov = roll(frame.mul(market, axis=0)) - roll(frame).mul(roll(market), axis=0)
-    var = roll(market * market) - roll(market) ** 2
-    beta = np.nan_to_num(cov.div(var + 1e-12, axis=0).fillna(1.0).to_numpy(), nan=1.0)
-    exposure = m.centre(beta) if centre_beta else beta
-    out = out - m.project(out, exposure)
-    reversal = m.centre(-m.rank_one(f1))
-    out = out - 0.25 * m.project(out, reversal)
-
-    auto = (np.cumsum(u * m.lagged(u), axis=0) + prior["auto"][0]) / (np.cumsum(u * u, axis=0) + prior["auto"][1] + 1e-9)
-    trend = fresh(m.rank_one(np.tanh(5 * auto) * u), 30)
-    trend = m.rank_one(m.centre(trend - m.project(trend, reversal)))
-    pad = lambda a: np.vstack([np.zeros((start, k)), a])
-    return pad(m.centre(out)), pad(trend), pad(beta)
-
-
-def learned_leg(f: Arrays) -> np.ndarray:
+def learned_leg(f: Arrays, of: str = "gbt") -> np.ndarray:
     """Mean of the ensemble's predictions: de-meaned, off ranked f1 where asked, unit in every bar."""
     r1 = m.centre(m.rank_mean(f["f1"]))
     out = np.zeros_like(r1)
     for i, b in enumerate(models.ENSEMBLE):
-        p = m.centre(f[f"gbt{i}"])
+        p = m.centre(f[f"{of}{i}"])
         p = p - m.project(p, r1, 1e-12) if b.neutral else p
         out += p / (p.std(axis=1, keepdims=True) + m.TINY)
     return m.centre(out / len(models.ENSEMBLE))
 
 
-def apex_leg(f: Arrays, s: Settings, mapped: bool = True, centre_beta: bool = True, window: int | None = None, scales=(CORE_SCALE, LEARNED_SCALE, TREND_SCALE)) -> np.ndarray:
+def apex_leg(f: Arrays, s: Settings, mapped: bool = True, centre_beta: bool = True, window: int | None = None, scales=(CORE_SCALE, LEARNED_SCALE, TREND_SCALE), of: tuple[str, str] = ("core", "gbt")) -> np.ndarray:
     """Core, learned and trend legs off beta, half of it through the shrunk inverse covariance."""
-    core, trend, beta = core_leg(f, s, centre_beta)
-    out = CORE_SHARE / scales[0] * core + LEARNED_SHARE / scales[1] * learned_leg(f) + TREND_SHARE / scales[2] * trend
+    main, trend, beta = core_leg(f, s, centre_beta, of[0])
+    out = CORE_SHARE / scales[0] * main + LEARNED_SHARE / scales[1] * learned_leg(f, of[1]) + TREND_SHARE / scales[2] * trend
     out = out - m.project(out, beta)
     if mapped:
         out = m.risk_map(out, f["f1"], 0.5, window or s.covariance, s.covariance_least)
@@ -206,12 +132,6 @@ def apex_leg(f: Arrays, s: Settings, mapped: bool = True, centre_beta: bool = Tr
 # --- other legs ---------------------------------------------------------------------------------------
 
 
-def horizon_leg(f: Arrays, horizons=(2, 5, 20)) -> np.ndarray:
-    """Sums of earlier residuals over three horizons, ranked and turned round."""
-    e = m.cs_residual(f["f1"], [f[f"f{k}"] for k in range(2, 7)])
-    return m.centre(sum(m.unit(m.centre(m.rank_one(-m.lagged(m.path(e, k))))) for k in horizons))
-
-
 def ou_leg(f: Arrays, s: Settings) -> np.ndarray:
     return m.centre(m.rank_one(m.ou_score(f["f1"], s.graph)))
 
@@ -306,12 +226,7 @@ def master_legs(f: Arrays, s: Settings, weights=STATE_WEIGHTS, family=(0.55 / ST
     idio = sum(0.2 * f[f"i{i}"] for i in range(5))
     if measure:
         family = [0.5 / r for r in measured([state, idio], f, s, (0.01190105, 0.02302940))]
-    d = m.centre(f["f1"])
-    none = (0.0, np.zeros(d.shape[1]), np.zeros(d.shape[1]))
-    u = np.clip(d / (_deviation(d, none, 10) + 1e-12), -3, 3)
-    third = m.rank_one(m.expanding_adjacency(u, 40))
-    third[:41] = 0.0
-    return [first, m.centre(family[0] * state + family[1] * idio), m.centre(third), f["rev3"]]
+    return [first, m.centre(family[0] * state + family[1] * idio), lead_lag(f["f1"]), f["rev3"]]
 
 
 def _master(adaptive: str) -> Callable[[Arrays, Settings], np.ndarray]:
@@ -335,11 +250,7 @@ def _mean_variance(f: Arrays, s: Settings) -> np.ndarray:
 
 
 def _ticket1(f: Arrays, s: Settings) -> np.ndarray:
-    d = m.centre(f["f1"])
-    none = (0.0, np.zeros(d.shape[1]), np.zeros(d.shape[1]))
-    lead = m.rank_one(m.expanding_adjacency(np.clip(d / (_deviation(d, none, 10) + 1e-12), -3, 3), 40))
-    lead[:41] = 0.0
-    return f["slow_state"] + 2.0 * m.centre(lead)
+    return f["slow_state"] + 2.0 * lead_lag(f["f1"])
 
 
 def _carrier(f: Arrays, s: Settings) -> np.ndarray:
@@ -352,15 +263,33 @@ def _two_measured(f: Arrays, s: Settings) -> np.ndarray:
     return sum(leg / r for leg, r in zip(legs, measured(legs, f, s, (0.018789, 0.017123))))
 
 
-def _remeasured(f: Arrays, s: Settings) -> np.ndarray:
-    """Apex plus graph with the scales and the sleeve's gain measured on the last training rows."""
+#: Share of the graph leg's profit risk beside the apex.
+SLEEVE_SHARE = 0.15
+
+
+def inner_measure(f: Arrays, s: Settings) -> tuple[tuple[float, float, float], float]:
+    """Scales of core, learned and trend leg and the gain of the graph leg, on the last ``inner_tail`` training
+    bars, with every leg fitted on the bars before those; the fixed ones where there are too few of either."""
+    fixed = (CORE_SCALE, LEARNED_SCALE, TREND_SCALE), SLEEVE_GAIN
     n = min(s.train, len(f["f1"]))
-    a = slice(max(0, n - s.scale_tail), n)
-    core, trend, _ = core_leg(f, s)
-    scales = [float(v[a].std(axis=1).mean()) or d for v, d in zip((core, learned_leg(f), trend), (CORE_SCALE, LEARNED_SCALE, TREND_SCALE))]
-    apex, graph = apex_leg(f, s, scales=scales), graph_leg(f, s)
-    gain = 0.15 / 0.85 * profit_risk(apex[a], f["f1"][a]) / max(profit_risk(graph[a], f["f1"][a]), 1e-12)
-    return apex + gain * graph
+    if n < s.inner_tail + s.inner_least:
+        return fixed
+    early, tail = s.inner, slice(s.train - s.inner_tail, n)
+    main, trend, _ = core_leg(f, early, of="early")
+    scales = tuple(float(leg[tail].std(axis=1).mean()) for leg in (main, learned_leg(f, "early_gbt"), trend))
+    if not all(np.isfinite(v) and v > 0 for v in scales):
+        return fixed
+    apex = apex_leg(f, early, scales=scales, of=("early", "early_gbt"))[tail]
+    sleeve = graph_leg({c: f[c] for c in FIELDS}, early)[tail]
+    risks = profit_risk(apex, f["f1"][tail]), profit_risk(sleeve, f["f1"][tail])
+    gain = SLEEVE_SHARE / (1 - SLEEVE_SHARE) * risks[0] / risks[1] if risks[1] > 0 else 0.0
+    return (scales, gain) if np.isfinite(gain) and gain > 0 else fixed
+
+
+def _remeasured(f: Arrays, s: Settings) -> np.ndarray:
+    """Apex plus graph with the scales and the sleeve's gain measured one step earlier."""
+    scales, gain = inner_measure(f, s)
+    return apex_leg(f, s, scales=scales) + gain * graph_leg(f, s)
 
 
 # --- the catalogue ------------------------------------------------------------------------------------
@@ -395,7 +324,7 @@ _flat: Kernel = lambda f, s: apex_leg(f, s, mapped=False, centre_beta=False)  #
 _flat_centred: Kernel = lambda f, s: apex_leg(f, s, mapped=False)
 _raw_mapped: Kernel = lambda f, s: apex_leg(f, s, centre_beta=False)
 _cat: Kernel = lambda f, s: m.centre(m.rank_mean(f["cat"]))
-_gbt = ("ensemble",)
+_gbt, _core = ("ensemble",), ("core",)
 
 
 def _column(name: str) -> Kernel:
@@ -416,17 +345,17 @@ def _two_graphs(f: Arrays, s: Settings) -> np.ndarray:
     return m.unit(m.plane_leg(f["f1"], n, half_lives=s.half_lives)) + m.unit(m.granger_leg(f, n, half_lives=s.half_lives))
 
 
-_apex8 = Predictor(lambda f, s: apex_leg(f, s) + SLEEVE_GAIN * graph_leg(f, s), learned=_gbt)
-_apex7 = Predictor(_apex, learned=_gbt)
-_apex_p = Predictor(_raw_mapped, learned=_gbt)
-_final = Predictor(_sum((_graph, GRAPH_RISK), (_apex, FINAL_APEX_RISK)), learned=_gbt)
-_fusion = Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat, FLAT_APEX_RISK)), learned=_gbt)
-_again = Predictor(_remeasured, learned=_gbt)
+_apex8 = Predictor(lambda f, s: apex_leg(f, s) + SLEEVE_GAIN * graph_leg(f, s), signals=_core, learned=_gbt)
+_apex7 = Predictor(_apex, signals=_core, learned=_gbt)
+_apex_p = Predictor(_raw_mapped, signals=_core, learned=_gbt)
+_final = Predictor(_sum((_graph, GRAPH_RISK), (_apex, FINAL_APEX_RISK)), signals=_core, learned=_gbt)
+_fusion = Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat, FLAT_APEX_RISK)), signals=_core, learned=_gbt)
+_again = Predictor(_remeasured, signals=("core", "early"), learned=("ensemble", "early_ensemble"))
 _t2resid = Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK)))
 _graph_only = Predictor(_graph)
 
 CATALOGUE: dict[str, Predictor] = {
-    "apex6": Predictor(_flat, learned=_gbt),
+    "apex6": Predictor(_flat, signals=_core, learned=_gbt),
     "apex7": _apex7,
     "apex7_c": _apex7,
     "apex8": _apex8,
@@ -437,11 +366,11 @@ CATALOGUE: dict[str, Predictor] = {
     "apexP_c": _apex_p,
     "apexfusion": _fusion,
     "apexfusionc": _fusion,
-    "ax7g": Predictor(_sum((_graph, GRAPH_RISK), (_apex, APEX_RISK)), learned=_gbt),
-    "ax7g_w120": Predictor(_sum((_graph, GRAPH_RISK), (lambda f, s: apex_leg(f, s, window=min(120, s.covariance)), APEX_RISK)), learned=_gbt),
+    "ax7g": Predictor(_sum((_graph, GRAPH_RISK), (_apex, APEX_RISK)), signals=_core, learned=_gbt),
+    "ax7g_w120": Predictor(_sum((_graph, GRAPH_RISK), (lambda f, s: apex_leg(f, s, window=min(120, s.covariance)), APEX_RISK)), signals=_core, learned=_gbt),
     "catgraph": Predictor(_sum((_graph, GRAPH_RISK), (_cat, CAT_RISK)), learned=("cat",)),
     "catgraph_eqret": Predictor(_sum((_graph, GRAPH_RISK), (_cat, CAT_RETURN_RISK)), learned=("cat",)),
-    "catgraphapex": Predictor(_sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_cat, CAT_RISK)), learned=("ensemble", "cat")),
+    "catgraphapex": Predictor(_sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_cat, CAT_RISK)), signals=_core, learned=("ensemble", "cat")),
     "cat1bar": Predictor(lambda f, s: m.centre(m.rank_mean(f["cat1"])), learned=("cat1",)),
     "cr_ewma": Predictor(lambda f, s: m.recursive_map(f["f1"])),
     "cr_fact": Predictor(lambda f, s: m.factor_var(f["f1"], memory=s.memory, refresh=s.refresh, least=s.memory_least)),
@@ -454,18 +383,17 @@ CATALOGUE: dict[str, Predictor] = {
     "gbm_cat": Predictor(_cat, learned=("cat",)),
     "gbm_ada": Predictor(lambda f, s: m.centre(m.rank_mean(f["ada"])), learned=("ada",)),
     "gbm_ens": Predictor(lambda f, s: m.centre(m.rank_mean(sum(m.rank_mean(f[c]) for c in ("lgb", "xgb", "cat", "ada")) / 4)), learned=("lgb", "xgb", "cat", "ada")),
-    "gra7": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_apex, APEX_RISK)), learned=_gbt),
+    "gra7": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_apex, APEX_RISK)), signals=_core, learned=_gbt),
     "ind2": Predictor(_path_leg, learned=("path",)),
-    "ind3": Predictor(lambda f, s: horizon_leg(f)),
     "ind4": Predictor(_plane),
     "levy": Predictor(lambda f, s: m.centre(m.rank_one(m.levy_area(f["f1"], s.looks)))),
     "odd2c": Predictor(_mean_variance),
     "penta": Predictor(
-        _sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_column("ind1"), FIVE["ind1"]), (_path_leg, FIVE["path"]), (lambda f, s: horizon_leg(f), FIVE["horizon"]), (_plane, FIVE["plane"]), (_column("ind5"), FIVE["ind5"])),
-        signals=("ind1", "ind5"),
+        _sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_column("ind1"), FIVE["ind1"]), (_path_leg, FIVE["path"]), (_column("ind3"), FIVE["horizon"]), (_plane, FIVE["plane"]), (_column("ind5"), FIVE["ind5"])),
+        signals=("core", "ind1", "ind3", "ind5"),
         learned=("ensemble", "path"),
     ),
-    "quad": Predictor(_sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_column("ind1"), QUAD["ind1"]), (_column("ind5"), QUAD["ind5"])), signals=("ind1", "ind5"), learned=_gbt),
+    "quad": Predictor(_sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_column("ind1"), QUAD["ind1"]), (_column("ind5"), QUAD["ind5"])), signals=("core", "ind1", "ind5"), learned=_gbt),
     "t29ll": Predictor(_two_graphs),
     "t2basket6": Predictor(_sum((_graph, GRAPH_RISK), (basket_leg, BASKET_RISK))),
     "t2resid": _t2resid,
@@ -483,34 +411,50 @@ CATALOGUE: dict[str, Predictor] = {
     "ticket6": Predictor(_master("risk"), signals=("master",)),
     "ticket7": Predictor(_two_measured),
     "ticket8": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (ou_leg, OU_RISK))),
-    "triad": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat, FLAT_APEX_RISK)), learned=_gbt),
-    "triad2": Predictor(_sum((_graph, GRAPH_RISK), (_flat, FLAT_APEX_RISK)), learned=_gbt),
-    "triad_bd": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat_centred, FLAT_APEX_RISK)), learned=_gbt),
-    "triad_seed": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat, FLAT_APEX_RISK)), learned=("ensemble_seeds",)),
+    "triad": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat, FLAT_APEX_RISK)), signals=_core, learned=_gbt),
+    "triad2": Predictor(_sum((_graph, GRAPH_RISK), (_flat, FLAT_APEX_RISK)), signals=_core, learned=_gbt),
+    "triad_bd": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat_centred, FLAT_APEX_RISK)), signals=_core, learned=_gbt),
+    "triad_seed": Predictor(_sum((_graph, GRAPH_RISK), (_resid, RESIDUAL_RISK), (_flat, FLAT_APEX_RISK)), signals=_core, learned=("ensemble_seeds",)),
     "v13lw": Predictor(_carrier),
 }
 
 _SINGLE = {"lgb": models.LGB, "xgb": models.XGB, "cat": models.CAT, "cat1": models.CAT_ONE_BAR, "ada": models.ADA}
 
 
-def _learn(df: DataFrame, panel: DataFrame, what: str, s: Settings) -> tuple[DataFrame, list[str]]:
-    """Predictions of some boosters beside the panel's rows."""
-    from dataclasses import replace
+def _boosters(what: str) -> tuple[dict[str, Node], dict[str, models.Booster]]:
+    """Features and boosters, by output column, of one learned part."""
+    if what.endswith("ensemble") or what.endswith("seeds"):
+        prefix = "early_gbt" if what.startswith("early") else "gbt"
+        shift = 4 if what.endswith("seeds") else 0
+        return models.engineered(), {f"{prefix}{i}": replace(b, seed=b.seed + shift * i) for i, b in enumerate(models.ENSEMBLE)}
+    if what == "path":
+        return models.path_features(), {"path": models.PATH}
+    return models.simple(), {what: _SINGLE[what]}
+
+
+def _learn(panel: DataFrame, parts: tuple[str, ...], s: Settings) -> DataFrame:
+    """Predictions of the learned parts: boosters that share features and training rows share one pass."""
+    groups: dict[tuple, tuple[dict[str, Node], dict[str, models.Booster], int]] = {}
+    for what in parts:
+        features, boosters = _boosters(what)
+        train = s.inner.train if what.startswith("early") else s.train
+        if s.booster_least:
+            boosters = {c: replace(b, least=min(b.least, s.booster_least)) for c, b in boosters.items()}
+        groups.setdefault((tuple(features), train), (features, {}, train))[1].update(boosters)
+    out = None
+    for features, boosters, train in groups.values():
+        made = models.with_labels(panel, features, sorted({b.label for b in boosters.values()}))
+        fitted = models.boosted(made, list(features), boosters, train)
+        out = fitted if out is None else out.join(fitted, ["period", "bar", "name_ix"])
+    return out
+
 
-    if what.startswith("ensemble"):
-        features = models.engineered()
-        chosen = {f"gbt{i}": replace(b, seed=b.seed + 4 * i) if what.endswith("seeds") else b for i, b in enumerate(models.ENSEMBLE)}
-    elif what == "path":
-        features, chosen = models.path_features(), {"path": models.PATH}
-    else:
-        features, chosen = models.simple(), {what: _SINGLE[what]}
-    made = models.with_labels(panel, features, sorted({b.label for b in chosen.values()}))
-    out = made
-    for column, b in chosen.items():
-        b = models.small(b, s.booster_rounds) if s.booster_rounds else b
-        fit = models.adaptive_boosted if column == "ada" else models.boosted
-        out = fit(out, list(features), b, s.train, column)
-    return df.join(out.select("period", "bar", "name_ix", *chosen), ["period", "bar", "name_ix"]), list(chosen)
+def _nodes(part: str, s: Settings) -> dict[str, Node]:
+    if part == "master":
+        return _master_signals()
+    if part in ("core", "early"):
+        return {f"{part}_{c}": v for c, v in core.signals(*(s.core if part == "core" else s.inner.core)).items()}
+    return {part: PREDICTORS[part]}
 
 
 def score(panel: DataFrame, name: str, settings: Settings = FULL, only_scored: bool = True) -> DataFrame:
@@ -519,13 +463,14 @@ def score(panel: DataFrame, name: str, settings: Settings = FULL, only_scored: b
         return evaluate(panel, {"score": PREDICTORS[name]})
     p = CATALOGUE[name]
     nodes: dict[str, Node] = {}
-    for s in p.signals:
-        nodes |= _master_signals() if s == "master" else {s: PREDICTORS[s]}
+    for part in p.signals:
+        nodes |= _nodes(part, settings)
     df = evaluate(panel, nodes, FIELDS) if nodes else panel.select("period", "bar", "name_ix", *FIELDS)
-    columns = list(nodes)
-    for what in p.learned:
-        df, new = _learn(df, panel, what, settings)
-        columns += new
+    columns = [*nodes]
+    if p.learned:
+        fitted = _learn(panel, p.learned, settings)
+        columns += fitted.columns[3:]
+        df = df.join(fitted, ["period", "bar", "name_ix"])
     keep = settings.train if only_scored else 0
 
     def kernel(f: Arrays) -> Arrays:

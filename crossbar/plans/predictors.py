@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.scalar import clip, fill
 from ..operators import cross as x
 from ..operators import series as t
-from .components import COMPONENTS, e3, f1, f2, f3, f5, f6, market
+from .components import COMPONENTS, e3, f1, f2, f3, f4, f5, f6, market
 from .expr import Node
 
 # Component weights.
@@ -153,6 +153,18 @@ def volume_tail() -> Node:
     return x.rank_average(t.volume_share(f5))
 
 
+def horizon_reversal(horizons: tuple[int, ...] = (2, 5, 20)) -> Node:
+    """Sums of earlier residuals of f1 on the other features over some horizons, ranked and turned round."""
+    e = x.residual(f1, [f2, f3, f4, f5, f6])
+    legs = [x.unit(x.demean(x.rank_ordinal(-fill(t.lag(t.rolling_sum(e, k)))))) for k in horizons]
+    return x.demean(sum(legs[1:], legs[0]))
+
+
+def residual_reversal() -> Node:
+    """Ordinal rank of the f1 residual on the other features, turned round."""
+    return x.demean(x.rank_ordinal(-x.residual(f1, [f2, f3, f4, f5, f6])))
+
+
 PREDICTORS: dict[str, Node] = {
     "best": weighted(BEST),
     "max": weighted(MAX_SHARPE),
@@ -160,6 +172,7 @@ PREDICTORS: dict[str, Node] = {
     "set4": weighted(SET4),
     "sparseplus": weighted(SPARSE_BASE) + weighted(SPARSE_SLEEVE),
     "ind1": innovations(),
+    "ind3": horizon_reversal(),
     "ind5": distributional(),
     "slow_state": x.blend(slow_state_parts()),
 }
