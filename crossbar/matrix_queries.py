@@ -1,4 +1,5 @@
-"""Queries of the matrix operators, learned legs and streams: beyond SQL, held against plain Python in tests."""
+"""Queries of the matrix operators, learned legs and streams, with DuckDB SQL where it can say the same; the others
+are held against plain Python in tests."""
 
 from __future__ import annotations
 
@@ -12,7 +13,10 @@ from .operators import matrix as m
 from .plans import catalogue as cat
 from .plans import evaluate as ev
 from .plans.catalogue import SHORT
-from .sources.panel import events_panel, lineitem_panel
+from .plans.expr import to_sql
+from .plans.predictors import residual_reversal
+from .session import shared_folder
+from .sources.panel import PANEL_SQL, PERIOD_BARS, events_panel, lineitem_panel
 from .streaming import maps
 
 S = SHORT
@@ -21,7 +25,6 @@ _ALL = cat.FIELDS
 
 #: Operator id -> (fields, kernel of one period's arrays).
 KERNELS: dict[str, tuple[tuple[str, ...], Callable]] = {
-    "x21_cs_resid_five": (_ALL, lambda f: m.cs_residual(f["f1"], [f[f"f{k}"] for k in range(2, 7)], ridge=1e-12)),
     "x22_cs_resid_minimum_norm": (_ALL, m.residual_leg),
     "g01_var_graph": (_F1, lambda f: m.var_graph(f["f1"], S.windows, 0.10, S.least_pairs)),
     "g02_rank_var": (_ALL, lambda f: cat.graph_leg(f, S, gain_a=0.0)),
@@ -47,7 +50,8 @@ def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fields, make = KERNELS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return m.per_period(lineitem_panel(spark, sf_dir), lambda f: {"score": make(f)}, fields)
+        scored = m.per_period(lineitem_panel(spark, sf_dir), lambda f: {"score": make(f)}, fields)
+        return scored.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
     return run
 
@@ -55,8 +59,7 @@ def _kernel(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def m01_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw predictions of the four weighted boosters of the ensemble."""
     panel = lineitem_panel(spark, sf_dir)
-    df, columns = cat._learn(panel.select("period", "bar", "name_ix"), panel, "ensemble", S)
-    return df.select("period", "bar", "name_ix", *columns)
+    return cat._learn(panel, ("ensemble",), S)
 
 
 def m12_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ def e_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio of a predictor over resampled periods."""
     panel = lineitem_panel(spark, sf_dir, period_bars=20)
     scored = panel.withColumn("score", -F.col("f1"))
-    return ev.bootstrap(ev.profits(scored))
+    return ev.bootstrap(ev.profits(scored)).withColumn("sharpe", F.round("sharpe", 6) + F.lit(0.0))
 
 
 def _stream(make: Callable[[], object]) -> Callable[[SparkSession, str], DataFrame]:
@@ -82,8 +85,7 @@ def _stream(make: Callable[[], object]) -> Callable[[SparkSession, str], DataFra
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel = events_panel(spark, sf_dir)
         rows = panel.select("period", "bar", "name_ix", F.col("f1").alias("value"), F.timestamp_seconds(F.col("bar") * 3600).alias("ts"))
-        configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_crossbar_streams"
-        return maps.replay(spark, rows, f"{configured}/replay-{uuid.uuid4().hex}", make)
+        return maps.replay(spark, rows, f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}", make)
 
     return run
 
@@ -98,3 +100,79 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _kernel(n) fo
     f.__name__: f for f in (m01_ensemble, m12_walk_forward, e_bootstrap)
 }
 QUERIES |= {n: _stream(make) for n, make in STREAMS.items()}
+
+
+# --- the same in SQL ----------------------------------------------------------------------------------
+
+_ROWS = "row_number() OVER (PARTITION BY period, name_ix ORDER BY bar) - 1"
+
+
+def _residual_sql() -> str:
+    ctes, last = to_sql("panel", {"score": residual_reversal()})
+    return f"WITH {PANEL_SQL}, {', '.join(ctes)} SELECT period, bar, name_ix, round(score, 6) + 0.0e0 AS score FROM {last}"
+
+
+def _levy_sql() -> str:
+    """Areas from windows of products with the running path: where a path starts cancels out."""
+    looks, top, momentum = S.looks, 5, 22
+    moment = lambda a, b, w: f"(sum({a} * {b}) OVER w{w} - sum({a}) OVER w{w} * sum({b}) OVER w{w} / {w})"
+    area = " + ".join(f"({moment('ci', 'xj', w)} - {moment('cj', 'xi', w)}) / 2" for w in looks)
+    windows = ", ".join(f"w{w} AS (PARTITION BY period, i, j ORDER BY bar ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in looks)
+    return f"""WITH {PANEL_SQL},
+p AS (SELECT period, bar, name_ix, coalesce(f1, 0) AS x, sum(coalesce(f1, 0)) OVER (PARTITION BY period, name_ix ORDER BY bar) AS c, {_ROWS} AS t FROM panel),
+q AS (SELECT a.period, a.bar, a.t, a.name_ix AS i, b.name_ix AS j, a.c AS ci, a.x AS xi, b.c AS cj, b.x AS xj FROM p a JOIN p b USING (period, bar)),
+w AS (SELECT period, bar, t, i, j, ({area}) / {len(looks)} AS a FROM q WINDOW {windows}),
+k AS (SELECT period, bar, t, j AS name_ix, i AS other, a, row_number() OVER (PARTITION BY period, bar, j ORDER BY abs(a) DESC, i) AS n FROM w),
+m AS (SELECT period, bar, name_ix AS other, sum(x) OVER (PARTITION BY period, name_ix ORDER BY bar ROWS BETWEEN {momentum} PRECEDING AND 1 PRECEDING) AS m FROM p)
+SELECT period, bar, name_ix, round(CASE WHEN t < {max(looks)} THEN 0.0e0 ELSE sum(a * m) / (sum(abs(a)) + 1e-12) END, 6) + 0.0e0 AS score
+FROM k JOIN m USING (period, bar, other) WHERE n <= {top} GROUP BY period, bar, t, name_ix"""
+
+
+def _granger_sql() -> str:
+    rank = lambda f: f"(row_number() OVER (PARTITION BY period, bar ORDER BY coalesce({f}, 0), name_ix) - 1) / (count(*) OVER (PARTITION BY period, bar) - 1.0e0) - 0.5e0"
+    sources = " UNION ALL ".join(f"SELECT period, bar, name_ix, t, u, '{f}' AS c, v{f} AS v FROM r" for f in ("f2", "f3", "f4"))
+    return f"""WITH {PANEL_SQL},
+r AS (SELECT period, bar, name_ix, {_ROWS} AS t, {rank("f1")} AS u, {", ".join(f"{rank(f)} AS v{f}" for f in ("f2", "f3", "f4"))} FROM panel),
+s AS ({sources}),
+l AS (SELECT *, lag(v) OVER (PARTITION BY period, name_ix, c ORDER BY bar) AS v0 FROM s),
+h AS (SELECT * FROM (VALUES {", ".join(f"({x:e})" for x in S.half_lives)}) AS v(h)),
+g AS (SELECT a.period, a.c, h, a.name_ix AS i, b.name_ix AS j, sum(power(0.5e0, ({S.train - 1} - a.t) / h) * a.u * b.v0) AS g
+      FROM l a JOIN l b USING (period, bar, c), h WHERE a.t BETWEEN 1 AND {S.train - 1} AND a.name_ix <> b.name_ix GROUP BY ALL),
+o AS (SELECT l.period, l.bar, g.c, g.h, g.i AS name_ix, sum(g.g * l.v) AS s FROM g JOIN l ON (g.period, g.c, g.j) = (l.period, l.c, l.name_ix) GROUP BY ALL),
+z AS (SELECT period, bar, name_ix, (s - avg(s) OVER w) / greatest(stddev_pop(s) OVER w, 1e-12) AS z FROM o WINDOW w AS (PARTITION BY period, bar, c, h))
+SELECT period, bar, name_ix, round(sum(greatest(least(z, 3), -3)), 6) + 0.0e0 AS score FROM z GROUP BY ALL"""
+
+
+def _quadrant_sql() -> str:
+    return f"""WITH {PANEL_SQL},
+c AS (SELECT period, bar, name_ix, {_ROWS} AS t, coalesce(f1, 0) - avg(coalesce(f1, 0)) OVER (PARTITION BY period, bar) AS c FROM panel),
+m AS (SELECT period, bar, name_ix, t, CASE WHEN t > 0 THEN sign(c) ELSE 0 END AS o, unnest([1, 5]) AS m,
+             unnest([sign(c), sign(sum(c) OVER (PARTITION BY period, name_ix ORDER BY bar ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))]) AS k FROM c),
+l AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY period, name_ix, m ORDER BY bar), 0) AS k0 FROM m),
+d AS (SELECT power(0.5e0, 1 / h) AS d FROM (VALUES (250.0e0), (2500.0e0)) AS v(h)),
+q AS (SELECT a.period, a.bar, a.t, m, a.name_ix AS i, b.name_ix AS j, a.o * b.k0 AS x, b.k FROM l a JOIN l b USING (period, bar, m)),
+g AS (SELECT *, sum(x * power(d, -t)) OVER (PARTITION BY period, m, d, i, j ORDER BY bar) * power(d, t) * (1 - d) AS g FROM q, d),
+z AS (SELECT *, sqrt(sum(g * g) OVER (PARTITION BY period, bar, m, d)) AS size FROM g),
+s AS (SELECT period, bar, i AS name_ix, sum(CASE WHEN size > 0 THEN g / size * k ELSE 0 END) AS s FROM z GROUP BY ALL)
+SELECT period, bar, name_ix, round(s - avg(s) OVER (PARTITION BY period, bar), 6) + 0.0e0 AS score FROM s"""
+
+
+def _bootstrap_sql() -> str:
+    panel = PANEL_SQL.replace(f"bar / {PERIOD_BARS}.0", "bar / 20.0")
+    return f"""WITH {panel},
+h AS (SELECT period, bar, coalesce(lag(-f1) OVER (PARTITION BY period, name_ix ORDER BY bar), 0) * coalesce(f1, 0) AS x FROM panel),
+p AS (SELECT period, bar, sum(x) AS profit FROM h GROUP BY ALL),
+s AS (SELECT period, avg(profit) / nullif(stddev_pop(profit), 0) AS sharpe FROM p GROUP BY ALL),
+u AS (SELECT *, (CAST('0x' || substr(md5(period || ':' || round), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0 AS u
+      FROM s, (SELECT CAST(unnest(range(200)) AS INTEGER) AS round)),
+n AS (SELECT round, sharpe, CAST(u > 0.367879 AS INTEGER) + CAST(u > 0.735759 AS INTEGER) + CAST(u > 0.919699 AS INTEGER) + CAST(u > 0.981012 AS INTEGER) AS n FROM u)
+SELECT round, round(sum(sharpe * n) / nullif(sum(n), 0), 6) + 0.0e0 AS sharpe FROM n GROUP BY ALL"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "x22_cs_resid_minimum_norm": _residual_sql(),
+    "g07_levy_area": _levy_sql(),
+    "g11_granger": _granger_sql(),
+    "g22_quadrant_map": _quadrant_sql(),
+    "e_bootstrap": _bootstrap_sql(),
+}

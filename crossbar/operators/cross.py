@@ -42,6 +42,11 @@ def demean(x: Node) -> Node:
     return x - mean(x)
 
 
+def demean_strict(x: Node) -> Node:
+    """De-meaned; a bar with any missing value is all null."""
+    return each("strict", lambda d, a, n, j: f"(CASE WHEN {n} = {j} THEN {a} END)", demean(x), present(x), size())
+
+
 def _average_rank(x: Node) -> Node:
     def make(d, a):
         w = _RANKED.format(a)
@@ -130,6 +135,29 @@ def residual2(y: Node, x1: Node, x2: Node, ridge: float = 0.0) -> Node:
     return ym - a * ((bb * ay - ab * by) / det) - b * ((aa * by - ab * ay) / det)
 
 
+def residual(y: Node, xs: list[Node]) -> Node:
+    """Residual of y on a constant and any number of regressors in each bar, null as 0: each regressor is first
+    made orthogonal to those before it, and one that depends on them adds nothing."""
+    basis: list[Node] = []
+    for v in xs:
+        v = demean(fill(v))
+        size = dot(v, v)
+        for b in basis:
+            v = project_off(v, b)
+        # what is left of a dependent regressor is rounding
+        basis.append(each("independent", lambda d, a, s, n: f"(CASE WHEN {s} > 1.0e-18 * {n} THEN {a} ELSE 0.0e0 END)", v, dot(v, v), size))
+    out = demean(fill(y))
+    for b in basis:
+        out = project_off(out, b)
+    return out
+
+
+def shape_rows(x: Node, limit: float = 4.0, tiny: float = 1e-12) -> Node:
+    """De-meaned, scaled by root mean square, winsorised."""
+    c = demean(fill(x))
+    return clip(c / (over_bar("rms", lambda d, a: f"sqrt(avg({a} * {a}) OVER ({XS}))", c) + tiny), limit)
+
+
 def project_off(v: Node, r: Node, share: float = 1.0, eps: float = 1e-18) -> Node:
     """v without ``share`` of its component along r."""
     return v - (dot(v, r) / (dot(r, r) + eps)) * r * share

@@ -58,14 +58,20 @@ def adjacency_score(df: DataFrame, value: str, warm: int = 40) -> DataFrame:
 
 
 def expanding_correlation(df: DataFrame, value: str, warm: int = 30) -> DataFrame:
-    """(period, bar, i, j, c): uncentred expanding correlation of pairs i <> j, null before ``warm`` rows."""
-    m = moments(pairs(df, value))
-    diagonal = m.where("i = j").select("period", "bar", F.col("i").alias("k"), F.col("m").alias("d"))
-    left = diagonal.select("period", "bar", F.col("k").alias("i"), F.col("d").alias("di"))
-    right = diagonal.select("period", "bar", F.col("k").alias("j"), F.col("d").alias("dj"))
-    out = m.where("i <> j").join(left, ["period", "bar", "i"]).join(right, ["period", "bar", "j"])
-    c = F.col("m") / (F.sqrt(F.col("di") * F.col("dj")) + 1e-9)
-    return out.select("period", "bar", "i", "j", F.when(F.col("n") > warm, c).alias("c"))
+    """(period, bar, i, j, c): uncentred expanding correlation of pairs i <> j, null before ``warm`` rows.
+
+    Each name's sum of squares comes along in the bar's array, and each pair is made once and mirrored at the end.
+    """
+    u = F.coalesce(F.col(value), F.lit(0.0))
+    history = Window.partitionBy("period", "name_ix").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    cells = df.select("period", "bar", F.struct("name_ix", u.alias("v"), F.sum(u * u).over(history).alias("d")).alias("cell"))
+    rows = cells.groupBy("period", "bar").agg(F.sort_array(F.collect_list("cell")).alias("xs"))
+    one = rows.select("period", "bar", "xs", F.posexplode("xs").alias("a", "left"))
+    two = one.select("period", "bar", "left", F.explode(F.slice("xs", F.col("a") + 2, F.size("xs"))).alias("right"))
+    p = two.select("period", "bar", F.col("left.name_ix").alias("i"), F.col("right.name_ix").alias("j"), (F.col("left.v") * F.col("right.v")).alias("x"), (F.col("left.d") * F.col("right.d")).alias("dd"))
+    m = moments(p)
+    half = m.select("period", "bar", "i", "j", F.when(F.col("n") > warm, F.col("m") / (F.sqrt("dd") + 1e-9)).alias("c"))
+    return half.unionByName(half.select("period", "bar", F.col("j").alias("i"), F.col("i").alias("j"), "c"))
 
 
 def positive_weights(c: DataFrame, names: int) -> DataFrame:

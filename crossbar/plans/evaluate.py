@@ -86,6 +86,7 @@ def bootstrap(p: DataFrame, rounds: int = 200) -> DataFrame:
     per = sharpe(p).select("period", "sharpe")
     drawn = per.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     # Poisson resampling with mean one: the number of draws of a period in a round, from a uniform hash
-    u = (F.pmod(F.xxhash64("period", "round"), F.lit(1_000_003)) + 0.5) / 1_000_003
+    digest = F.md5(F.concat_ws(":", "period", "round"))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
     times = sum(((u > c).cast("int") for c in (0.367879, 0.735759, 0.919699, 0.981012)), F.lit(0))
     return drawn.withColumn("times", times).groupBy("round").agg((F.sum(F.col("sharpe") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("sharpe"))

@@ -33,6 +33,7 @@ _sign1 = s.sign(f1)
 SIGNALS: dict[str, Node] = {
     "s06_zero_fill": s.fill(f2),
     "x01_demean": x.demean(f3),
+    "x02_demean_strict": x.demean_strict(t.lag(f1, 2)),
     "x03_zero_fill_demean": x.demean(s.fill(f2)),
     "x04_csrank_avg": x.rank_average(f5),
     "x05_csrank_ordinal": x.rank_ordinal(f5),
@@ -46,10 +47,14 @@ SIGNALS: dict[str, Node] = {
     "x13_standard_clipped": x.standard_clipped(f2),
     "x14_zclip": x.zclip(f1, 2.0),
     "x15_rms_shape": x.rms_shape(f1),
+    "x16_shape_rows": x.shape_rows(f1),
     "x17_market": x.mean(f6),
     "x18_dispersion": x.std_samp(f1),
     "x19_cs_resid2": x.residual2(f3, f1, f2),
     "x20_cs_resid_ridge": x.residual2(f4, f1, f2, ridge=1e-10),
+    "x20_cs_resid_three": x.residual(f4, [f1, f2, f3]),
+    "x21_cs_resid_five": x.residual(f1, [f2, f3, f4, f5, f6]),
+    "x22_cs_resid_dependent": x.residual(f1, [f2, f3, f2 - f3, f5]),
     "x23_project_off": x.project_off(x.demean(f4), x.demean(f1)),
     "x24_neutral_raw": x.neutralise(-x.rank_average(f1), c.beta, centre=False),
     "x25_neutral_centred": x.neutralise(-x.rank_average(f1), c.beta),
@@ -118,6 +123,7 @@ SIGNALS: dict[str, Node] = {
     "t47_lagged_power_scale": t.lagged_power_scale(f1),
     "t48_trailing_sign": s.sign(t.rolling_sum(f5, 3)),
     "t49_next_sign_lagged": s.fill(t.lag(s.sign(f5), 1)),
+    "t49_next_sign_response": s.fill(t.lag(s.sign(t.rolling_sum(f1, 5)) * t.lead(_sign1), 1)),
     "t50_recency_weight": t.recency_weight(50.0) * 1.0,
     "fn_soft_threshold": s.soft_threshold(f1, 2.0),
     "fn_nested_reversal": -x.rank_ordinal(t.ewm_mean(x.residual2(f3, f1, f2), 3)),
@@ -161,4 +167,4 @@ for _name in catalogue.CATALOGUE:
     QUERIES[f"p_{_name}"] = _catalogued(_name)
 
 QUERIES |= pair_queries.QUERIES | source_queries.QUERIES | matrix_queries.QUERIES
-ORACLE_SQL |= pair_queries.ORACLE_SQL | source_queries.ORACLE_SQL
+ORACLE_SQL |= pair_queries.ORACLE_SQL | source_queries.ORACLE_SQL | matrix_queries.ORACLE_SQL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import pairs as p
-from .sources.panel import PANEL_SQL, lineitem_panel, name_index, zero_fill
+from .sources.panel import NAMES, PANEL_SQL, field_rows, lineitem_panel, name_index, native_order, result_frame, split_features, zero_fill
 
 TRAIN, TAIL = 60, 20
 
@@ -45,6 +45,56 @@ _s02 = f"""WITH {PANEL_SQL}, n AS (SELECT DISTINCT name FROM panel WHERE f1 IS N
 SELECT name, CAST(split_part(name, '.', 2) AS INTEGER) AS name_ix, CAST(row_number() OVER (ORDER BY CAST(split_part(name, '.', 2) AS INTEGER)) AS INTEGER) AS place FROM n"""
 
 
+def s02d_native_order(spark, sf_dir):
+    """Names numbered by the order in which they first come in the table."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return native_order(rows.select(F.concat(F.lit("X."), (F.col("l_suppkey") % NAMES).cast("string")).alias("name"), "l_orderkey"), "name", "l_orderkey")
+
+
+_s02d = f"""WITH n AS (SELECT 'X.' || (l_suppkey % {NAMES}) AS name, min(l_orderkey) AS first FROM lineitem GROUP BY ALL)
+SELECT name, CAST(row_number() OVER (ORDER BY first, name) - 1 AS INTEGER) AS name_ix FROM n"""
+
+
+def s05_split_features(spark, sf_dir):
+    return split_features(lineitem_panel(spark, sf_dir)).withColumn("value", _r("value"))
+
+
+_s05 = f"WITH {PANEL_SQL} " + " UNION ALL ".join(f"SELECT period, bar, name_ix, {k} AS feature, round(f{k}, 6) + 0.0e0 AS value FROM panel" for k in range(1, 7))
+
+
+def s06_clean(spark, sf_dir):
+    """NaN, infinities and nulls of a feature as zero."""
+    odd = F.when(F.col("name_ix") % 4 == 0, F.lit(float("nan"))).when(F.col("name_ix") % 4 == 1, F.lit(float("inf"))).when(F.col("name_ix") % 4 == 2, F.lit(float("-inf")))
+    panel = lineitem_panel(spark, sf_dir).withColumn("f2", F.when(F.col("bar") % 2 == 0, odd).otherwise(F.col("f2")))
+    return panel.select("period", "bar", "name_ix", _r(zero_fill(F.col("f2"))).alias("value"))
+
+
+_s06 = f"""WITH {PANEL_SQL}, o AS (SELECT period, bar, name_ix, CASE WHEN bar % 2 <> 0 THEN f2 WHEN name_ix % 4 = 0 THEN CAST('NaN' AS DOUBLE)
+    WHEN name_ix % 4 = 1 THEN CAST('Infinity' AS DOUBLE) WHEN name_ix % 4 = 2 THEN CAST('-Infinity' AS DOUBLE) END AS v FROM panel)
+SELECT period, bar, name_ix, CASE WHEN isfinite(v) THEN round(v, 6) + 0.0e0 ELSE 0.0e0 END AS value FROM o"""
+
+
+def s10_field_rows(spark, sf_dir):
+    """One field as a row of values a bar, and the place of each value in it."""
+    rows = field_rows(lineitem_panel(spark, sf_dir), "f3")
+    return rows.select("period", "bar", F.posexplode("row").alias("place", "value")).withColumn("value", _r("value"))
+
+
+_s10 = f"""WITH {PANEL_SQL} SELECT period, bar, CAST(row_number() OVER (PARTITION BY period, bar ORDER BY name_ix) - 1 AS INTEGER) AS place,
+round(coalesce(f3, 0), 6) + 0.0e0 AS value FROM panel"""
+
+
+def s12_result_frame(spark, sf_dir):
+    """De-meaned scores as one column a name."""
+    panel = lineitem_panel(spark, sf_dir)
+    score = F.col("f4") - F.avg("f4").over(Window.partitionBy("period", "bar"))
+    return result_frame(panel.withColumn("score", _r(score)), list(range(NAMES)))
+
+
+_s12 = f"""WITH {PANEL_SQL}, s AS (SELECT period, bar, name_ix, round(f4 - avg(f4) OVER (PARTITION BY period, bar), 6) + 0.0e0 AS score FROM panel)
+SELECT period, bar, {", ".join(f"coalesce(max(score) FILTER (name_ix = {n}), 0.0e0) AS n{n}" for n in range(NAMES))} FROM s GROUP BY ALL"""
+
+
 def s07_warm_up_union(spark, sf_dir):
     """Scored bars with the last training bars before them, so that their windows are full; only the former
     are returned."""
@@ -193,13 +243,18 @@ SELECT period, bar, name_ix, place, round(f1, 6) + 0.0e0 AS f1 FROM r WHERE plac
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        s01_feature_slice, s02_names, s07_warm_up_union, s08_tail, s09_align_state, s11_same_names, a_bar_aggregates, a_covariance, a_gram,
+        s01_feature_slice, s02_names, s02d_native_order, s05_split_features, s06_clean, s10_field_rows, s12_result_frame, s07_warm_up_union, s08_tail, s09_align_state, s11_same_names, a_bar_aggregates, a_covariance, a_gram,
         a_weighted_cross, j_static_coefficients, j_refresh_block, k_top_names,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "s01_feature_slice": _s01,
     "s02_names": _s02,
+    "s02d_native_order": _s02d,
+    "s05_split_features": _s05,
+    "s06_clean": _s06,
+    "s10_field_rows": _s10,
+    "s12_result_frame": _s12,
     "s07_warm_up_union": _s07,
     "s08_tail": _s08,
     "s09_align_state": _s09,

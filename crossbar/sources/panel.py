@@ -14,6 +14,8 @@ FEATURES = tuple(f"f{k}" for k in range(1, 7))
 NAMES = 20
 PERIOD_BARS = 120
 FORWARD = 5
+#: Divisors of levels and cash: not round, so that values of whole numbers don't lie halfway between two places.
+UNIT, CASH_UNIT = 9.99983, 700001.0
 
 
 def ts_rows():
@@ -35,8 +37,38 @@ def name_index(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1).cast("int")
 
 
-def from_wide(spark: SparkSession, features: pd.DataFrame, target: pd.DataFrame | None = None, period: int = 0) -> DataFrame:
-    """Long panel from a frame with columns (``Feature.k``, name); NaN becomes null."""
+def native_order(names: DataFrame, name: str, place: str) -> DataFrame:
+    """(name, name_ix): names numbered by where they first come, not by their suffix."""
+    first = names.groupBy(name).agg(F.min(place).alias("first"))
+    return first.select(name, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first", name)) - 1).alias("name_ix"))
+
+
+def split_features(panel: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """One row a value: period, bar, name_ix, feature (its number), value."""
+    cells = [F.struct(F.lit(int(f[1:])).alias("feature"), F.col(f).alias("value")) for f in features]
+    return panel.select("period", "bar", "name_ix", F.inline(F.array(*cells)))
+
+
+def field_rows(panel: DataFrame, field: str) -> DataFrame:
+    """period, bar and the values of one field in the order of the names, missing ones as 0."""
+    cells = F.sort_array(F.collect_list(F.struct("name_ix", zero_fill(F.col(field)).alias("value"))))
+    return panel.groupBy("period", "bar").agg(F.transform(cells, lambda c: c["value"]).alias("row"))
+
+
+def result_frame(scores: DataFrame, names: list[int], value: str = "score") -> DataFrame:
+    """One row a bar and one column a name (``n0``, ``n1``, ..), missing scores as 0: what ``write_frame`` stores."""
+    wide = scores.groupBy("period", "bar").pivot("name_ix", names).agg(F.first(value))
+    return wide.select("period", "bar", *[zero_fill(F.col(f"`{n}`").cast("double")).alias(f"n{n}") for n in names])
+
+
+def write_frame(scores: DataFrame, path: str, names: list[int], value: str = "score") -> None:
+    """The result frame as Parquet, a folder a period."""
+    result_frame(scores, names, value).write.partitionBy("period").parquet(path)
+
+
+def from_wide(spark: SparkSession, features: pd.DataFrame, target: pd.DataFrame | None = None, period: int = 0, order: str = "suffix") -> DataFrame:
+    """Long panel from a frame with columns (``Feature.k``, name); NaN becomes null. Names are numbered by their
+    suffix, or with ``order="native"`` by the order of their columns."""
     parts = []
     names = features.columns.get_level_values(1).unique()
     for k in range(1, 7):
@@ -50,11 +82,12 @@ def from_wide(spark: SparkSession, features: pd.DataFrame, target: pd.DataFrame
     long.index.names = ["bar", "name"]
     long = long.reset_index().astype({"target": "float64"})
     df = spark.createDataFrame(long).withColumns({c: clean(F.col(c)) for c in (*FEATURES, "target")})
+    number = name_index(F.col("name")) if order == "suffix" else F.array_position(F.lit([str(n) for n in names]), F.col("name")).cast("int") - 1
     return df.select(
         F.lit(period).alias("period"),
         F.col("bar").cast("bigint").alias("bar"),
         "name",
-        name_index(F.col("name")).alias("name_ix"),
+        number.alias("name_ix"),
         F.lit(target is not None).alias("is_train"),
         *FEATURES,
         "target",
@@ -88,9 +121,9 @@ def _finish(cells: DataFrame, period_bars: int) -> DataFrame:
         ratio("qr", "nr").alias("r3"),
         ratio("qa", "na").alias("r4"),
         (F.coalesce("qa", F.lit(0)) - F.coalesce("qr", F.lit(0))).cast("double").alias("f5"),
-        (F.coalesce("p", F.lit(0)) / 700001e0).alias("cash"),
+        (F.coalesce("p", F.lit(0)) / CASH_UNIT).alias("cash"),
     )
-    level = base.withColumns({f"f{k}": (F.col(f"r{k}") - 25.5e0) / 10 for k in (1, 3, 4)})
+    level = base.withColumns({f"f{k}": (F.col(f"r{k}") - 25.5e0) / UNIT for k in (1, 3, 4)})
     moved = level.withColumns(
         {
             "f2": F.lag("f1").over(ts_rows()),
@@ -157,10 +190,10 @@ base AS (
     SELECT CAST(floor(bar / {PERIOD_BARS}.0) AS INTEGER) AS period, bar, name_ix,
            coalesce(q / nullif(n, 0), 0.0) AS r1, coalesce(qr / nullif(nr, 0), 0.0) AS r3,
            coalesce(qa / nullif(na, 0), 0.0) AS r4,
-           CAST(coalesce(qa, 0) - coalesce(qr, 0) AS DOUBLE) AS f5, coalesce(p, 0) / 700001e0 AS cash
+           CAST(coalesce(qa, 0) - coalesce(qr, 0) AS DOUBLE) AS f5, coalesce(p, 0) / {CASH_UNIT:e} AS cash
     FROM spine LEFT JOIN cells USING (bar, name_ix)),
 level AS (
-    SELECT *, (r1 - 25.5e0) / 10 AS f1, (r3 - 25.5e0) / 10 AS f3, (r4 - 25.5e0) / 10 AS f4 FROM base),
+    SELECT *, (r1 - 25.5e0) / {UNIT:e} AS f1, (r3 - 25.5e0) / {UNIT:e} AS f3, (r4 - 25.5e0) / {UNIT:e} AS f4 FROM base),
 panel AS (
     SELECT period, bar, 'X.' || name_ix AS name, name_ix, f1, lag(f1) OVER ts AS f2, f3, f4, f5,
            avg(cash) OVER (PARTITION BY period, name_ix ORDER BY bar ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS f6,
