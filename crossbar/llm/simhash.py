@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -33,9 +33,12 @@ CELL = 4096
 BLOCK = 8192
 FAN = 8
 MARKS = 1024
-#: Of similar texts: least hashes that a set is first met by, texts in the sample, and shingles at most that are
-#: told as common in it (a table of fixed size).
-LEADS, SAMPLE, COMMON = 6, 20_000, 1 << 17
+#: Of similar texts: least hashes that a set is first met by, and the share of shingle hashes (the lowest) that come
+#: first in the order of prefixes, among themselves by how many sets have them, and 64-bit words of the parity
+#: fingerprint that pairs are compared by where they meet.
+LEADS, COUNTED, SKETCH = 6, 0.3, 8
+#: First shingles of a prefix that later ones of it are checked against, so that a pair is met about once.
+HEAD = 8
 
 
 # --- fingerprints -------------------------------------------------------------------------------------
@@ -267,6 +270,10 @@ def _link_cells(routed: DataFrame, kernel, k: int, block: int) -> DataFrame:
     return every.groupBy("part", "cell", "i", "j").applyInPandas(kernel, out)
 
 
+#: Edges up to which a table of a row a node is broadcast and the rounds run on few partitions.
+FEW_EDGES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have an edge; component is the smallest node reachable.
 
@@ -275,22 +282,27 @@ def components(edges: DataFrame) -> DataFrame:
     node's neighbours, and edges are checkpointed after each round.
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
+    n, state = edges.count(), None
     while True:
+        few = n <= FEW_EDGES  # rounds never add edges
+        gather = (lambda df: df.coalesce(1 + n // 100_000)) if few else (lambda df: df)
+        edges = gather(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        low = gather(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         # the larger neighbours of one node may be a third of all edges
-        large = join_spread(both.where("v > u"), low, "u", edges.count())
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = cut(
+        larger = both.where("v > u")
+        large = larger.join(F.broadcast(low), "u") if few else join_spread(larger, low, "u", n)
+        large = gather(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = gather(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(F.broadcast(low) if few else low, "u")
+        edges = gather(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
+        edges = cut(edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+        n, state = now[0], now
 
 
 def _named(classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -352,20 +364,18 @@ def _nodes(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64))
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (count in ``common``, hash): sets of this similarity share one of them."""
-    least = int(np.ceil(similarity * len(shingles) - 1e-9))
-    often = np.zeros(len(shingles), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        often = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, often))][: len(shingles) - least + 1]
+def candidates(shingles: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int]:
+    """The shingles that a prefix may hold, in the order of their hashes; how many of them are counted; and the length
+    of the prefix: of two sets of this similarity so many first shingles, in any one order, have one in common."""
+    counted = int(np.searchsorted(shingles, np.uint64(int(COUNTED * (1 << 64)))))
+    reach = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+    return shingles[: max(counted, reach)], counted, reach
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """A bit or more for each element, in 2^k words of 64: of two sets they differ in no more bits than the sets
-    differ in elements, also once the longer one is folded to the length of the other."""
-    bits = 64
+def parities(shingles: np.ndarray, words: int = 1) -> np.ndarray:
+    """A bit or more for each element, in 2^k words of 64 (``words`` at least): of two sets they differ in no more
+    bits than the sets differ in elements, also once the longer one is folded to the length of the other."""
+    bits = 64 * words
     while bits < len(shingles):
         bits *= 2
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -376,28 +386,33 @@ def folded(words: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
 
 
-def _profiles(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+def _profiles(words: int, similarity: float):
     mixes = np.random.default_rng(SEED).integers(0, 1 << 63, LEADS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(a, 256) for whole in batches for a in range(0, len(whole), 256)):
             sets = [shingle_set(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
             leads = [((x[:, None] ^ (x[:, None] >> np.uint64(29))) * mixes).min(axis=0) if len(x) else x for x in sets]
-            tokens = [prefix(x, similarity, common, counts) if len(x) else x for x in sets]
+            tokens, counted, reach = zip(*(candidates(x, similarity) for x in sets)) if sets else ((), (), ())
             odd = [parities(x) for x in sets]
             brief = np.array([folded(x, 1)[0] for x in odd], np.uint64).view(np.int64)
             n = pa.array([len(x) for x in sets], pa.int32())
-            cols = [batch.column(0), batch.column(2), _nodes(sets), n, pa.array(brief), _lists(odd), _lists(leads), _lists(tokens)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "brief", "odd", "leads", "tokens"])
+            cols = [batch.column(0), batch.column(2), _nodes(sets), n, pa.array(brief), _lists(odd), _lists(leads)]
+            sketch = [folded(parities(x, SKETCH), SKETCH) for x in sets]
+            cols += [pa.array(counted, pa.int32()), pa.array(reach, pa.int32()), _lists(sketch), _lists(list(tokens))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "brief", "odd", "leads", "counted", "reach", "sketch", "tokens"])
 
     return run
 
 
-def _fits(similarity: float) -> tuple[Column, Column]:
-    """Whether sizes n1, n2 and parities brief1, brief2 allow the similarity; how many shingles must then be shared."""
+def _fits(similarity: float, sketch: bool = False) -> tuple[Column, Column]:
+    """Whether sizes n1, n2 and parities (brief1, brief2, or sketch1, sketch2) allow the similarity; how many shingles
+    must then be shared."""
     least = F.lit(similarity / (1 + similarity)) * (F.col("n1") + F.col("n2")) - 1e-6
     sizes = F.least("n1", "n2") >= F.lit(similarity) * F.greatest("n1", "n2") - 1e-6
-    differ = F.bit_count(F.col("brief1").bitwiseXOR(F.col("brief2")))
+    word = lambda c, i: F.element_at(c, i) if sketch else F.col(c)
+    name = "sketch" if sketch else "brief"
+    differ = sum((F.bit_count(word(name + "1", i).bitwiseXOR(word(name + "2", i))) for i in range(1, (SKETCH if sketch else 1) + 1)), F.lit(0))
     return sizes & (differ <= F.col("n1") + F.col("n2") - 2 * least), least
 
 
@@ -477,30 +492,44 @@ def _open_pairs(profiles: DataFrame, similarity: float, cell: int, scratch: Scra
 
     The sets of a shingle outside its largest component meet all of them, in blocks of ``cell``.
     """
-    rows = profiles.select("node", "n", "brief", "component", F.posexplode("tokens").alias("pos", "token"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    mixed = scratch.write(mixed, "mixed")
+    rows = profiles.select("node", "n", "counted", "reach", "component", F.posexplode("tokens").alias("at", "token"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("sets"))
+    mixed = scratch.write(mixed.where("a <> b").select("token", "sets"), "mixed")
     blocks = bloom.block_count(mixed.count())
     likely = bloom.possible(rows, F.col("token"), bloom.build(mixed, "token", blocks), blocks, "__mixed").where("__mixed").drop("__mixed")
     likely = scratch.write(likely, "likely")
+    # places in the order: of a set's counted shingles those that aren't mixed come first, and aren't here
+    placed = join_spread(likely, mixed, "token", max(1, likely.count()))
+    late = F.col("at") >= F.col("counted")
+    of_set = Window.partitionBy("node")
+    first = F.col("counted") - F.count(F.when(~late, 1)).over(of_set)
+    place = F.row_number().over(of_set.orderBy(late, F.when(~late, F.col("sets")), "token")) - 1
+    placed = placed.withColumn("pos", F.when(late, F.col("at")).otherwise((first + place).cast("int")))
+    # the first few of a set, of which each row keeps those before its own
+    placed = placed.withColumn("place", place).withColumn("head", F.collect_list(F.when(F.col("place") < HEAD, F.struct("place", "token"))).over(of_set))
+    before = F.transform(F.filter("head", lambda x: x["place"] < F.col("place")), lambda x: x["token"])
+    placed = placed.where(F.col("pos") < F.col("reach")).select("token", "node", "n", "component", "pos", before.alias("before"))
+    likely = scratch.write(placed, "placed")
     sizes = scratch.write(likely.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     bulk = sizes.groupBy("token").agg(
         F.max_by("component", F.struct("size", "component")).alias("bulk"), F.max("size").alias("most"), F.sum("size").alias("all")
     )
-    # a shingle that only the filter lets pass has no others
+    # of some shingles only one component is left
     bulk = scratch.write(bulk.where("all > most").withColumns({"few": F.ceil((F.col("all") - F.col("most")) / cell), "many": F.ceil(F.col("all") / cell)}).drop("most", "all"), "bulks")
-    members = scratch.write(join_spread(likely, bulk, "token", max(1, likely.count())), "members")
-    scratch.drop("mixed", "likely", "sizes", "bulks")
+    met = scratch.write(join_spread(likely, bulk, "token", max(1, likely.count())), "met")
+    members = scratch.write(met.join(profiles.select("node", "sketch"), "node"), "members")
+    scratch.drop("mixed", "likely", "placed", "sizes", "bulks", "met")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    side = lambda x: [F.col(c).alias(c + x) for c in ("node", "n", "brief", "component", "pos")]
+    side = lambda x: [F.col(c).alias(c + x) for c in ("node", "n", "sketch", "component", "pos", "before")]
     left = members.where("component <> bulk").select("token", block("few").alias("i"), every("many").alias("j"), *side("1"))
     right = members.select("token", every("few").alias("i"), block("many").alias("j"), *side("2"))
-    fits, least = _fits(similarity)
+    fits, least = _fits(similarity, sketch=True)
     possible = (
         (F.col("component1") != F.col("component2"))
         & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
         & fits
+        & ~F.arrays_overlap("before1", "before2")  # else they met before, under the same bounds
     )
     on = [left[c] == right[c] for c in ("token", "i", "j")]
     met = left.join(right, on[0] & on[1] & on[2] & possible)
@@ -514,10 +543,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     Every link is verified on the shingle sets (64-bit hashes), and none is missed:
 
     1. Each set is compared with one set of those that agree in a least hash. This only joins most copies early.
-    2. Sets of this similarity share a shingle of their prefixes in any fixed order of shingles. Prefixes are taken
-       rarest first (by the counts in a sample of SAMPLE texts, which decide about speed only), and all pairs
-       across components that meet there are compared, but for those that exact bounds rule out: sizes, places in
-       the order, and parities of the sets (a fingerprint of a bit a shingle, folded to one length).
+    2. Sets of this similarity share a shingle of their prefixes in any fixed order of shingles. Here those with a low
+       hash come first: those that no two components have (they make nothing meet), then the others by the number
+       of sets that have them, so texts don't meet by a passage that many share. All pairs across components that
+       meet are compared, but for those that exact bounds rule out: sizes, places in the order, and parities of the
+       sets (a fingerprint of a bit a shingle, folded to one length).
 
     Shingles of many texts are split into blocks of ``cell``. The other rules of ``near_duplicates`` hold here too:
     texts without words are one component, and texts with fewer words than a shingle are one shingle.
@@ -526,15 +556,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     scratch = Scratch(spark, "similar")
     view = documents_view(docs).withColumn("text_hash", F.xxhash64("text"))
     total = view.count()
-    part = -(-max(1, total) // SAMPLE)
-    sample = view.where(F.pmod("text_hash", F.lit(part)) == 0).select("text").mapInArrow(_sets(words), "node bigint, shingles array<bigint>")
-    often = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2")
-    often = often.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    common = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(common)
-    common, counts = common[order], np.array([r["count"] for r in often], np.int64)[order]
-    schema = "doc_id bigint, text_hash bigint, node bigint, n int, brief bigint, odd array<bigint>, leads array<bigint>, tokens array<bigint>"
-    rows = scratch.write(view.mapInArrow(_profiles(words, similarity, common, counts), schema), "rows")
+    schema = "doc_id bigint, text_hash bigint, node bigint, n int, brief bigint, odd array<bigint>, leads array<bigint>, counted int, reach int, sketch array<bigint>, tokens array<bigint>"
+    rows = scratch.write(view.mapInArrow(_profiles(words, similarity), schema), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = scratch.write(rows.groupBy("node").agg(first.alias("least")), "classes")
     profiles = rows.drop("doc_id", "text_hash")

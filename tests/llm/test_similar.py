@@ -1,11 +1,13 @@
 """Similar texts held against brute force: exact Jaccard similarity of shingle sets and union-find."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from crossbar.llm.simhash import drop_near_duplicates, folded, parities, prefix, shingle_set, similar_documents
+from crossbar.llm import simhash
+from crossbar.llm.simhash import candidates, drop_near_duplicates, folded, parities, shingle_set, similar_documents
 
 
 def shingles(text, n=5):
@@ -99,20 +101,34 @@ def test_filters_lose_no_pair():
     rng = random.Random(23)
     for _ in range(300):
         n = rng.choice([1, 2, 4, 5, 9, 10, 50, 300])
-        a = set(rng.sample(range(1 << 40), n))
-        b = set(rng.sample(sorted(a), rng.randint(max(1, n * 3 // 4), n))) | set(rng.sample(range(1 << 40), rng.randint(0, n // 4)))
+        a = set(rng.sample(range(1 << 63), n))
+        b = set(rng.sample(sorted(a), rng.randint(max(1, n * 3 // 4), n))) | set(rng.sample(range(1 << 63), rng.randint(0, n // 4)))
         a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
-        common = np.unique(np.concatenate([a[::3], b[::5]]))
-        counts = np.array([rng.randint(3, 90) for _ in common])
         both = len(np.intersect1d(a, b))
         if both / (len(a) + len(b) - both) >= 0.8:
-            assert set(prefix(a, 0.8, common, counts)) & set(prefix(b, 0.8, common, counts))
+            first = {}  # prefixes in an order of low hashes by any weight, then the others by hash
+            for one in (a, b):
+                tokens, counted, reach = candidates(one, 0.8)
+                assert reach == len(one) - int(np.ceil(0.8 * len(one) - 1e-9)) + 1 <= len(tokens)
+                first[id(one)] = {*sorted(tokens[:counted].tolist(), key=lambda t: (t % 7, t))[:reach], *tokens[counted:reach].tolist()}
+            assert first[id(a)] & first[id(b)]
         x, y = parities(a), parities(b)
         for size in {1, min(len(x), len(y))}:
             assert np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= len(a) + len(b) - 2 * both
     assert len(shingle_set(b"", 5)) == 0 and len(shingle_set(b"a b", 5)) == 1 and len(shingle_set(b"A b c d e a b c d e", 5)) == 5
 
 
+def test_a_shared_passage_does_not_make_texts_meet(spark, monkeypatch):
+    """Texts with one passage in common are no candidates of each other: none are compared in the second step."""
+    rng = random.Random(27)
+    line = " ".join(invented(rng, 60))
+    texts = [f"{' '.join(invented(rng, 120))} {line} {' '.join(invented(rng, 120))}" for _ in range(150)]
+    met, write = {}, simhash.Scratch.write
+    monkeypatch.setattr(simhash.Scratch, "write", lambda self, df, name: met.setdefault(name, write(self, df, name).persist()))
+    assert components(frame(spark, list(enumerate(texts)))) == {i: i for i in range(150)}
+    assert met["mixed"].count() > 5 and met["second-met"].count() < 20
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     """The kept documents hang on links near the threshold and on the least doc_id of each component."""
     pipeline = pytest.importorskip("corpus_pipeline")
@@ -127,3 +143,64 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     want = brute_components([(i, t) for t, i in first.items()])
     got = pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} | {want[first[""]]} == set(want.values())
+
+
+def test_every_stage_by_plain_rules(spark, tmp_path):
+    """Each stage's rows against a plain rewrite, on what the stage before it kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import zlib
+
+    import public_tokenizers
+    from test_filters_search import plain_features
+    from tokenizers import Tokenizer
+
+    from crossbar.llm.toxicity import fit_toxicity
+
+    rng = random.Random(31)
+    rows = planted(rng)
+    clean = len(rows)
+    for i in range(clean, clean + 400):
+        words = invented(rng, 40)
+        if i % 4 == 0:
+            words[3], words[20], words[30] = "you", rng.choice(["idiot", "moron", "scum"]), "stupid"
+        rows.append((i, " ".join(words)))
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rows[:30])]
+    docs = spark.createDataFrame([(i, t, "en", "web", 5) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(clean, clean + 400)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stages, folder = dict(pipeline.STAGES), str(tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    model = fit_toxicity(docs, labels)
+    words = model.lexicon().words
+    insults = {w: x for w, (kind, x) in words.items() if kind == 1}
+    weights = np.array(model.weights)
+    score = lambda t: 1 / (1 + np.exp(-np.clip(np.array(plain_features(t or "", insults, model.stems)) @ weights[:-1] + weights[-1], -30, 30)))
+    want = {i: t for i, t in rows if score(t) < 0.3}
+    step = stages["toxicity"](spark, docs, folder).persist()
+    assert {r.doc_id: r.text for r in step.collect()} == want and 0 < len(rows) - len(want) < 130
+    assert not any(i % 4 == 0 for i in want if clean <= i < clean + 400)
+
+    first = {}
+    for i, t in sorted(want.items()):
+        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t or ""), i)
+    step = stages["exact_dedup"](spark, step, folder).persist()
+    assert step.columns == docs.columns and {r.doc_id for r in step.collect()} == set(first.values())
+
+    kept = [(r.doc_id, r.text) for r in step.collect()]
+    near = brute_components(kept)
+    step = stages["simhash_near_dedup"](spark, step, folder).persist()
+    assert step.columns == docs.columns and {r.doc_id for r in step.collect()} == set(near.values())
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = stages["packing"](spark, step, folder).toPandas()
+    assert set(pieces.doc_id) == set(near.values())
+    for doc, own in pieces.groupby("doc_id"):
+        own = own.sort_values("start")
+        ids = np.array([*library.encode(dict(kept)[doc] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() == len(ids)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
+    for _, s in pieces.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 4096
