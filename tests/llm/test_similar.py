@@ -101,8 +101,8 @@ def test_filters_lose_no_pair():
     rng = random.Random(23)
     for _ in range(300):
         n = rng.choice([1, 2, 4, 5, 9, 10, 50, 300])
-        a = set(rng.sample(range(1 << 63), n))
-        b = set(rng.sample(sorted(a), rng.randint(max(1, n * 3 // 4), n))) | set(rng.sample(range(1 << 63), rng.randint(0, n // 4)))
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), rng.randint(max(1, n * 3 // 4), n))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 4))}
         a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
         both = len(np.intersect1d(a, b))
         if both / (len(a) + len(b) - both) >= 0.8:
