@@ -78,14 +78,14 @@ HOT_SHARE = 512
 
 def join_spread(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with a table of unique keys. Hot keys (at most HOT_SHARE) go by broadcast, so that the
-    rows of one key are never gathered; the rest is left to the planner. Both are read more than once."""
-    hot_keys = rows.groupBy(key).count().where(F.col("count") > max(1, total // HOT_SHARE)).select(key)
-    hot = F.broadcast(table.join(F.broadcast(hot_keys), key).withColumn("__hot", F.lit(True)))
-    first = rows.join(hot, key, "left")
-    new = [c for c in table.columns if c != key]
-    done = first.where("__hot").drop("__hot")
-    rest = first.where("__hot is null").drop("__hot", *new).join(table, key, how)
-    return done.unionByName(rest)
+    rows of one key are never gathered; the rest is left to the planner. ``rows`` are read more than once."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1, total // HOT_SHARE))
+    hot = [r[0] for r in counts.select(key).collect()]
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(table.where(is_hot))
+    return rows.where(is_hot).join(few, key, how).unionByName(rows.where(~is_hot).join(table, key, how))
 
 
 #: Name of the text key that ``drop_rows`` expects beside doc_id.
