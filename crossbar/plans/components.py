@@ -88,9 +88,9 @@ COMPONENTS: dict[str, Node] = {
     "lowbeta": -rank(beta),
     "idio_dist_high20": rank(snap(t.drawdown(t.cumulate(residual), 20))),
     "revsum5": -rank(t.rolling_sum(f1, 5)),
-    "dist_high10": rank(t.drawdown(price, 10)),
-    "dist_high20": rank(t.drawdown(price, 20)),
-    "dist_high40": rank(t.drawdown(price, 40)),
+    "dist_high10": rank(snap(t.drawdown(price, 10))),
+    "dist_high20": rank(snap(t.drawdown(price, 20))),
+    "dist_high40": rank(snap(t.drawdown(price, 40))),
     "vol20": rank(fill(sd20)),
     "lowvol60": -rank(fill(sd60)),
     "x3_ewm3": rank(t.ewm_mean(e3, 3)),
@@ -98,7 +98,7 @@ COMPONENTS: dict[str, Node] = {
     "x34_agree": x.demean(rank(t.ewm_mean(e3, 3)) + rank(t.ewm_mean(e4, 3)) + 0.75 * rank(t.rolling_mean(sign(f3) * sign(f4), 20))),
     "leadlag_follow": x.demean(follow * tanh(scaled_market(1))),
     "leadlag_follow3": x.demean(follow * tanh(scaled_market(3))),
-    "mix_disp3_dd_mom": x.demean(x.mixture(logistic(dispersion_z, 3.5), rank(t.drawdown(price, 20)), momentum)),
+    "mix_disp3_dd_mom": x.demean(x.mixture(logistic(dispersion_z, 3.5), rank(snap(t.drawdown(price, 20))), momentum)),
     "mix_mvol_mdd_mom": x.demean(x.mixture(logistic(market_vol_z, 2.0), rank(t.drawdown_depth(price, sd60)), momentum)),
     "age_high40": x.demean(x.rank_percent(t.age_of_high(price, 40)) * 2.0 - 1.0),
     "aged_deep_dd": x.demean(rank(rank(t.drawdown_depth(price, sd60)) + rank(t.age_of_high(price, 40)))),
