@@ -44,7 +44,7 @@ def test_all_signals_at_once(spark, data, duck):
         a = got.sort_values(["bar", "name_ix"])[c].to_numpy(dtype=float)
         b = want.sort_values(["bar", "name_ix"])[c].to_numpy(dtype=float)
         close[c] = np.mean(np.isclose(a, b, atol=1e-6) | (np.isnan(a) & np.isnan(b)))
-    assert {c: v for c, v in close.items() if v < 0.98} == {}  # last digits can turn a rank over
+    assert {c: v for c, v in close.items() if v < 0.999} == {}  # last digits can turn a rank over
 
 
 @pytest.mark.parametrize("name", [*pair_queries.QUERIES, *source_queries.QUERIES])
