@@ -443,11 +443,12 @@ def _both_ends(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...], tot
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, view: DataFrame, classes: DataFrame, words: int, similarity: float, scratch: Scratch, step: str) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose shingle sets have this Jaccard similarity or more."""
+    """Those of the pairs (u, v, long) of nodes whose shingle sets have this Jaccard similarity or more. The parities of
+    long ones are compared first; what meets by a sketch has nothing more to tell of the others."""
     pairs = scratch.write(pairs.distinct(), f"{step}-met")
-    total = pairs.count()
-    close = _both_ends(pairs, profiles, ("n", "odd"), total).mapInArrow(_close(similarity), "u bigint, v bigint")
-    close = scratch.write(close, f"{step}-close")
+    long, short = (pairs.where(c).select("u", "v") for c in ("long", "not long"))
+    close = _both_ends(long, profiles, ("n", "odd"), long.count()).mapInArrow(_close(similarity), "u bigint, v bigint")
+    close = scratch.write(short.unionByName(close), f"{step}-close")
     # sets are made again, of texts that a Bloom filter passes: one text of each node
     asked = close.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = scratch.write(asked.join(classes, "node").select("node", F.col("least.text_hash").alias("text_hash")), f"{step}-asked")
@@ -473,7 +474,7 @@ def _lead_pairs(profiles: DataFrame, similarity: float, scratch: Scratch) -> Dat
     heads = heads.select("key", *(F.col("head")[c + "1"].alias(c + "2") for c in columns))
     met = join_spread(keyed, scratch.write(heads, "heads"), "key", max(1, keyed.count()))
     met = met.where(_fits(similarity)[0] & (F.col("node1") != F.col("node2")))
-    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"))
+    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"), F.lit(True).alias("long"))
 
 
 def _with_component(profiles: DataFrame, found: DataFrame) -> DataFrame:
@@ -533,7 +534,8 @@ def _open_pairs(profiles: DataFrame, similarity: float, cell: int, scratch: Scra
     )
     on = [left[c] == right[c] for c in ("token", "i", "j")]
     met = left.join(right, on[0] & on[1] & on[2] & possible)
-    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"))
+    long = F.greatest("n1", "n2") > 64 * SKETCH
+    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"), long.alias("long"))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, cell: int = 512) -> DataFrame:
