@@ -31,7 +31,7 @@ def test_against_sql(spark, data, duck, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_nearest_by_brute_force(spark, data, duck):
