@@ -142,9 +142,9 @@ def _filter(repeated: DataFrame) -> np.ndarray:
         words *= 2
     bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("h", s).bitwiseAND(F.lit(63)).cast("int"))
     mask = bit(30).bitwiseOR(bit(36)).bitwiseOR(bit(42))
-    rows = repeated.groupBy(F.col("h").bitwiseAND(F.lit(words - 1)).cast("int").alias("word")).agg(F.bit_or(mask).alias("bits")).toPandas()
+    rows = repeated.groupBy(F.col("h").bitwiseAND(F.lit(words - 1)).cast("int").alias("word")).agg(F.bit_or(mask).alias("bits")).toArrow()
     out = np.zeros(words, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
