@@ -20,8 +20,10 @@ from .common import prepare
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
 VIRTUAL_NODES = 64
-#: A slot with more than one in so many rows is hot; its rows are ordered in so many parts, by input partition.
-HOT_SHARE, HOT_PARTS = 512, 1024
+#: A slot with more than one in so many rows is hot; its rows are ordered in parts, by so many bits of their order.
+HOT_SHARE, PART_BITS = 512, 10
+#: Equal rows that one input row is spread to at most.
+RUN = 10_000
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[int]:
@@ -85,45 +87,51 @@ def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtu
     With ``slack`` 0 the law is ``rows``: counts at most one apart. Only overflowing rows leave their
     home shard, so a change in the number of shards moves few rows.
 
-    Defined cases: a null text has size 1 and the checksum of no bytes; rows of one slot are ordered by
-    hash, doc_id, checksum and size (in a hot slot, one with a 512th of all rows, first by where they come from),
-    so repeated rows (which are interchangeable) each get a place; null doc_ids share one slot; an empty table gives no rows; other columns are never read.
+    The order of a slot's rows is that of a hash of doc_id, checksum and size, whatever the size of the slot and wherever
+    the rows come from: equal tables have equal shards. Rows that are equal in all three are counted, placed together
+    and spread again, since they are interchangeable.
+
+    Defined cases: a null text has size 1 and the checksum of no bytes; repeated rows each get a place; null doc_ids
+    share one slot; an empty table gives no rows; other columns are never read.
     """
     spark = prepare(docs.sparkSession)
-    hashed = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.xxhash64(F.col("doc_id").cast("bigint")).alias("at"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("bigint")).alias("text_crc32"),
-        F.pmod(F.spark_partition_id(), F.lit(HOT_PARTS)).alias("origin"),
-    ).withColumn("ring_slot", F.shiftrightunsigned("at", 64 - SLOT_BITS).cast("int"))
+    ).withColumn("ring_slot", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SLOT_BITS).cast("int"))
     counts = [0] * SLOTS
-    for row in hashed.groupBy("ring_slot").count().collect():  # at most SLOTS rows
+    for row in rows.groupBy("ring_slot").count().collect():  # at most SLOTS rows
         counts[row["ring_slot"]] = row["count"]
     kind = "array<struct<ring_slot:int,first:bigint,last:bigint,shard:int,base:bigint,home:int>>"
     text = json.dumps(walk(counts, shards, slack, virtual_nodes), separators=(",", ":"))
     segments = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
     hot = [slot for slot, n in enumerate(counts) if n > max(1, sum(counts) // HOT_SHARE)]  # at most HOT_SHARE slots
+    keys = ["ring_slot", "doc_id", "text_crc32", "size"]
+    same = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("mix", F.xxhash64("doc_id", "text_crc32", "size"))
+    part = F.when(F.col("ring_slot").isin(hot), F.shiftright("mix", 64 - PART_BITS)).otherwise(0).cast("int")
+    same = same.withColumn("part", part)
+    before = Window.partitionBy("ring_slot", "part").orderBy("mix", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = same.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)))
     if hot:
-        hashed = hashed.withColumn("origin", F.when(F.col("ring_slot").isin(hot), F.col("origin")).otherwise(0))
-        before = Window.partitionBy("ring_slot").orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
-        parts = hashed.where(F.col("ring_slot").isin(hot)).groupBy("ring_slot", "origin").count()
-        parts = parts.select("ring_slot", "origin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    else:
-        hashed, parts = hashed.withColumn("origin", F.lit(0)), None
-    rank = F.row_number().over(Window.partitionBy("ring_slot", "origin").orderBy("at", "doc_id", "text_crc32", "size")) - 1
-    placed = hashed.withColumn("rank", rank.cast("bigint"))
-    if parts is not None:  # at most HOT_SHARE * HOT_PARTS rows
-        placed = placed.join(F.broadcast(parts), ["ring_slot", "origin"], "left")
-        placed = placed.withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0)))
-    placed = placed.join(F.broadcast(segments), "ring_slot")
-    return placed.where("rank between first and last").select(
+        earlier = Window.partitionBy("ring_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = same.where(F.col("ring_slot").isin(hot)).groupBy("ring_slot", "part").agg(F.sum("n").alias("n"))
+        parts = parts.select("ring_slot", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+        # at most HOT_SHARE << PART_BITS rows
+        placed = placed.join(F.broadcast(parts), ["ring_slot", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0)))
+    placed = placed.join(F.broadcast(segments), "ring_slot").where("rank <= last and rank + n > first")
+    cut = placed.withColumns({"from": F.greatest("rank", "first"), "to": F.least(F.col("rank") + F.col("n") - 1, "last")})
+    few = cut.where(F.col("to") - F.col("from") < RUN)
+    many = cut.where(F.col("to") - F.col("from") >= RUN).withColumn("from", F.explode(F.sequence("from", "to", F.lit(RUN))))
+    many = many.withColumn("to", F.least("to", F.col("from") + RUN - 1)).repartition("shard", "from")
+    spread = few.unionByName(many).withColumn("at", F.explode(F.sequence("from", "to")))
+    return spread.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("rows" if slack <= 0 else "bounded").alias("law"),
         "shard",
-        (F.col("base") + F.col("rank") - F.col("first")).alias("slot"),
+        (F.col("base") + F.col("at") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("home").alias("home_shard"),
     )

@@ -1,11 +1,13 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crossbar.llm import sharding
 from crossbar.llm.license_scan import BASE, SHARE, TEMPLATES, scan_licenses
 from crossbar.llm.sharding import SLOTS, ring, shard_documents, walk
 from crossbar.llm.toxicity import AIMED, FEATURES, NEAR, NEGATED, NEGATION, REPORT, REPORTED, TARGET, THREAT, THREATENED, Lexicon, ToxicityModel, choose_terms, fit_logistic, fit_toxicity, grammar, keep_clean, score_toxicity, stem_sizes
@@ -213,6 +215,49 @@ def test_many_rows_of_one_key_are_sharded(spark):
     assert all(s == list(range(len(s))) for s in sizes)
 
 
+def placement(df):
+    return Counter((r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in shard_documents(df).collect())
+
+
+def test_equal_rows_have_equal_shards_however_they_come(spark, tmp_path):
+    """Two thirds of the rows without doc_id; from files of any number, from a join, from shuffles."""
+    ids = F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.col("id")).cast("bigint")
+    rows = spark.range(0, 30_000, 1, 4).select("id", ids.alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
+    want = placement(rows)
+    assert sum(want.values()) == 30_000 and max(want.values()) == 1
+    for shard in range(16):
+        assert sorted(k[4] for k in want if k[3] == shard) == list(range(30_000 // 16))
+    for n in (2, 50):
+        rows.repartition(n).write.parquet(f"{tmp_path}/{n}")
+        assert placement(spark.read.parquet(f"{tmp_path}/{n}")) == want
+    more = spark.range(0, 30_000, 1, 7).withColumn("score", F.lit(1))
+    assert placement(rows.join(more.hint("merge"), "id")) == want
+
+
+def test_placement_of_rows_by_a_plain_ring(spark):
+    """Rows in the order of their hash at every slot, the hot ones too; equal rows side by side."""
+    docs = [(None if i % 4 == 0 else i % 90, "x" * (i % 5)) for i in range(1200)] + [(None, "same")] * 300
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    crc = F.crc32(F.col("text").cast("binary"))
+    size = (F.length("text") + 1).cast("bigint")
+    hashed = df.select("doc_id", crc.alias("crc"), size.alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id"), 50).alias("ring"), F.xxhash64("doc_id", crc, size).alias("mix"))
+    slots = {}
+    for r in hashed.collect():
+        slots.setdefault(r.ring, []).append((r.mix, r.doc_id is not None, r.doc_id or 0, r.crc, r["size"]))
+    want = Counter()
+    for s in walk([len(slots.get(i, ())) for i in range(SLOTS)], 16):
+        for rank, row in enumerate(sorted(slots[s["ring_slot"]])):
+            if s["first"] <= rank <= s["last"]:
+                want[(row[2] if row[1] else None, row[3], row[4], s["shard"], s["base"] + rank - s["first"])] += 1
+    assert placement(df) == want
+
+
+def test_long_runs_of_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = shard_documents(spark.createDataFrame([(1, "same")] * 500 + [(i, "x") for i in range(90)], "doc_id bigint, text string")).toPandas()
+    assert len(rows) == 590 and all(sorted(s) == list(range(len(s))) for _, s in rows.groupby("shard").slot)
+
+
 def test_few_rows_move_when_a_shard_is_added():
     rng = random.Random(1)
     counts = [rng.randint(0, 40) for _ in range(SLOTS)]
