@@ -13,7 +13,7 @@ from .operators import matrix as m
 from .plans import catalogue as cat
 from .plans import evaluate as ev
 from .plans.catalogue import SHORT
-from .plans.expr import to_sql
+from .plans.expr import evaluate, to_sql
 from .plans.predictors import residual_reversal
 from .session import shared_folder
 from .sources.panel import PANEL_SQL, PERIOD_BARS, events_panel, lineitem_panel
@@ -41,7 +41,6 @@ KERNELS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "g22_quadrant_map": (_F1, lambda f: m.quadrant_map(f["f1"])),
     "g23_ou_score": (_F1, lambda f: m.ou_score(f["f1"], S.graph)),
     "g24_shrunk_risk_map": (_ALL, lambda f: m.risk_map(m.residual_leg(f), f["f1"], 0.5, S.covariance, S.covariance_least)),
-    "g27_mean_variance": (_ALL, lambda f: cat._mean_variance(f, S)),
     "m13_train_scales": (_ALL, lambda f: cat._two_measured(f, S)),
 }
 
@@ -62,6 +61,13 @@ def m01_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat._learn(panel, ("ensemble",), S)
 
 
+def g27_mean_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean-variance weights of the odd moments, learned from the training bars."""
+    basis = evaluate(lineitem_panel(spark, sf_dir), cat._basis_signals(), ("f1",))
+    scored = m.per_period(basis, lambda f: {"score": cat._mean_variance(f, S)}, ("f1", *cat.BASIS))
+    return scored.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
 def m12_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio of a predictor in each walk-forward fold."""
     out = None
@@ -97,7 +103,7 @@ STREAMS: dict[str, Callable[[], object]] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _kernel(n) for n in KERNELS} | {
-    f.__name__: f for f in (m01_ensemble, m12_walk_forward, e_bootstrap)
+    f.__name__: f for f in (m01_ensemble, g27_mean_variance, m12_walk_forward, e_bootstrap)
 }
 QUERIES |= {n: _stream(make) for n, make in STREAMS.items()}
 

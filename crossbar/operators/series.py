@@ -1,8 +1,16 @@
 """Time-series operators: windows over one name's rows, none of which looks past the current bar (labels aside).
 
-``least`` is the number of values a window needs; with fewer the result is null. Exponential means are scaled
-prefix sums: one running sum in a block of bars and the sum of the block before, so a row costs the same at any
-length. Rolling ranks collect the window; the expanding one is quadratic in the length of a period.
+``least`` is the number of values a window needs; with fewer the result is null. The cost of a row is bounded whatever
+the length of the window. Up to FRAME rows a sliding frame aggregates its rows anew; beyond that:
+
+    sums, extremes and moments   a window is the end of one block of its own length and the beginning of the next, so
+                                 it is made of two running aggregates, one from each side; nothing is subtracted, so no
+                                 digits are lost either way
+    ranks                        order statistics by digits: values are numbered by size, and those below are counted
+                                 digit by digit of that number, in running counts
+    exponential means            scaled prefix sums: one running sum in a block of bars and the sum of the block before
+
+``to_sql`` says all of them as plain windows.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from __future__ import annotations
 import math
 
 from ..functions.scalar import clip, fill, magnitude, root, tanh
-from ..plans.expr import DUCKDB, TS, Node, each, number, over_history
+from ..plans.expr import DUCKDB, TS, Node, each, for_short, number, over_history, said_plainly
 from . import cross
 
 _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -43,47 +51,116 @@ def lead_sum(x: Node, first: int = 2, last: int = 5) -> Node:
     return over_history("lead_sum", lambda d, a: f"(CASE WHEN count({a}) OVER ({f}) = {last - first + 1} THEN sum({a}) OVER ({f}) END)", x, params=(first, last))
 
 
-#: Windows longer than this are differences of running sums: a sliding frame costs its length in every row.
-LONG = 1000
+#: Rows that a sliding frame may have, and rows that a rank compares one by one.
+FRAME, COMPARED = 512, 128
+#: The number of a row in its name's history, from 1.
+position = over_history("position", lambda d: f"row_number() OVER ({TS})")
+_RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _sides(name: str, call: str, w: int, x: Node) -> tuple[Node, Node]:
+    """An aggregate of the window's rows in the block before, and of those in the row's own block of w rows.
+
+    The first is that of the rows from the window's start to the end of its block; where a window fills one block
+    exactly, the two are the same rows.
+    """
+    block = f"PARTITION BY period, name_ix, ({{}} - 1) div {w} ORDER BY {{}}"
+
+    def side(order: str, kind: str) -> Node:
+        return over_history(f"{kind}_{name}", lambda d, p, a: f"{call.format(a)} OVER ({block.format(p, p)}{order} {_RUN})", position, x, params=(w,))
+
+    return lag(side(" DESC", "rest"), w - 1), side("", "here")
+
+
+def _counted(x: Node, w: int) -> Node:
+    """Values in the last w rows: a difference of whole numbers."""
+    running = over_history("count_all", lambda d, a: f"count({a}) OVER ({_frame(None)})", x)
+    return running - fill(lag(running, w))
+
+
+def _rolling_total(x: Node, w: int, least: int, mean: bool) -> Node:
+    before, here = _sides("sum", "sum({})", w, x)
 
+    def make(d, p, b, h, n):
+        total = f"(CASE WHEN {p} % {w} <> 0 AND {b} IS NOT NULL THEN coalesce({h}, 0) + {b} ELSE {h} END)"
+        return f"(CASE WHEN {n} >= {least} THEN {total}{f' / {n}' if mean else ''} END)"
 
-def _differences(x: Node, w: int, least: int) -> tuple[Node, Node]:
-    """Sum and count of the last w rows; the sum is null with fewer than ``least`` values."""
-    one = each("is_value", lambda d, a: f"(CASE WHEN {a} IS NOT NULL THEN 1 ELSE 0 END)", x)
-    s, n = (_gated("roll_sum", "sum({})", None, 1, v) for v in (fill(x), one))
-    count = n - fill(lag(n, w))
-    return each("gate", lambda d, k, v: f"(CASE WHEN {k} >= {least} THEN {v} END)", count, s - fill(lag(s, w)), params=(least,)), count
+    return each("roll_mean" if mean else "roll_total", make, position, before, here, _counted(x, w), params=(w, least))
 
 
 def rolling_mean(x: Node, w: int | None, least: int = 1) -> Node:
-    if w is not None and w > LONG:
-        total, count = _differences(x, w, least)
-        return total / count
-    return _gated("roll_mean", "avg({})", w, least, x)
+    plain = _gated("roll_mean", "avg({})", w, least, x)
+    return plain if w is None or w <= FRAME else said_plainly(_rolling_total(x, w, least, True), plain)
 
 
 def rolling_sum(x: Node, w: int | None, least: int = 1) -> Node:
-    if w is not None and w > LONG:
-        return _differences(x, w, least)[0]
-    return _gated("roll_sum", "sum({})", w, least, x)
+    plain = _gated("roll_sum", "sum({})", w, least, x)
+    return plain if w is None or w <= FRAME else said_plainly(_rolling_total(x, w, least, False), plain)
 
 
 def long_sum(x: Node, w: int) -> Node:
-    """Rolling sum as a difference of running sums: the cost of a row doesn't grow with the window."""
-    running = rolling_sum(fill(x), None)
-    return running - fill(lag(running, w))
+    """Rolling sum with null as 0; the cost of a row doesn't grow with the window."""
+    return rolling_sum(fill(x), w)
+
+
+def _moments(x: Node, w: int, third: bool = False) -> tuple[Node, Node, Node]:
+    """Centred moments of the last w rows: number of values, sum of squared and (if asked for) of cubed deviations.
+
+    Each block is shifted by its first value, so that an offset costs no digits, and the moments of the two sides are
+    merged by the difference of their means.
+    """
+    first = over_history("block_first", lambda d, p, a: f"first({a}, true) OVER (PARTITION BY period, name_ix, ({p} - 1) div {w} ORDER BY {p} {_RUN})", position, x, params=(w,))
+    y = x - first
+    n, mean, var = (_sides(c, f"{c}({{}})", w, y) for c in ("count", "avg", "var_pop"))
+    shift = _sides("max", "max({})", w, first)
+    cube = _sides("cube", "sum({0} * {0} * {0})", w, y) if third else ((0, 0))
+
+    def parts(p, nb, nh, mb, mh, vb, vh, sb, sh):
+        """Numbers of the sides, the distance of their means, and their own sums of squares; a side without values is 0."""
+        a = f"(CASE WHEN {p} % {w} <> 0 THEN coalesce({nb}, 0) ELSE 0 END)"
+        gap = f"coalesce(({sh} - {sb}) + ({mh} - {mb}), 0)"
+        return a, f"{nh}", gap, f"coalesce({vb}, 0) * {a}", f"coalesce({vh}, 0) * {nh}"
+
+    def squares(d, *args):
+        a, h, gap, sa, sh = parts(*args)
+        return f"({sa} + {sh} + {gap} * {gap} * ({a} * {h} / nullif(CAST({a} + {h} AS DOUBLE), 0)))"
+
+    def cubes(d, *args):
+        *args, cb, ch, mb, mh = args
+        a, h, gap, sa, sh = parts(*args)
+        own = lambda c, m, s, k: f"(coalesce({c}, 0) - 3 * coalesce({m}, 0) * {s} - coalesce({m}, 0) * coalesce({m}, 0) * coalesce({m}, 0) * {k})"
+        n = f"nullif(CAST({a} + {h} AS DOUBLE), 0)"
+        both = f"power({gap}, 3) * {a} * {h} * ({a} - {h}) / ({n} * {n}) + 3 * {gap} * ({a} * {sh} - {h} * {sa}) / {n}"
+        return f"((CASE WHEN {a} > 0 THEN {own(cb, mb, sa, a)} ELSE 0 END) + {own(ch, mh, sh, h)} + {both})"
+
+    given = (position, *n, *mean, *var, *shift)
+    count = _counted(x, w)
+    m2 = each("squares", squares, *given, params=(w,))
+    return count, m2, each("cubes", cubes, *given, *cube, *mean, params=(w,)) if third else m2
 
 
 def rolling_std(x: Node, w: int | None, least: int = 2) -> Node:
-    return _gated("roll_std", "stddev_samp({})", w, least, x)
+    plain = _gated("roll_std", "stddev_samp({})", w, least, x)
+    if w is None or w <= FRAME:
+        return plain
+    n, m2, _ = _moments(x, w)
+    return said_plainly(each("roll_deviation", lambda d, k, s: f"(CASE WHEN {k} >= {max(2, least)} THEN sqrt({s} / ({k} - 1)) END)", n, m2, params=(w, least)), plain)
+
+
+def _rolling_extreme(x: Node, w: int | None, least: int, call: str, pick: str) -> Node:
+    plain = _gated(f"roll_{call}", f"{call}({{}})", w, least, x)
+    if w is None or w <= FRAME:
+        return plain
+    made = each(f"either_{call}", lambda d, a, b, n: f"(CASE WHEN {n} >= {least} THEN {pick}({a}, {b}) END)", *_sides(call, f"{call}({{}})", w, x), _counted(x, w), params=(w, least))
+    return said_plainly(made, plain)
 
 
 def rolling_max(x: Node, w: int | None, least: int = 1) -> Node:
-    return _gated("roll_max", "max({})", w, least, x)
+    return _rolling_extreme(x, w, least, "max", "greatest")
 
 
 def rolling_min(x: Node, w: int | None, least: int = 1) -> Node:
-    return _gated("roll_min", "min({})", w, least, x)
+    return _rolling_extreme(x, w, least, "min", "least")
 
 
 def before_mean(x: Node, w: int) -> Node:
@@ -114,8 +191,11 @@ def _list(dialect: str, x: str, frame: str) -> str:
     return f"collect_list({x}) OVER ({frame})"
 
 
-def rolling_rank(x: Node, w: int | None, least: int) -> Node:
-    """Average rank of the current value in its window, as a share of the window's values."""
+#: Bits of a digit of a value's number, and digits: together for histories of up to 2^18 rows.
+DIGIT_BITS, DIGITS = 3, 6
+
+
+def _plain_rank(x: Node, w: int | None, least: int) -> Node:
     f = _frame(w)
     window = over_history("window_list", lambda d, a: _list(d, a, f), x, params=(w,))
 
@@ -127,6 +207,63 @@ def rolling_rank(x: Node, w: int | None, least: int) -> Node:
     return each("rolling_rank", make, x, window, params=(least,))
 
 
+def _compared_rank(x: Node, w: int, least: int) -> Node:
+    """The rank by comparing with each of the rows before: 2 for a smaller value, 1 for an equal one."""
+    others = over_history("not_above", lambda d, a: "(" + " + ".join(["0", *(f"coalesce(1 - sign(lag({a}, {k}) OVER ({TS}) - {a}), 0)" for k in range(1, w))]) + ")", x, params=(w,))
+    return each("compared_rank", lambda d, a, o, k: f"(CASE WHEN {k} >= {least} AND {a} IS NOT NULL THEN ({o} / 2.0e0 + 1) / {k} END)", x, others, _counted(x, w), params=(least,))
+
+
+def rolling_rank(x: Node, w: int | None, least: int, digits: int = DIGITS) -> Node:
+    """Average rank of the current value in its window, as a share of the window's values.
+
+    A short window compares the current value with each of the ones before. In a longer one, or over all rows so far,
+    the values of a history are numbered by size. Below a value are those whose number has the same higher digits and a
+    smaller digit somewhere: running counts among the rows of equal higher digits, less those before the window began.
+    A history of more different values than the digits can number is an error, never a wrong rank.
+    """
+    if w is not None and w <= COMPARED:
+        return said_plainly(_compared_rank(x, w, least), _plain_rank(x, w, least))
+    base = 1 << DIGIT_BITS
+    number_ = over_history("size_number", lambda d, a: f"(CASE WHEN {a} IS NOT NULL THEN dense_rank() OVER (PARTITION BY period, name_ix ORDER BY {a} NULLS LAST) - 1 END)", x)
+
+    place = [] if w is None else [position]
+
+    def in_window(call: str, among: str, p: str) -> str:
+        by = f"PARTITION BY period, name_ix, {among} ORDER BY"
+        if w is None:
+            return f"{call} OVER ({by} bar {_RUN})"
+        upto = f"{by} {p} RANGE BETWEEN UNBOUNDED PRECEDING AND"
+        return f"{call} OVER ({upto} CURRENT ROW) - coalesce({call} OVER ({upto} {w} PRECEDING), 0)"
+
+    def level(k: int) -> Node:
+        digit, higher = f"shiftright({{0}}, {k * DIGIT_BITS}) % {base}", f"shiftright({{0}}, {(k + 1) * DIGIT_BITS})"
+
+        def make(d, v, p="bar"):
+            own, among = digit.format(v), higher.format(v)
+            cases = " ".join(f"WHEN {q} THEN {in_window(f'count(CASE WHEN {own} < {q} THEN 1 END)', among, p)}" for q in range(1, base))
+            return f"(CASE {own} {cases} ELSE 0 END)"
+
+        return over_history("below", make, number_, *place, params=(w, k))
+
+    below = level(0)
+    for k in range(1, digits):
+        below = below + level(k)
+    equal = over_history("equal", lambda d, v, p="bar": in_window("count(*)", v, p), number_, *place, params=(w,))
+    n = _counted(x, w) if w is not None else over_history("count_all", lambda d, a: f"count({a}) OVER ({_frame(None)})", x)
+
+    def make(d, v, b, e, k):
+        known = f"(CASE WHEN {v} < {base**digits} THEN {b} ELSE raise_error('more values than {digits} digits can number') END)"
+        return f"(CASE WHEN {k} >= {least} AND {v} IS NOT NULL THEN ({known} + ({e} + 1) / 2.0e0) / {k} END)"
+
+    return said_plainly(each("digit_rank", make, number_, below, equal, n, params=(least, digits)), _plain_rank(x, w, least))
+
+
+def history_rank(x: Node, least: int) -> Node:
+    """Rank among all values so far; histories of COMPARED rows at most are looked at as lists."""
+    made = each("same", lambda d, a: a, rolling_rank(x, None, least))
+    return for_short(said_plainly(made, _plain_rank(x, None, least)), lambda rows: _plain_rank(x, None, least) if rows <= COMPARED else None)
+
+
 def ts_rank(x: Node, w: int, least: int | None = None) -> Node:
     """Rolling rank on [-1, 1], null as 0."""
     return fill(2.0 * rolling_rank(x, w, max(5, w // 3) if least is None else least) - 1.0)
@@ -193,9 +330,29 @@ def innovation(x: Node, w: int = 120, least: int = 20, limit: float = 4.0, k: in
 
 
 def rolling_beta(x: Node, m: Node, w: int, least: int = 20) -> Node:
-    """Slope of x on m by window moments, each with its own gate."""
-    mx, mm = rolling_mean(x, w, least), rolling_mean(m, w, least)
-    return (rolling_mean(x * m, w, least) - mx * mm) / (rolling_mean(m * m, w, least) - mm * mm + 1e-12)
+    """Slope of x on m by window moments, each with its own gate, centred so that an offset costs no digits: in a sliding
+    frame by its own means; in a longer window x and m are shifted by their first values, and where their rows differ,
+    what the shift would change is added back."""
+    mx, mm = (_gated("roll_mean", "avg({})", w, least, v) for v in (x, m))
+    plain = (_gated("roll_mean", "avg({})", w, least, x * m) - mx * mm) / (_gated("roll_mean", "avg({})", w, least, m * m) - mm * mm + 1e-12)
+    if w <= FRAME:
+        f = _frame(w)
+
+        def make(d, a, b):
+            same = " AND ".join(f"count({v}) OVER ({f}) = count({a} * {b}) OVER ({f})" for v in (a, b))
+            mean = lambda v: f"(CASE WHEN count({v}) OVER ({f}) >= {least} THEN avg({v}) OVER ({f}) END)"
+            raw = f"({mean(f'{a} * {b}')} - {mean(a)} * {mean(b)}) / ({mean(f'{b} * {b}')} - {mean(b)} * {mean(b)} + 1.0e-12)"
+            centred = f"covar_pop({a}, {b}) OVER ({f}) / (var_pop({b}) OVER ({f}) + 1.0e-12)"
+            return f"(CASE WHEN {same} THEN CASE WHEN count({b}) OVER ({f}) >= {least} THEN {centred} END ELSE {raw} END)"
+
+        return said_plainly(over_history("frame_slope", make, x, m, params=(w, least)), plain)
+    x0, m0 = (over_history("history_first", lambda d, a: f"first({a}, true) OVER ({_frame(None)})", v) for v in (x, m))
+    y, z = x - x0, m - m0
+    mean = lambda v: rolling_mean(v, w, least)
+    both = lambda a, b: each("where_both", lambda d, u, v: f"(CASE WHEN {v} IS NOT NULL THEN {u} END)", a, b)
+    ey, ez = mean(y), mean(z)
+    cross_moment = mean(y * z) - ey * ez + x0 * (mean(both(z, y)) - ez) + m0 * (mean(both(y, z)) - ey)
+    return said_plainly(cross_moment / (mean(z * z) - ez * ez + 1e-12), plain)
 
 
 def expanding_corr(x: Node, y: Node, least: int = 30) -> Node:
@@ -250,11 +407,25 @@ def vol_of_vol(x: Node, inner: int = 20, outer: int = 60, least: int = 20) -> No
 
 
 def skew(x: Node, w: int = 60, least: int = 20, eps: float = 1e-12) -> Node:
-    """Third standardised moment from raw moments."""
-    m1, m2, m3 = (rolling_mean(v, w, least) for v in (x, x * x, x * x * x))
-    var = m2 - m1 * m1
-    third = m3 - 3.0 * m1 * m2 + 2.0 * m1 * m1 * m1
-    return each("skew", lambda d, t, v: f"({t} / (power(greatest({v}, 0), 1.5e0) + {number(eps)}))", third, var, params=(eps,))
+    """Third standardised moment."""
+
+    def ratio(third: Node, var: Node) -> Node:
+        return each("skew", lambda d, t, v: f"({t} / (power(greatest({v}, 0), 1.5e0) + {number(eps)}))", third, var, params=(eps,))
+
+    m1, m2, m3 = (_gated("roll_mean", "avg({})", w, least, v) for v in (x, x * x, x * x * x))
+    plain = ratio(m3 - 3.0 * m1 * m2 + 2.0 * m1 * m1 * m1, m2 - m1 * m1)
+    if w <= FRAME:
+        f = _frame(w)
+
+        def make(d, a):
+            spread = f"power(var_pop({a}) OVER ({f}), 1.5e0)"
+            shape = f"coalesce(nanvl(skewness({a}) OVER ({f}), 0.0e0), 0.0e0)"
+            return f"(CASE WHEN count({a}) OVER ({f}) >= {least} THEN {shape} * {spread} / ({spread} + {number(eps)}) END)"
+
+        return said_plainly(over_history("frame_skew", make, x, params=(w, least, eps)), plain)
+    n, squares, cubes = _moments(x, w, third=True)
+    share = lambda v: each("share", lambda d, a, k: f"(CASE WHEN {k} >= {least} THEN {a} / {k} END)", v, n, params=(least,))
+    return said_plainly(ratio(share(cubes), share(squares)), plain)
 
 
 def tail_ratio(x: Node, w: int = 60, least: int = 20, eps: float = 1e-12) -> Node:

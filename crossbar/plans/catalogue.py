@@ -242,8 +242,26 @@ def _master(adaptive: str) -> Callable[[Arrays, Settings], np.ndarray]:
     return run
 
 
+def _basis_signals() -> dict[str, Node]:
+    """Ranked signals of odd moments of the return (lags, features, scaled, powers), each off the ranked return itself."""
+    from ..functions.scalar import fill
+    from ..operators import cross as x
+    from ..operators import series as t
+    from .components import f1, f3, f4, f5, f6
+
+    ret = fill(f1)
+    spread, market_move = fill(t.rolling_std(ret, 60, 10)), x.demean(ret)
+    made = {f"lag{k}": t.lag(ret, k) for k in range(1, 5)} | dict(f3=f3, f4=f4, f5=f5, f6=f6)
+    made |= {"loud": ret * spread, "quiet": ret / (spread + 1e-6), "lone": ret * market_move * market_move, "turn": ret * ret * fill(t.lag(ret))}
+    ranked = {n: x.demean(x.rank_average(fill(v))) for n, v in made.items()}
+    return {f"basis_{n}": x.project_off(v, x.demean(x.rank_average(ret))) for n, v in ranked.items()}
+
+
+BASIS = tuple(f"basis_{n}" for n in ("lag1", "lag2", "lag3", "lag4", "f3", "f4", "f5", "f6", "loud", "quiet", "lone", "turn"))
+
+
 def _mean_variance(f: Arrays, s: Settings) -> np.ndarray:
-    basis = m.orthogonal_basis(f)
+    basis = [f[b] for b in BASIS]
     n = min(s.train, len(f["f1"]))
     profits = m.leg_profits([b[:n] for b in basis], f["f1"][:n])[min(60, n // 3) :]
     return sum(w * b for w, b in zip(m.mean_variance_weights(profits), basis))
@@ -387,7 +405,7 @@ CATALOGUE: dict[str, Predictor] = {
     "ind2": Predictor(_path_leg, learned=("path",)),
     "ind4": Predictor(_plane),
     "levy": Predictor(lambda f, s: m.centre(m.rank_one(m.levy_area(f["f1"], s.looks)))),
-    "odd2c": Predictor(_mean_variance),
+    "odd2c": Predictor(_mean_variance, signals=("basis",)),
     "penta": Predictor(
         _sum((_graph, GRAPH_RISK), (_apex, APEX_RISK), (_column("ind1"), FIVE["ind1"]), (_path_leg, FIVE["path"]), (_column("ind3"), FIVE["horizon"]), (_plane, FIVE["plane"]), (_column("ind5"), FIVE["ind5"])),
         signals=("core", "ind1", "ind3", "ind5"),
@@ -452,6 +470,8 @@ def _learn(panel: DataFrame, parts: tuple[str, ...], s: Settings) -> DataFrame:
 def _nodes(part: str, s: Settings) -> dict[str, Node]:
     if part == "master":
         return _master_signals()
+    if part == "basis":
+        return _basis_signals()
     if part in ("core", "early"):
         return {f"{part}_{c}": v for c, v in core.signals(*(s.core if part == "core" else s.inner.core)).items()}
     return {part: PREDICTORS[part]}

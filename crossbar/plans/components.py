@@ -25,7 +25,7 @@ volume = magnitude(f5)
 log_volume = log1p(volume)
 share = t.squashed(f5)
 line = flow(f1, f5)
-state_rank = fill(t.rolling_rank(f6, None, 10), 0.5)
+state_rank = fill(t.history_rank(f6, 10), 0.5)
 volume_level = volume / (t.rolling_mean(volume, 250) + 1e-9)
 log_level = log_volume / (t.rolling_mean(log_volume, 250, 5) + 1e-9)
 dispersion_z = tanh(t.zscore_rolling(dispersion))

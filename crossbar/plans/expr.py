@@ -30,12 +30,16 @@ class Node:
     """One value per row. Arithmetic gives nodes; division by zero gives null."""
 
     _known: dict[tuple, Node] = {}
+    #: The same value as a plain window, for other engines; None if it is said plainly already.
+    plain: Node | None = None
+    #: The same value in a panel whose histories have so many rows at most; None if there is nothing simpler.
+    short: Callable[[int], Node | None] | None = None
 
     def __new__(cls, kind: str, name: str, args: tuple = (), make: Callable | None = None, params: tuple = ()):
         key = (kind, name, params, tuple(a.number for a in args))
         if key not in cls._known:
             self = super().__new__(cls)
-            self.kind, self.name, self.args, self.make, self.number = kind, name, args, make, len(cls._known)
+            self.kind, self.name, self.args, self.make, self.params, self.number = kind, name, args, make, params, len(cls._known)
             cls._known[key] = self
         return cls._known[key]
 
@@ -98,6 +102,30 @@ def over_history(name: str, make: Callable, *args, params: tuple = ()) -> Node:
     return Node("ts", name, tuple(_node(a) for a in args), make, params)
 
 
+def said_plainly(node: Node, plain: Node) -> Node:
+    """``node`` for Spark, whose value is that of ``plain`` by other means."""
+    node.plain = plain
+    return node
+
+
+def for_short(node: Node, short: Callable[[int], Node | None]) -> Node:
+    """``node``, for which ``short`` may give something simpler where histories are short."""
+    node.short = short
+    return node
+
+
+def _changed(node: Node, done: dict[int, Node], other: Callable[[Node], Node | None]) -> Node:
+    """The graph with nodes replaced by others of equal value."""
+    if node.number not in done:
+        new = other(node)
+        if new is None:
+            new = Node(node.kind, node.name, tuple(_changed(a, done, other) for a in node.args), node.make, node.params)
+        elif new is not node:
+            new = _changed(new, done, other)
+        done[node.number] = new
+    return done[node.number]
+
+
 _PLAIN = {"+", "-", "*", "neg", "div"}
 
 
@@ -169,16 +197,22 @@ def layout(outputs: dict[str, Node], extra: tuple[str, ...] = ()) -> list[Stage]
 
 
 def evaluate(panel: DataFrame, outputs: dict[str, Node], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Keys, ``extra`` columns and outputs of every row of the panel."""
+    """Keys, ``extra`` columns and outputs of every row of the panel. Where an operator has a simpler way for short
+    histories, their rows are counted first."""
     df = panel
+    if any(n.short for n in _reach(outputs.values())):
+        longest = panel.groupBy("period", "name_ix").count().agg({"count": "max"}).first()[0] or 0
+        done: dict[int, Node] = {}
+        outputs = {n: _changed(v, done, lambda v: v.short and v.short(longest)) for n, v in outputs.items()}
     for stage in layout(outputs, extra):
         df = df.selectExpr(*stage.keep, *[f"{make(SPARK)} AS {name}" for name, _, make in stage.new if not (name in stage.keep and make(SPARK) == name)])
     return df
 
 
 def to_sql(source: str, outputs: dict[str, Node], extra: tuple[str, ...] = (), dialect: str = DUCKDB) -> tuple[list[str], str]:
-    """The stages as CTEs, and the name of the last."""
-    ctes, last = [], source
+    """The stages as CTEs, and the name of the last. What Spark computes in blocks is said as plain windows."""
+    ctes, last, done = [], source, {}
+    outputs = {n: _changed(v, done, lambda v: v.plain) for n, v in outputs.items()}
     for k, stage in enumerate(layout(outputs, extra)):
         cols = [*stage.keep, *[f"{make(dialect)} AS {name}" for name, _, make in stage.new if not (name in stage.keep and make(dialect) == name)]]
         ctes.append(f"e{k} AS (SELECT {', '.join(cols)} FROM {last})")

@@ -7,6 +7,7 @@ import pytest
 from crossbar.operators import matrix as m
 from crossbar.plans import catalogue as cat
 from crossbar.plans import core
+from crossbar.plans.expr import evaluate
 from crossbar.sources.panel import from_wide
 
 BARS, NAMES = 110, 9
@@ -256,3 +257,23 @@ def test_lead_lag_predictor(given):
         back = -rank(0.9 * g[1][t - 1] + 0.35 * g[1][t - 2] - 1.4 * ewm[t])
         slow[t] = rank(g[3][t] - g[1][t]) + 0.75 * fade + 0.6 * back
     close(scored("ticket1"), slow + 2 * lead)
+
+
+def test_odd_moments_off_the_return(spark, given):
+    panel, f, scored = given
+    got = evaluate(panel, cat._basis_signals()).toPandas()
+    r = f["f1"]
+    spread = pd.DataFrame(r).rolling(60, min_periods=10).std().fillna(0.0).to_numpy()
+    before = lambda k: rows(lambda t: r[t - k] if t >= k else np.zeros(NAMES), BARS)
+    lone = rows(lambda t: r[t] * (r[t] - r[t].mean()) ** 2, BARS)
+    raw = [before(k) for k in (1, 2, 3, 4)] + [f[c] for c in ("f3", "f4", "f5", "f6")] + [r * spread, r / (spread + 1e-6), lone, r**2 * before(1)]
+    assert list(cat._basis_signals()) == list(cat.BASIS) and len(raw) == len(cat.BASIS)
+    basis = []
+    for name, v in zip(cat.BASIS, raw):
+        want = rows(lambda t: off(average_rank(v[t]), average_rank(r[t])), BARS)
+        np.testing.assert_allclose(got.pivot(index="bar", columns="name_ix", values=name).to_numpy(), want, atol=1e-9)
+        basis.append(want)
+    profits = np.array([[b[t - 1] @ (r[t] - r[t].mean()) for b in basis] for t in range(1, SHORT.train)])[min(60, SHORT.train // 3) :]
+    cov = np.cov(profits.T)
+    w = np.linalg.solve(cov + np.diag(np.diag(cov)), profits.mean(0))
+    close(scored("odd2c"), sum(u * b for u, b in zip(w / np.linalg.norm(w), basis)))
