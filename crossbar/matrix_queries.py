@@ -14,7 +14,7 @@ from .plans import catalogue as cat
 from .plans import evaluate as ev
 from .plans.catalogue import SHORT
 from .plans.expr import evaluate, to_sql
-from .plans.predictors import residual_reversal
+from .plans.predictors import PREDICTORS, residual_reversal
 from .session import shared_folder
 from .sources.panel import PANEL_SQL, PERIOD_BARS, events_panel, lineitem_panel
 from .streaming import maps
@@ -68,14 +68,22 @@ def g27_mean_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
+TRAIN, STEP = 60, 30
+
+
 def m12_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio of a predictor in each walk-forward fold."""
-    out = None
-    for i, fold in enumerate(ev.walk_forward(lineitem_panel(spark, sf_dir), 60, 30)):
-        scored = cat.score(fold.drop("is_train"), "ticket7", S).join(fold.select("period", "bar", "name_ix", "f1"), ["period", "bar", "name_ix"])
-        one = ev.sharpe(ev.profits(scored)).withColumn("fold", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+    folds = ev.walk_forward(lineitem_panel(spark, sf_dir), TRAIN, STEP).drop("is_train")
+    scored = cat.score(folds, "ticket7", S).join(folds.select("period", "bar", "name_ix", "f1"), ["period", "bar", "name_ix"])
+    return ev.fold_of(ev.sharpe(ev.profits(scored)))
+
+
+def m12_signal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratio of a predictor of plain signals, computed anew in each fold."""
+    folds = ev.walk_forward(lineitem_panel(spark, sf_dir), TRAIN, STEP)
+    scored = evaluate(folds, {"score": PREDICTORS["ind3"]}, ("f1", "is_train")).where("not is_train")
+    found = ev.fold_of(ev.sharpe(ev.profits(scored)))
+    return found.select("period", "fold", "bars", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("mean", "deviation", "sharpe")])
 
 
 def e_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +111,7 @@ STREAMS: dict[str, Callable[[], object]] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _kernel(n) for n in KERNELS} | {
-    f.__name__: f for f in (m01_ensemble, g27_mean_variance, m12_walk_forward, e_bootstrap)
+    f.__name__: f for f in (m01_ensemble, g27_mean_variance, m12_walk_forward, m12_signal_folds, e_bootstrap)
 }
 QUERIES |= {n: _stream(make) for n, make in STREAMS.items()}
 
@@ -175,7 +183,23 @@ n AS (SELECT round, sharpe, CAST(u > 0.367879 AS INTEGER) + CAST(u > 0.735759 AS
 SELECT round, round(sum(sharpe * n) / nullif(sum(n), 0), 6) + 0.0e0 AS sharpe FROM n GROUP BY ALL"""
 
 
+def _folds_sql() -> str:
+    ctes, last = to_sql("folds", {"score": PREDICTORS["ind3"]}, ("f1", "training"))
+    return f"""WITH {PANEL_SQL.replace("panel AS (", "whole AS (")},
+z AS (SELECT *, bar - min(bar) OVER w AS k, max(bar) OVER w - min(bar) OVER w AS most FROM whole WINDOW w AS (PARTITION BY period)),
+folds AS (SELECT period * {ev.FOLDS} + fold AS period, bar, name_ix, f1, f2, f3, f4, f5, f6, target, k < {TRAIN} + {STEP} * fold AS training
+          FROM z, range(0, 100) t(fold) WHERE k >= {STEP} * fold AND k < {TRAIN} + {STEP} * (fold + 1) AND {TRAIN} + {STEP} * fold <= most),
+{", ".join(ctes)},
+s AS (SELECT * FROM {last} WHERE NOT training),
+h AS (SELECT *, coalesce(lag(score) OVER (PARTITION BY period, name_ix ORDER BY bar), 0) AS held FROM s),
+p AS (SELECT period, bar, sum(held * coalesce(f1, 0)) AS profit FROM h GROUP BY ALL),
+g AS (SELECT period, count(*) AS bars, avg(profit) AS mean, stddev_pop(profit) AS deviation FROM p GROUP BY period)
+SELECT CAST(period // {ev.FOLDS} AS INTEGER) AS period, CAST(period % {ev.FOLDS} AS INTEGER) AS fold, bars, round(mean, 5) + 0.0e0 AS mean, round(deviation, 5) + 0.0e0 AS deviation,
+       round(mean / nullif(deviation, 0), 5) + 0.0e0 AS sharpe FROM g"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "m12_signal_folds": _folds_sql(),
     "x22_cs_resid_minimum_norm": _residual_sql(),
     "g07_levy_area": _levy_sql(),
     "g11_granger": _granger_sql(),

@@ -69,16 +69,27 @@ def equal_risk(legs: dict[str, DataFrame], panel: DataFrame, first: int, last: i
     return out.select("period", "bar", "name_ix", (total - F.avg(total).over(bar_rows())).alias("score"))
 
 
-def walk_forward(panel: DataFrame, train: int, step: int) -> list[DataFrame]:
-    """Blocks of ``step`` scored bars, each with the ``train`` bars before it; ``is_train`` marks the latter."""
-    start = F.min("bar").over(Window.partitionBy("period"))
-    rows = panel.withColumn("at", F.col("bar") - start)
-    most = rows.agg(F.max("at")).first()[0] or 0
-    folds = []
-    for a in range(train, int(most) + 1, step):
-        fold = rows.where((F.col("at") >= a - train) & (F.col("at") < a + step))
-        folds.append(fold.withColumn("is_train", F.col("at") < a).drop("at"))
-    return folds
+#: Folds of a period at most.
+FOLDS = 1 << 12
+
+
+def walk_forward(panel: DataFrame, train: int, step: int) -> DataFrame:
+    """All walk-forward folds as one panel: ``step`` scored bars with the ``train`` bars before them, marked by
+    ``is_train``. The fold is part of the period (see ``fold_of``), so any operator works fold by fold, and the panel
+    behind is scanned once. A row stands in as many folds as hold its bar; a fold without scored bars isn't made."""
+    whole = Window.partitionBy("period")
+    placed = panel.withColumn("at", F.col("bar") - F.min("bar").over(whole))
+    placed = placed.withColumn("most", F.max("at").over(whole))
+    first = F.greatest(F.floor((F.col("at") - train) / step), F.lit(0))
+    last = F.least(F.floor(F.col("at") / step), F.floor((F.col("most") - train) / step), F.lit(FOLDS - 1))
+    folds = placed.where(last >= first).withColumn("fold", F.explode(F.sequence(first, last)))
+    marked = folds.withColumns({"is_train": F.col("at") < train + step * F.col("fold"), "period": (F.col("period") * FOLDS + F.col("fold")).cast("int")})
+    return marked.select(*[c for c in panel.columns if c != "is_train"], "is_train")
+
+
+def fold_of(results: DataFrame) -> DataFrame:
+    """Results by period of a walk-forward panel, with ``period`` and ``fold`` apart."""
+    return results.withColumns({"fold": F.pmod("period", F.lit(FOLDS)).cast("int"), "period": F.floor(F.col("period") / FOLDS).cast("int")})
 
 
 def bootstrap(p: DataFrame, rounds: int = 200) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matrix_queries, pair_queries, source_queries
+from . import matrix_queries, pair_queries, source_queries, wide_queries
 from .functions import scalar as s
 from .operators import cross as x
 from .operators import series as t
@@ -166,5 +166,5 @@ def _catalogued(name: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name in catalogue.CATALOGUE:
     QUERIES[f"p_{_name}"] = _catalogued(_name)
 
-QUERIES |= pair_queries.QUERIES | source_queries.QUERIES | matrix_queries.QUERIES
-ORACLE_SQL |= pair_queries.ORACLE_SQL | source_queries.ORACLE_SQL | matrix_queries.ORACLE_SQL
+QUERIES |= pair_queries.QUERIES | source_queries.QUERIES | matrix_queries.QUERIES | wide_queries.QUERIES
+ORACLE_SQL |= pair_queries.ORACLE_SQL | source_queries.ORACLE_SQL | matrix_queries.ORACLE_SQL | wide_queries.ORACLE_SQL
