@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import pairs as p
-from .sources.panel import NAMES, PANEL_SQL, field_rows, lineitem_panel, name_index, native_order, result_frame, split_features, zero_fill
+from .session import shared_folder
+from .sources.panel import NAMES, PANEL_SQL, field_rows, lineitem_panel, name_index, native_order, read_wide, result_frame, split_features, wide_table, zero_fill
 
 TRAIN, TAIL = 60, 20
 
@@ -34,6 +36,16 @@ def s01_feature_slice(spark, sf_dir):
 _s01 = f"WITH {PANEL_SQL} SELECT period, bar, name, name_ix, " + ", ".join(f"round(coalesce(f{k}, 0), 8) + 0.0e0 AS f{k}" for k in range(1, 7)) + " FROM panel"
 
 
+def s03_wide_source(spark, sf_dir):
+    """The panel written as a wide table and read back: features of all names stacked."""
+    wide = wide_table(lineitem_panel(spark, sf_dir), [f"X.{n}" for n in range(NAMES)])
+    path = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    wide.write.parquet(path)
+    panel = read_wide(spark.read.parquet(path), period="period")
+    present = lineitem_panel(spark, sf_dir).select("name").distinct()
+    return panel.join(F.broadcast(present), "name", "left_semi").select("period", "bar", "name", "name_ix", *[_r(zero_fill(F.col(f"f{k}")), 8).alias(f"f{k}") for k in range(1, 7)])
+
+
 def s02_names(spark, sf_dir):
     """Names in the order of their integer suffix."""
     names = lineitem_panel(spark, sf_dir).where("f1 is not null").select("name").distinct()
@@ -243,12 +255,13 @@ SELECT period, bar, name_ix, place, round(f1, 6) + 0.0e0 AS f1 FROM r WHERE plac
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        s01_feature_slice, s02_names, s02d_native_order, s05_split_features, s06_clean, s10_field_rows, s12_result_frame, s07_warm_up_union, s08_tail, s09_align_state, s11_same_names, a_bar_aggregates, a_covariance, a_gram,
+        s01_feature_slice, s03_wide_source, s02_names, s02d_native_order, s05_split_features, s06_clean, s10_field_rows, s12_result_frame, s07_warm_up_union, s08_tail, s09_align_state, s11_same_names, a_bar_aggregates, a_covariance, a_gram,
         a_weighted_cross, j_static_coefficients, j_refresh_block, k_top_names,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "s01_feature_slice": _s01,
+    "s03_wide_source": _s01,
     "s02_names": _s02,
     "s02d_native_order": _s02d,
     "s05_split_features": _s05,

@@ -1,11 +1,14 @@
 """The panel: one row per (period, bar, name) with features f1..f6 and a forward label.
 
-``from_wide`` and ``to_wide`` convert the pandas shape (rows bars, columns (feature, name)); ``lineitem_panel``
+``read_wide`` and ``wide_table`` convert wide tables of any size (rows bars, columns (feature, name)) on the executors,
+``from_wide`` and ``to_wide`` pandas frames; ``lineitem_panel``
 and ``events_panel`` build dense panels from tables, ``PANEL_SQL`` says the first one in SQL for checks.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,6 +97,38 @@ def from_wide(spark: SparkSession, features: pd.DataFrame, target: pd.DataFrame
     )
 
 
+#: Columns of a wide table: ``Feature.k|name`` or ``Target|name``, or the pairs as pandas writes them to Parquet.
+_WIDE = re.compile(r"\(?'?(?:Feature\.(\d+)|Target)'?\s*[|,]\s*'?([^']+?)'?\)?")
+
+
+def read_wide(table: DataFrame, bar: str = "bar", period: str | None = None, features: tuple[str, ...] = FEATURES, order: str = "suffix") -> DataFrame:
+    """Long panel from a wide table of any size, such as one of Parquet or CSV files: a row a bar, a column a feature and
+    name. Rows are turned on the executors, each by itself, and only columns of ``features`` are read. NaN becomes null;
+    a feature that the table hasn't got is null. ``order`` is as in ``from_wide``."""
+    found: dict[str, dict[str, str]] = {}
+    for column in table.columns:
+        m = _WIDE.fullmatch(column)
+        if m:
+            found.setdefault(m[2], {})[f"f{m[1]}" if m[1] else "target"] = column
+    if not found:
+        raise ValueError("no column is named like Feature.1|X.3")
+    lacks = F.lit(None).cast("double")
+    value = lambda columns, f: clean(F.col(f"`{columns[f]}`").cast("double")) if f in columns else lacks
+    cells = [
+        F.struct(F.lit(n).alias("name"), (name_index(F.lit(n)) if order == "suffix" else F.lit(k)).alias("name_ix"), *[value(c, f).alias(f) for f in (*features, "target")])
+        for k, (n, c) in enumerate(found.items())
+    ]
+    when = (F.col(period).cast("int") if period else F.lit(0)).alias("period")
+    long = table.select(when, F.col(bar).cast("bigint").alias("bar"), F.inline(F.array(*cells)))
+    return long.select("period", "bar", "name", "name_ix", F.lit(any("target" in c for c in found.values())).alias("is_train"), *features, "target")
+
+
+def wide_table(panel: DataFrame, names: list[str], features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The wide table of a panel: period, bar, and a column ``Feature.k|name`` for each of the given names."""
+    one = lambda f, n: F.max(F.when(F.col("name") == n, F.col(f))).alias(f"Feature.{f[1:]}|{n}")
+    return panel.groupBy("period", "bar").agg(*[one(f, n) for f in features for n in names])
+
+
 def to_wide(scores: DataFrame, value: str = "score") -> pd.DataFrame:
     """One column a name in suffix order, one row a bar (collects: for results of one block)."""
     got = scores.select("bar", "name_ix", value).toPandas()

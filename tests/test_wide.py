@@ -3,12 +3,14 @@
 import bisect
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from crossbar.operators.wide import as_of, running, wide_ranks
 from crossbar.plans.evaluate import fold_of, walk_forward
-from crossbar.sources.panel import lineitem_panel
+from crossbar.sources.panel import from_wide, lineitem_panel, read_wide, wide_table
 
 
 @pytest.mark.parametrize("large", [0, 4096])
@@ -89,3 +91,30 @@ def test_folds(spark, data):
     # folds read what the panel reads, once
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation")
     assert scans(walk_forward(panel, train, step)) == scans(panel)
+
+
+def test_wide_tables(spark, tmp_path):
+    """A wide table as pandas writes it, in several files, against the frame turned on the driver."""
+    rng = np.random.default_rng(4)
+    columns = pd.MultiIndex.from_product([[f"Feature.{k}" for k in range(1, 7)], ["X.10", "X.2", "Y.1"]])
+    wide = pd.DataFrame(rng.normal(size=(40, len(columns))), columns=columns)
+    wide.iloc[3, 4], wide.iloc[5, 1], wide.iloc[7, 2] = np.nan, np.inf, -np.inf
+    target = pd.DataFrame(rng.normal(size=(40, 3)), columns=["X.10", "X.2", "Y.1"])
+    flat = wide.set_axis([str(c) for c in columns], axis=1).assign(**{f"Target|{n}": target[n] for n in target}, bar=np.arange(40), note="x")
+    flat.iloc[:25].to_parquet(tmp_path / "a.parquet")
+    flat.iloc[25:].to_parquet(tmp_path / "b.parquet")
+    table = spark.read.parquet(str(tmp_path))
+    for order in ("suffix", "native"):
+        want = from_wide(spark, wide, target, order=order)
+        got = read_wide(table, order=order)
+        assert got.columns == want.columns
+        key = lambda r: (r.bar, r.name)
+        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    few = read_wide(table, features=("f3",))
+    assert few.columns == ["period", "bar", "name", "name_ix", "is_train", "f3", "target"]
+    schema = few.select("f3")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "Feature.3" in schema and "Feature.1" not in schema
+    again = read_wide(wide_table(want, ["X.10", "X.2", "Y.1"]), period="period")
+    assert sorted(again.select("bar", "name", "f1", "f6").collect()) == sorted(want.select("bar", "name", "f1", "f6").collect())
+    with pytest.raises(ValueError, match="no column"):
+        read_wide(spark.range(3))
