@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import views
 from .operators.wide import as_of, running, wide_ranks
-from .session import prepare
+from .session import prepare, shared_folder
 
 #: Microseconds of a range of time: an hour.
 HOUR = 3_600_000_000
@@ -59,5 +61,23 @@ j AS (SELECT e.event_id, e.user_id, b.purchase_id, b.paid, e.us - b.us AS age FR
 SELECT event_id, user_id, CASE WHEN age <= {REACH} THEN purchase_id END AS purchase_id, CASE WHEN age <= {REACH} THEN paid END AS paid, CASE WHEN age <= {REACH} THEN age END AS age FROM j"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x04_wide_bar_ranks, t15_long_running_sums, j_as_of_purchase)}
-ORACLE_SQL: dict[str, str] = {"x04_wide_bar_ranks": _x04, "t15_long_running_sums": _t15, "j_as_of_purchase": _j_as_of}
+def g28_extended_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of price and quantity by status, kept by year and extended a year at a time."""
+    rows = prepare(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.year("l_shipdate").alias("year"), F.concat("l_returnflag", "l_linestatus").alias("status"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / 1000 + 1e5).alias("price")
+    )
+    by, values, path = ["status"], ["quantity", "price"], f"{shared_folder(spark)}/moments-{uuid.uuid4().hex}"
+    for year in sorted(r[0] for r in rows.select("year").distinct().collect()):  # a block a year
+        views.extend(rows.where(F.col("year") == year), path, year, by, values)
+    merged = views.merge(views.blocks(spark, path), by, values)
+    found = {"mean": F.col("mean_price"), "variance": views.covariance("price", "price"), "covariance": views.covariance("quantity", "price"), "slope": views.slope("price", "quantity")}
+    return merged.select("status", "n", *[(F.round(v, 6) + F.lit(0.0)).alias(c) for c, v in found.items()])
+
+
+_g28 = """SELECT l_returnflag || l_linestatus AS status, count(*) AS n, round(avg(l_extendedprice / 1000 + 1e5), 6) + 0.0e0 AS mean,
+round(var_samp(l_extendedprice / 1000), 6) + 0.0e0 AS variance, round(covar_samp(l_quantity, l_extendedprice / 1000), 6) + 0.0e0 AS covariance,
+round(regr_slope(l_extendedprice / 1000, l_quantity), 6) + 0.0e0 AS slope FROM lineitem GROUP BY 1"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x04_wide_bar_ranks, t15_long_running_sums, j_as_of_purchase, g28_extended_statistics)}
+ORACLE_SQL: dict[str, str] = {"x04_wide_bar_ranks": _x04, "t15_long_running_sums": _t15, "j_as_of_purchase": _j_as_of, "g28_extended_statistics": _g28}

@@ -2,12 +2,14 @@
 
 import bisect
 import random
+import shutil
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from crossbar.operators import views
 from crossbar.operators.wide import as_of, running, wide_ranks
 from crossbar.plans.evaluate import fold_of, walk_forward
 from crossbar.sources.panel import from_wide, lineitem_panel, read_wide, wide_table
@@ -118,3 +120,27 @@ def test_wide_tables(spark, tmp_path):
     assert sorted(again.select("bar", "name", "f1", "f6").collect()) == sorted(want.select("bar", "name", "f1", "f6").collect())
     with pytest.raises(ValueError, match="no column"):
         read_wide(spark.range(3))
+
+
+def test_views_are_extended_by_new_blocks_only(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=900) + 1e8
+    rows = pd.DataFrame({"k": np.where(rng.random(900) < 0.7, "a", "b"), "x": x, "y": 3 * (x - 1e8) + rng.normal(size=900), "block": np.arange(900) // 100, "n": 1})
+    rows.loc[5:40, "y"] = np.nan
+    folder, path = str(tmp_path / "rows"), str(tmp_path / "view")
+    df = spark.createDataFrame(rows).withColumn("y", F.expr("nanvl(y, null)"))
+    df.write.partitionBy("block").parquet(folder)
+    by, values = ["k"], ["x", "y"]
+    for b in range(9):
+        if b == 8:  # the older rows are gone: only the view knows them
+            for old in range(8):
+                shutil.rmtree(f"{folder}/block={old}")
+        views.extend(spark.read.parquet(f"{folder}/block={b}"), path, b, by, values)
+    views.extend(spark.read.parquet(f"{folder}/block=8"), path, 8, by, values)  # again: counts once
+    merged = views.merge(views.blocks(spark, path), by, values)
+    got = {r.k: r for r in merged.withColumns({"cov": views.covariance("x", "y"), "slope": views.slope("y", "x")}).collect()}
+    for k, g in rows.dropna().groupby("k"):
+        a, b = (g.x - 1e8).to_numpy(), g.y.to_numpy()
+        assert got[k].n == len(g) and np.isclose(got[k].mean_x - 1e8, a.mean(), atol=1e-7)
+        np.testing.assert_allclose([got[k].m_x_x, got[k].m_x_y, got[k].m_y_y], [len(g) * a.var(), ((a - a.mean()) * (b - b.mean())).sum(), len(g) * b.var()], rtol=1e-7)
+        np.testing.assert_allclose([got[k]["cov"], got[k].slope], [np.cov(a, b)[0, 1], np.cov(a, b)[0, 1] / a.var(ddof=1)], rtol=1e-7)
