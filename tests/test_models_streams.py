@@ -129,9 +129,8 @@ def test_evaluation(spark):
     assert np.isclose(r.sharpe, want.mean() / want.std())
     ic = np.mean([np.corrcoef(a, b)[0, 1] for a, b in zip(f2[:-1], f1[1:])])
     assert np.isclose(ev.information(s).first().ic, ic)
-    folds = ev.walk_forward(panel(spark), 30, 10)
-    assert [f.where("is_train").count() // NAMES for f in folds] == [30, 30, 30]
-    assert [f.where("not is_train").count() // NAMES for f in folds] == [10, 10, 10]
+    folds = ev.fold_of(ev.walk_forward(panel(spark), 30, 10)).groupBy("fold", "is_train").count().collect()
+    assert {(r.fold, r.is_train): r["count"] // NAMES for r in folds} == {(f, train): 30 if train else 10 for f in range(3) for train in (True, False)}
 
 
 def batch(make, values):

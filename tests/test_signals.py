@@ -126,8 +126,8 @@ def test_ordinal_and_shapes(panel, block):
     np.testing.assert_array_equal(got["e"], pos - np.maximum.accumulate(np.where(high, pos, -1), axis=0))
 
 
-def test_long_windows_are_differences(panel, block, monkeypatch):
-    monkeypatch.setattr(t, "LONG", 5)
+def test_long_windows_are_two_sides_of_a_block(panel, block, monkeypatch):
+    monkeypatch.setattr(t, "FRAME", 5)
     g1 = by_suffix(block["Feature.1"])
     got = run(panel, m=t.rolling_mean(f1, 21, 4), s=t.rolling_sum(f1, 21, 1))
     np.testing.assert_allclose(got["m"], g1.rolling(21, min_periods=4).mean(), atol=1e-9)
