@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import views
 from .operators.wide import as_of, running, wide_ranks
 from .session import prepare, shared_folder
+from .streaming import histories
 
 #: Microseconds of a range of time: an hour.
 HOUR = 3_600_000_000
@@ -79,5 +80,22 @@ round(var_samp(l_extendedprice / 1000), 6) + 0.0e0 AS variance, round(covar_samp
 round(regr_slope(l_extendedprice / 1000, l_quantity), 6) + 0.0e0 AS slope FROM lineitem GROUP BY 1"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x04_wide_bar_ranks, t15_long_running_sums, j_as_of_purchase, g28_extended_statistics)}
-ORACLE_SQL: dict[str, str] = {"x04_wide_bar_ranks": _x04, "t15_long_running_sums": _t15, "j_as_of_purchase": _j_as_of, "g28_extended_statistics": _g28}
+def st_history_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed in two runs, the second from the first's checkpoint: decaying mean and standing of each user."""
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.col("user_id").cast("bigint").alias("name"), F.col("event_id").cast("bigint").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    found = histories.replay(spark, rows, f"{shared_folder(spark)}/histories-{uuid.uuid4().hex}", 12 * HOUR, 10, 36 * HOUR)
+    return found.select("name", "id", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), "below")
+
+
+_st_history = f"""WITH e AS (SELECT CAST(user_id AS BIGINT) AS name, CAST(event_id AS BIGINT) AS id, epoch_us(ts) AS us, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL),
+g AS (SELECT *, CAST(us - lag(us) OVER (PARTITION BY name ORDER BY us, id) > {36 * HOUR} AS INT) AS gap FROM e),
+s AS (SELECT *, sum(coalesce(gap, 0)) OVER (PARTITION BY name ORDER BY us, id) AS part FROM g),
+p AS (SELECT *, pow(2.0e0, (us - min(us) OVER (PARTITION BY name, part)) / {float(12 * HOUR)!r}) AS k FROM s)
+SELECT name, id, row_number() OVER w AS n, round(sum(k * value) OVER w / sum(CASE WHEN value IS NOT NULL THEN k END) OVER w, 6) + 0.0e0 AS mean,
+CASE WHEN value IS NOT NULL THEN CAST(len(list_filter(list(value) OVER (w ROWS 9 PRECEDING), lambda x: x < value)) AS INT) END AS below
+FROM p WINDOW w AS (PARTITION BY name, part ORDER BY us, id)"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x04_wide_bar_ranks, t15_long_running_sums, j_as_of_purchase, g28_extended_statistics, st_history_scores)}
+ORACLE_SQL: dict[str, str] = {"x04_wide_bar_ranks": _x04, "t15_long_running_sums": _t15, "j_as_of_purchase": _j_as_of, "g28_extended_statistics": _g28, "st_history_scores": _st_history}
