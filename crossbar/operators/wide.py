@@ -1,4 +1,5 @@
-"""Operators over groups too large for one task: ranks of a wide bar, running sums of a long history, joins as of a time.
+"""Operators over groups too large for one task: ranks of a wide bar, exact quantiles, running sums of a long history, joins
+as of a time.
 
 A group is dealt out to ranges of values or of time. Each range is ordered by a task of its own; what the ranges before
 it add up to is a table of a few rows a group. The results are those of one window over the group, whatever the ranges.
@@ -15,6 +16,8 @@ from ..session import shared_folder
 
 #: Ranges that the values of a group are dealt to; a group of fewer rows is one range.
 PARTS, LARGE = 64, 4096
+#: Buckets of a round of ``exact_quantile``, and rounds at most: together more than the digits of any double.
+BUCKETS, ROUNDS = 1024, 8
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +55,78 @@ def ranked(rows: DataFrame, by: list[str], value: str, parts: int = PARTS, large
     return rows.join(table, match, "left").drop("_v", *[f"_{c}" for c in by])
 
 
+def _met(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of a table of one row a group; null is a group too."""
+    named = table.withColumnsRenamed({c: f"_{c}" for c in by})
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(named, match).drop(*[f"_{c}" for c in by])
+
+
+def exact_quantile(rows: DataFrame, by: list[str], value: str, p: float = 0.5, large: int = 1 << 16) -> DataFrame:
+    """``by`` (one column or more) and ``quantile``: the value at the share ``p`` of each group's values in order, between
+    two by interpolation.
+
+    Selection by histograms: a round counts a group's values in BUCKETS ranges, with the least and greatest value of
+    each, and goes on in the one that holds the place sought. Counts are combined before they move, so a round moves some
+    thousand rows a group and task whatever the group's size. What is left of a group, ``large`` rows or less (or copies
+    of few values), is counted value by value. Nulls aren't values, a group without any has a null quantile; NaN is the
+    greatest value; a quantile between two infinite values of unlike sign is NaN.
+    """
+    most = 1.7976931348623157e308
+    v = F.col(value).cast("double")
+    names, by = by, [f"__group{i}" for i in range(len(by))]
+    values = rows.select(*[F.col(c).alias(g) for c, g in zip(names, by)], v.alias("v"), F.greatest(F.least(F.nanvl(v, F.lit(most)), F.lit(most)), F.lit(-most)).alias("x"))
+    place = F.lit(float(p)) * (F.col("n") - 1)
+    first = values.groupBy(*by).agg(F.count("v").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    low = F.greatest(F.floor(place), F.lit(0)).cast("bigint")
+    state = first.select(
+        *by, "lo", "hi", low.alias("k"), F.least(low + 1, F.greatest(F.col("n") - 1, F.lit(0))).alias("k2"), (place - low).alias("share"),
+        F.col("n").alias("left"), F.lit(None).cast("double").alias("quantile"), (F.col("n") == 0).alias("done"),
+    )
+    state = _written(state, "quantile-0")
+    between = F.when(F.col("share") > 0, F.col("a") * (1 - F.col("share")) + F.col("b") * F.col("share")).otherwise(F.col("a"))
+    finished = []
+    for at in range(1, ROUNDS + 1):
+        finished.append(state.where("done"))
+        small, going = state.where(~F.col("done") & (F.col("left") <= large)), state.where(~F.col("done") & (F.col("left") > large))
+        finished.append(_selected(values, small, by, between))
+        if going.isEmpty():
+            break
+        here = _met(values.where("v is not null"), going.select(*by, "lo", "hi"), by).where("x between lo and hi")
+        # halves, since the difference of two doubles may be none
+        share = (F.col("x") / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
+        here = here.withColumn("bucket", F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)))
+        counts = here.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.min("x").alias("low"), F.max("x").alias("high"))
+        counts = counts.withColumn("ahead", _before("c", *by, order="bucket"))
+        holds = lambda k: (F.col("ahead") <= F.col(k)) & (F.col(k) < F.col("ahead") + F.col("c"))
+        found = _met(counts, going.drop("lo", "hi", "left", "quantile", "done"), by).where(holds("k") | holds("k2"))
+        kept = ["c", "least", "greatest", "low", "high", "ahead"]
+        found = found.groupBy(*by, "k", "k2", "share").agg(F.min_by(F.struct(*kept), "bucket").alias("s"), F.max_by(F.struct(*kept), "bucket").alias("t"))
+        # places in two buckets are the end of one and the beginning of the other
+        apart = F.col("s.ahead") != F.col("t.ahead")
+        same = F.col("s.least") == F.col("s.greatest")
+        found = found.withColumns({"a": F.when(apart, F.col("s.greatest")).otherwise(F.col("s.least")), "b": F.when(apart, F.col("t.least")).otherwise(F.col("s.least"))})
+        state = _written(found.select(
+            *by, F.col("s.low").alias("lo"), F.col("s.high").alias("hi"), (F.col("k") - F.col("s.ahead")).alias("k"), (F.col("k2") - F.col("s.ahead")).alias("k2"), "share",
+            F.col("s.c").alias("left"), F.when(apart | same, between).alias("quantile"), (apart | same).alias("done"),
+        ), f"quantile-{at}")
+    else:
+        finished += [state.where("done"), _selected(values, state.where(~F.col("done")), by, between)]
+    out = finished[0].select(*by, "quantile")
+    for more in finished[1:]:
+        out = out.unionByName(more.select(*by, "quantile"))
+    return out.withColumnsRenamed(dict(zip(by, names)))
+
+
+def _selected(values: DataFrame, state: DataFrame, by: list[str], between: Column) -> DataFrame:
+    """Quantiles from counts of the different values in what is left of each group."""
+    here = _met(values.where("v is not null"), state.select(*by, "lo", "hi", "k", "k2", "share"), by).where("x between lo and hi")
+    counts = here.groupBy(*by, "k", "k2", "share", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("ahead", _before("c", *by, order="v"))
+    at = lambda k: F.max(F.when((F.col("ahead") <= F.col(k)) & (F.col(k) < F.col("ahead") + F.col("c")), F.col("v")))
+    return counts.groupBy(*by, "k", "k2", "share").agg(at("k").alias("a"), at("k2").alias("b")).withColumn("quantile", between)
+
+
 def wide_ranks(rows: DataFrame, by: list[str], value: str, name: str, parts: int = PARTS, large: int = LARGE) -> DataFrame:
     """``rows`` with ``average``, the average rank on [-1, 1], and ``place``, the ordinal rank from 1 with ties by ``name``;
     null where the value is. A lone value has the average 0."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.wide import exact_quantile
+
+
 def history_rows():
     return Window.partitionBy("period", "name_ix").orderBy("bar")
 
@@ -52,7 +55,7 @@ def mean_dispersion(scored: DataFrame, score: str = "score") -> DataFrame:
 def median_dispersion(scored: DataFrame, prior: float, score: str = "score") -> DataFrame:
     """(period, scale): median over bars of the deviation, drawn halfway to a prior."""
     per_bar = scored.groupBy("period", "bar").agg(F.stddev_pop(score).alias("d")).where("d > 1e-12")
-    return per_bar.groupBy("period").agg((0.5 * F.median("d") + 0.5 * prior).alias("scale"))
+    return exact_quantile(per_bar, ["period"], "d").select("period", (0.5 * F.col("quantile") + 0.5 * prior).alias("scale"))
 
 
 def equal_risk(legs: dict[str, DataFrame], panel: DataFrame, first: int, last: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import views
-from .operators.wide import as_of, running, wide_ranks
+from .operators.wide import as_of, exact_quantile, running, wide_ranks
 from .session import prepare, shared_folder
 from .streaming import histories
 
@@ -80,6 +80,18 @@ round(var_samp(l_extendedprice / 1000), 6) + 0.0e0 AS variance, round(covar_samp
 round(regr_slope(l_extendedprice / 1000, l_quantity), 6) + 0.0e0 AS slope FROM lineitem GROUP BY 1"""
 
 
+def a_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and ninth decile of the prices of each flag and status, exact."""
+    lines = prepare(spark).read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").cast("double").alias("price"))
+    by = ["l_returnflag", "l_linestatus"]
+    half, most = (exact_quantile(lines, by, "price", p, large=1 << 10) for p in (0.5, 0.9))
+    return half.withColumnRenamed("quantile", "median").join(most, by).select(*by, (F.round("median", 6) + F.lit(0.0)).alias("median"), (F.round("quantile", 6) + F.lit(0.0)).alias("decile"))
+
+
+_quantiles = """SELECT l_returnflag, l_linestatus, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 6) + 0.0e0 AS median,
+round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.9), 6) + 0.0e0 AS decile FROM lineitem GROUP BY ALL"""
+
+
 def st_history_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed in two runs, the second from the first's checkpoint: decaying mean and standing of each user."""
     events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
@@ -97,5 +109,5 @@ CASE WHEN value IS NOT NULL THEN CAST(len(list_filter(list(value) OVER (w ROWS 9
 FROM p WINDOW w AS (PARTITION BY name, part ORDER BY us, id)"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x04_wide_bar_ranks, t15_long_running_sums, j_as_of_purchase, g28_extended_statistics, st_history_scores)}
-ORACLE_SQL: dict[str, str] = {"x04_wide_bar_ranks": _x04, "t15_long_running_sums": _t15, "j_as_of_purchase": _j_as_of, "g28_extended_statistics": _g28, "st_history_scores": _st_history}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x04_wide_bar_ranks, t15_long_running_sums, j_as_of_purchase, g28_extended_statistics, a_exact_quantiles, st_history_scores)}
+ORACLE_SQL: dict[str, str] = {"x04_wide_bar_ranks": _x04, "t15_long_running_sums": _t15, "j_as_of_purchase": _j_as_of, "g28_extended_statistics": _g28, "a_exact_quantiles": _quantiles, "st_history_scores": _st_history}

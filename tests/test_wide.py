@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossbar.operators import views
-from crossbar.operators.wide import as_of, running, wide_ranks
+from crossbar.operators.wide import as_of, exact_quantile, running, wide_ranks
 from crossbar.plans.evaluate import fold_of, walk_forward
 from crossbar.sources.panel import from_wide, lineitem_panel, read_wide, wide_table
 
@@ -144,3 +144,31 @@ def test_views_are_extended_by_new_blocks_only(spark, tmp_path):
         assert got[k].n == len(g) and np.isclose(got[k].mean_x - 1e8, a.mean(), atol=1e-7)
         np.testing.assert_allclose([got[k].m_x_x, got[k].m_x_y, got[k].m_y_y], [len(g) * a.var(), ((a - a.mean()) * (b - b.mean())).sum(), len(g) * b.var()], rtol=1e-7)
         np.testing.assert_allclose([got[k]["cov"], got[k].slope], [np.cov(a, b)[0, 1], np.cov(a, b)[0, 1] / a.var(ddof=1)], rtol=1e-7)
+
+
+@pytest.mark.parametrize(("p", "large"), [(0.5, 0), (0.5, 40), (0.9, 0), (0.0, 3), (1.0, 0)])
+def test_exact_quantiles(spark, p, large):
+    rng = np.random.default_rng(3)
+    drawn = {
+        "plain": rng.normal(size=3001), "even": rng.normal(1e8, 1e-3, 2000), "ties": rng.integers(0, 3, 500).astype(float), "scales": 10.0 ** rng.uniform(-300, 300, 1000) * rng.choice([-1, 1], 1000),
+        "gap": np.array([0.0] * 50 + [1e300] * 50), "ends": np.array([-1.7e308, 1.7e308, 0.0, 5e-324, 1e-310, -5e-324, 1.0]), "one": np.array([4.0]), None: np.arange(300.0),
+        "huge": np.array([-np.inf, *range(200), np.inf]),
+    }
+    rows = [(name, float(x)) for name, xs in drawn.items() for x in xs] + [("plain", None), ("none", None)]
+    df = spark.createDataFrame(rows, "v string, x double").repartition(5)
+    got = {r.v: r.quantile for r in exact_quantile(df, ["v"], "x", p, large).collect()}
+    assert set(got) == {*drawn, "none"} and got["none"] is None
+    for name, xs in drawn.items():
+        at = p * (len(xs) - 1)
+        low = sorted(xs)[int(at)]
+        high = sorted(xs)[min(int(at) + 1, len(xs) - 1)]
+        want = low if at == int(at) else low * (1 - at % 1) + high * (at % 1)
+        assert got[name] == pytest.approx(want, rel=1e-12, abs=0), name
+
+
+def test_quantiles_of_nan_and_nothing(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, 1.0), (1, 2.0), (2, float("nan"))], "k int, x double")
+    for large in (0, 100):
+        got = {r.k: r.quantile for r in exact_quantile(df, ["k"], "x", 0.5, large).collect()}
+        assert got[1] == 2.0 and np.isnan(got[2])
+    assert exact_quantile(df.where("k > 5"), ["k"], "x").count() == 0
