@@ -7,13 +7,14 @@ subtree is skipped if its least possible distance, times ``relax``, is beyond th
 
 1. Shards are the leaves of a small tree over a bounded sample (at most SAMPLE_POINTS points a shard and
    SAMPLE_VALUES numbers); every vector is placed in one. Crowded leaves are dealt out to several shards.
-2. Each shard's tree is built once and written to the shared folder.
+2. Each shard's tree is built once and written to the shared folder as a file, each block of queries as another.
 3. Each query first visits the leaf whose centre is nearest. Its k-th best there bounds the second visit, to
    the leaves only that the triangle inequality leaves over, where the search starts from that bound.
 
 Equal vectors are one point with its k + 1 smallest ids: a larger id of the same vector can't be among the
 k nearest of any query, which loses at most its own row. A task holds one shard and one block of queries,
-whatever the size of the table.
+whatever the size of the table. A visit is a row of numbers: neither vectors nor trees are shuffled with it. Its task reads
+the tree once for PAGE blocks of queries, and of each block the queries that visit.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import materialize, prepare
+from .common import fresh_path, materialize, prepare
+from .token_store import _read as read_file
+from .token_store import _write as write_file
 
 LEAF = 256
 #: Leaves of the tree over the sample at most; sample points for each; numbers in the sample at most.
 MOST_LEAVES, SAMPLE_POINTS, SAMPLE_VALUES = 4096, 16, 8_000_000
+#: Blocks of queries for which a task reads a tree once.
+PAGE = 16
 #: Rounding that a matrix product may add to a score, as a share of the product of the norms.
 SLACK = 1e-10
 
@@ -157,8 +162,9 @@ class Search:
 # --- jobs ---------------------------------------------------------------------------------------------
 
 _FOUND = "q1 bigint, q2 bigint, vec_id bigint, score double"
-_TREE = "dim int, shard int, part int, tree binary"
-_VISIT = "q1 bigint, q2 bigint, v array<{kind}>, dim int, block int, floor double, shard int, part int"
+_TREE = "dim int, shard int, part int, points bigint"
+_BLOCK = "dim int, block int, queries bigint"
+_VISIT = "q1 bigint, q2 bigint, dim int, block int, floor double, shard int, part int"
 
 
 def _matrix(lists: pa.Array | pd.Series) -> np.ndarray:
@@ -168,34 +174,51 @@ def _matrix(lists: pa.Array | pd.Series) -> np.ndarray:
     return np.stack(lists.to_list()).astype(np.float64)
 
 
-def _build(bound: float):
+def _build(bound: float, folder: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.lexsort((pdf["least"].to_numpy(), pdf["h"].to_numpy()))]
         vectors = _matrix(pdf["v"])
         ids = [np.asarray(x, np.int64) for x in pdf["ids"]]
-        tree = VantageTree(lifted(vectors, bound))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "part": [key[2]], "tree": [pickle.dumps((tree, vectors, ids))]})
+        write_file(f"{folder}/tree-{key[0]}-{key[1]}-{key[2]}", pickle.dumps((VantageTree(lifted(vectors, bound)), vectors, ids)))
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "part": [key[2]], "points": [len(pdf)]})
 
     return run
 
 
-def _search(k: int, relax: float, bound: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"q1": [], "q2": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            tree, vectors, ids = pickle.loads(left["tree"].iloc[0])
-            floor = right["floor"].fillna(-np.inf).to_numpy(np.float64)
-            found = Search(tree, vectors, np.array([x[0] for x in ids]), _matrix(right["v"]), bound, k, relax, floor)
-            q, at = np.nonzero(found.rows >= 0)
-            members = [ids[r] for r in found.rows[q, at]]
-            sizes = np.array([len(x) for x in members], np.int64)
-            q, score, vec_id = np.repeat(q, sizes), np.repeat(found.best[q, at], sizes), np.concatenate([*members, np.zeros(0, np.int64)])
-            order = np.lexsort((vec_id, -score, q))
-            q, score, vec_id = q[order], score[order], vec_id[order]
-            top = np.arange(len(q)) - np.searchsorted(q, q) < k
-            q = q[top]
-            out = {"q1": right["q1"].to_numpy()[q], "q2": right["q2"].to_numpy()[q], "vec_id": vec_id[top], "score": score[top]}
-        return pd.DataFrame(out).astype({"q1": "int64", "q2": "int64", "vec_id": "int64", "score": "float64"})
+def _shelve(folder: str):
+    """A block of queries as a file."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["q1", "q2"])
+        write_file(f"{folder}/queries-{key[0]}-{key[1]}", pickle.dumps((pdf["q1"].to_numpy(), pdf["q2"].to_numpy(), _matrix(pdf["v"]))))
+        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [len(pdf)]})
+
+    return run
+
+
+def _search(k: int, relax: float, bound: float, folder: str):
+    held: dict = {}  # the tree of the shard at hand
+
+    def run(key: tuple, visits: pd.DataFrame) -> pd.DataFrame:
+        dim, shard, part, _, block = key
+        path = f"{folder}/tree-{dim}-{shard}-{part}"
+        if path not in held:
+            held.clear()
+            held[path] = pickle.loads(read_file(path))
+        tree, vectors, ids = held[path]
+        q1, q2, asked = pickle.loads(read_file(f"{folder}/queries-{dim}-{block}"))
+        asked = asked[pd.MultiIndex.from_arrays([q1, q2]).get_indexer(pd.MultiIndex.from_frame(visits[["q1", "q2"]]))]
+        floor = visits["floor"].fillna(-np.inf).to_numpy(np.float64)
+        found = Search(tree, vectors, np.array([x[0] for x in ids]), asked, bound, k, relax, floor)
+        q, at = np.nonzero(found.rows >= 0)
+        members = [ids[r] for r in found.rows[q, at]]
+        sizes = np.array([len(x) for x in members], np.int64)
+        q, score, vec_id = np.repeat(q, sizes), np.repeat(found.best[q, at], sizes), np.concatenate([*members, np.zeros(0, np.int64)])
+        order = np.lexsort((vec_id, -score, q))
+        q, score, vec_id = q[order], score[order], vec_id[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q = q[top]
+        return pd.DataFrame({"q1": visits["q1"].to_numpy()[q], "q2": visits["q2"].to_numpy()[q], "vec_id": vec_id[top], "score": score[top]})
 
     return run
 
@@ -246,8 +269,8 @@ def _visits(dim: int, shards: int, bound: float, centres: np.ndarray, spans: np.
             times = np.where(dims[at] == dim, parts[np.minimum(shard, len(parts) - 1)], 1)
             part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             at, shard = pa.array(np.repeat(at, times)), pa.array(np.repeat(shard, times).astype(np.int32))
-            columns = [batch.column(c).take(at) for c in ("q1", "q2", "v", "dim", "block", "floor")]
-            yield pa.RecordBatch.from_arrays([*columns, shard, pa.array(part.astype(np.int32))], names=["q1", "q2", "v", "dim", "block", "floor", "shard", "part"])
+            names = ["q1", "q2", "dim", "block", "floor"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), shard, pa.array(part.astype(np.int32))], names=[*names, "shard", "part"])
 
     return run
 
@@ -296,6 +319,8 @@ def nearest(
     blocks = max(1, -(-query.count() // block_rows))
     query = query.withColumns({"block": F.pmod("q1", F.lit(blocks)).cast("int"), "floor": F.lit(None).cast("double")})
     query = materialize(query, "queries")
+    folder = fresh_path(vectors.sparkSession, "vantage")
+    query.select("dim", "block", "q1", "q2", "v").groupBy("dim", "block").applyInPandas(_shelve(folder), _BLOCK).agg(F.sum("queries")).collect()
 
     leaves = min(shards, MOST_LEAVES)
     some = classes.where(F.col("dim") == dim).orderBy("h", "least").limit(max(1, min(leaves * SAMPLE_POINTS, SAMPLE_VALUES // max(1, dim))))
@@ -314,15 +339,14 @@ def nearest(
     placed = placed.withColumn("shard", F.when(routed, F.col("leaf")).otherwise(F.pmod("h", F.lit(shards))).cast("int"))
     placed = placed.withColumn("part", F.when(routed, F.pmod("h", several)).otherwise(0).cast("int"))
     trees = placed.select("dim", "shard", "part", "h", "least", "ids", "v").groupBy("dim", "shard", "part")
-    trees = materialize(trees.applyInPandas(_build(bound), _TREE), "trees")
+    trees = materialize(trees.applyInPandas(_build(bound, folder), _TREE), "trees")
 
     def visit(asking: DataFrame, first: bool) -> DataFrame:
-        schema = _VISIT.format(kind=query.schema["v"].dataType.elementType.simpleString())
-        made = asking.select("q1", "q2", "v", "dim", "block", "floor").mapInArrow(_visits(dim, shards, bound, centres, spans, parts, relax, first), schema)
-        made = materialize(made, "visits")
-        keys = ["dim", "shard", "part", "block"]
-        met = trees.join(made.select(*[F.col(c).alias(c) for c in keys]).distinct(), keys[:3])
-        found = met.groupBy(*keys).cogroup(made.groupBy(*keys)).applyInPandas(_search(k + 1, relax, bound), _FOUND)
+        made = asking.select("q1", "q2", "v", "dim", "block", "floor").mapInArrow(_visits(dim, shards, bound, centres, spans, parts, relax, first), _VISIT)
+        made = materialize(made, "visits").withColumn("page", F.floor(F.col("block") / PAGE).cast("int"))
+        shard = ["dim", "shard", "part"]
+        met = made.join(trees, shard, "left_semi").repartition(*shard, "page")
+        found = met.groupBy(*shard, "page", "block").applyInPandas(_search(k + 1, relax, bound, folder), _FOUND)
         return materialize(_best(found, k + 1), "found")
 
     top = visit(query, True)
