@@ -38,6 +38,8 @@ LEAF = 256
 MOST_LEAVES, SAMPLE_POINTS, SAMPLE_VALUES = 4096, 16, 8_000_000
 #: Blocks of queries for which a task reads a tree once.
 PAGE = 16
+#: Tasks of a search at most; each has one tree and page or several.
+MOST_TASKS = 1 << 14
 #: Rounding that a matrix product may add to a score, as a share of the product of the norms.
 SLACK = 1e-10
 
@@ -341,11 +343,14 @@ def nearest(
     trees = placed.select("dim", "shard", "part", "h", "least", "ids", "v").groupBy("dim", "shard", "part")
     trees = materialize(trees.applyInPandas(_build(bound, folder), _TREE), "trees")
 
+    # a stated number: visits are few bytes and much work, and would be put together by size
+    tasks = min(MOST_TASKS, max(1, trees.count()) * -(-blocks // PAGE))
+
     def visit(asking: DataFrame, first: bool) -> DataFrame:
         made = asking.select("q1", "q2", "v", "dim", "block", "floor").mapInArrow(_visits(dim, shards, bound, centres, spans, parts, relax, first), _VISIT)
         made = materialize(made, "visits").withColumn("page", F.floor(F.col("block") / PAGE).cast("int"))
         shard = ["dim", "shard", "part"]
-        met = made.join(trees, shard, "left_semi").repartition(*shard, "page")
+        met = made.join(trees, shard, "left_semi").repartition(tasks, *shard, "page")
         found = met.groupBy(*shard, "page", "block").applyInPandas(_search(k + 1, relax, bound, folder), _FOUND)
         return materialize(_best(found, k + 1), "found")
 
