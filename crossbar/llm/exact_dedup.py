@@ -1,10 +1,12 @@
 """Operator 9: exact deduplication by a log-structured merge index, in DataFrame operations only.
 
     flush    every input split is a memtable: its (digest, row) entries are sorted and written as one run, whose
-             Parquet minima, maxima and Bloom filters of the digest serve lookups (``lookup``); no shuffle
-    compact  runs merge into the next level: one entry a digest with the smallest identifier and the number of rows
-             (map-side combine first). Of a level that exists, only entries that a blocked Bloom filter of the new
-             runs passes are merged again; the others are carried over as they are
+             Parquet minima, maxima and Bloom filters of the digest serve lookups (``lookup``); no shuffle. Runs
+             are dealt into BATCHES batches
+    compact  a batch of runs merges into the next level: one entry a digest with the smallest identifier and the
+             number of rows (map-side combine first). Entries of the level that a blocked Bloom filter of the batch
+             passes, and entries of the batch that a filter of those passes, are merged; all others, of either
+             side, are carried over as they are. So a level is made of the one before it, batch by batch
     verify   texts whose digest is shared are compared byte by byte: the least and the greatest text
              of a digest are equal exactly if all are; partial aggregation makes a hot digest cheap
     resolve  digests that turn out to hold different texts are grouped by the text itself
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import DROP_KEY, Scratch, drop_rows, fresh_path, materialize, prepare
+from .common import DROP_KEY, Scratch, drop_rows, materialize, prepare
 
 #: A digest with more than this share of the rows is hot; so there are at most as many hot digests.
 HOT_SHARE = 512
-_RUN = "doc_id bigint, batch int, row bigint, digest binary, text_sha256 string"
+#: Batches of runs, and so levels: an entry is written some (BATCHES + 1) / 2 times.
+BATCHES = 4
+_RUN = "doc_id bigint, batch int, row bigint, digest binary, text_sha256 string, memtable int"
 _LEVEL = "digest binary, keep struct<no_id:boolean,doc_id:bigint,batch:int,row:bigint>, group_size bigint"
 
 
@@ -51,24 +55,37 @@ def _numbered(rows: DataFrame, batch: int) -> DataFrame:
 def flush(docs: DataFrame, folder: str, digest_bytes: int = 32, batch: int = 0) -> DataFrame:
     """Write sorted digest runs, one for each input split; the rows are numbered there once and for all."""
     rows = _numbered(_digested(docs, digest_bytes), batch)
-    rows = rows.select("doc_id", "batch", "row", "digest", "text_sha256").sortWithinPartitions("digest", "doc_id")
-    rows.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
+    # the upper bits of the number are the split's
+    rows = rows.withColumn("memtable", F.pmod(F.shiftright("row", 33), F.lit(BATCHES)).cast("int"))
+    rows = rows.select("doc_id", "batch", "row", "digest", "text_sha256", "memtable").sortWithinPartitions("memtable", "digest", "doc_id")
+    rows.write.partitionBy("memtable").option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
     return docs.sparkSession.read.schema(_RUN).parquet(folder)
 
 
+def _written(level: DataFrame, folder: str) -> DataFrame:
+    level.write.parquet(folder)
+    return level.sparkSession.read.schema(_LEVEL).parquet(folder)
+
+
+def _flagged(entries: DataFrame, others: DataFrame) -> DataFrame:
+    """Entries with ``maybe``: whether a filter of the others' digests passes theirs."""
+    blocks = bloom.block_count(others.count())
+    return bloom.possible(entries, F.col("digest"), bloom.build(others, "digest", blocks), blocks, "maybe")
+
+
 def compact(runs: DataFrame, folder: str, level: DataFrame | None = None) -> DataFrame:
     """Merge runs, and the level before them if there is one, into a new level. Of equal identifiers in several
     batches that of the first stays."""
     spark = runs.sparkSession
     fresh = runs.groupBy("digest").agg(_first().alias("keep"), F.count(F.lit(1)).alias("group_size"))
     if level is not None:
-        fresh.write.parquet(f"{folder}-fresh")
-        fresh = spark.read.schema(_LEVEL).parquet(f"{folder}-fresh")
-        blocks = bloom.block_count(fresh.count())
-        flagged = bloom.possible(level, F.col("digest"), bloom.build(fresh, "digest", blocks), blocks, "maybe")
-        both = fresh.unionByName(flagged.where("maybe").drop("maybe"))
+        fresh = _written(fresh, f"{folder}-fresh")
+        held = _flagged(level, fresh)
+        met = _written(held.where("maybe").drop("maybe"), f"{folder}-met")
+        new = _flagged(fresh, met)
+        both = met.unionByName(new.where("maybe").drop("maybe"))
         merged = both.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
-        fresh = merged.unionByName(flagged.where("not maybe").drop("maybe"))
+        fresh = merged.unionByName(held.where("not maybe").drop("maybe")).unionByName(new.where("not maybe").drop("maybe"))
     fresh.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
     return spark.read.schema(_LEVEL).parquet(folder)
 
@@ -107,9 +124,15 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     makes collisions likely; the result is the same.
     """
     spark: SparkSession = prepare(docs.sparkSession)
-    folder = fresh_path(spark, "digest-log")
-    runs = flush(docs, f"{folder}/runs", digest_bytes)
-    hits = compact(runs, f"{folder}/level1").where("group_size > 1")
+    log = Scratch(spark, "digest-log")
+    runs = flush(docs, f"{log.folder}/runs", digest_bytes)
+    batches = sorted(r[0] for r in runs.select("memtable").distinct().collect())  # BATCHES at most
+    level = None
+    for k, batch in enumerate(batches or [0]):
+        before, level = level, compact(runs.where(F.col("memtable") == batch), f"{log.folder}/level{k}", level)
+        if before is not None:  # nothing reads what the new level was made of
+            log.drop(f"level{k}-fresh", f"level{k}-met", f"level{k - 1}")
+    runs, hits = runs.drop("memtable"), level.where("group_size > 1")
     total, n_hits = runs.count(), hits.count()
     found = _assigned(runs, hits, "digest", total)
     if n_hits:

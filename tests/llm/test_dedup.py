@@ -44,6 +44,25 @@ def test_exact_dedup(spark, digest_bytes):
     assert all(r.doc_id == r.keep_id for r in rows if r.kept)
 
 
+@pytest.mark.parametrize("splits", [1, 3, 9])
+def test_levels_of_the_query(spark, monkeypatch, splits):
+    from crossbar.llm import exact_dedup as module
+
+    made = []
+    monkeypatch.setattr(module, "compact", lambda runs, folder, level=None: made.append(level) or compact(runs, folder, level))
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(300)]), f"copy {rng.randint(0, 9)}" if rng.random() < 0.4 else f"text {rng.randint(0, 900)}") for _ in range(900)]
+    got = exact_dedup(frame(spark, rows).repartition(splits)).collect()
+    assert len(made) == min(splits, module.BATCHES) and made[0] is None and all(x is not None for x in made[1:])
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(hashlib.sha256(t.encode()).hexdigest(), []).append(i)
+    want = {d: (min((i for i in g if i is not None), default=None), len(g)) for d, g in groups.items()}
+    assert len(got) == len(rows) and all((r.keep_id, r.group_size) == want[r.text_sha256] for r in got)
+    assert sorted(r.text_sha256 for r in got if r.kept) == sorted(want)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_dropping(spark):
     left = drop_exact_duplicates(frame(spark, TEXTS))
     assert left.columns == ["doc_id", "text", "keep_id", "digest", "kept"]
