@@ -27,6 +27,8 @@ from .common import DROP_KEY, Scratch, drop_rows, materialize, prepare
 HOT_SHARE = 512
 #: Batches of runs, and so levels: an entry is written some (BATCHES + 1) / 2 times.
 BATCHES = 4
+#: Files have a filter of their digests, fitted to their number (without that, a megabyte a file).
+_FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 _RUN = "doc_id bigint, batch int, row bigint, digest binary, text_sha256 string, memtable int"
 _LEVEL = "digest binary, keep struct<no_id:boolean,doc_id:bigint,batch:int,row:bigint>, group_size bigint"
 
@@ -58,7 +60,7 @@ def flush(docs: DataFrame, folder: str, digest_bytes: int = 32, batch: int = 0)
     # the upper bits of the number are the split's
     rows = rows.withColumn("memtable", F.pmod(F.shiftright("row", 33), F.lit(BATCHES)).cast("int"))
     rows = rows.select("doc_id", "batch", "row", "digest", "text_sha256", "memtable").sortWithinPartitions("memtable", "digest", "doc_id")
-    rows.write.partitionBy("memtable").option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
+    rows.write.partitionBy("memtable").options(**_FILTER).parquet(folder)
     return docs.sparkSession.read.schema(_RUN).parquet(folder)
 
 
@@ -86,7 +88,7 @@ def compact(runs: DataFrame, folder: str, level: DataFrame | None = None) -> Dat
         both = met.unionByName(new.where("maybe").drop("maybe"))
         merged = both.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
         fresh = merged.unionByName(held.where("not maybe").drop("maybe")).unionByName(new.where("not maybe").drop("maybe"))
-    fresh.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(folder)
+    fresh.sortWithinPartitions("digest").write.options(**_FILTER).parquet(folder)
     return spark.read.schema(_LEVEL).parquet(folder)
 
 
