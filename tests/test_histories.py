@@ -44,6 +44,17 @@ def test_restarted_streams_give_the_scores_of_one_pass(spark, tmp_path, parts):
     assert sorted(got) == by_hand(rows)
 
 
+def test_names_of_a_group_share_calls_and_frames(spark, tmp_path, monkeypatch):
+    """A call a group, not a name: names of one group settle in one frame, with the scores of histories on their own."""
+    rows = drawn(300, 40)
+    monkeypatch.setattr(histories, "FEWEST", 3)
+    found = histories.replay(spark, table(spark, rows), str(tmp_path / "g"), HALF, W, IDLE, 2)
+    got = [(r["name"], r["id"], r["at"], r["n"], None if r["mean"] is None else round(r["mean"], 6), r["below"]) for r in found.collect()]
+    assert sorted(got) == by_hand(rows)
+    state = spark.read.format("statestore").option("stateVarName", "names").load(str(tmp_path / "g" / "checkpoint"))
+    assert state.count() <= 3
+
+
 def test_rows_that_say_nothing(spark, tmp_path):
     assert histories.replay(spark, table(spark, []), str(tmp_path / "none"), HALF, W, IDLE).count() == 0
     odd = table(spark, [(None, 1, 5, 1.0), (1, None, 6, 2.0), (1, 2, None, 3.0), (1, 3, 7, None)])
