@@ -37,6 +37,8 @@ MARKS = 1024
 #: first in the order of prefixes, among themselves by how many sets have them, and 64-bit words of the parity
 #: fingerprint that pairs are compared by where they meet.
 LEADS, COUNTED, SKETCH = 6, 0.3, 8
+#: Differing bits up to which fingerprints of shingle sets are linked by the index.
+RADIUS = 3
 #: First shingles of a prefix that later ones of it are checked against, so that a pair is met about once.
 HEAD = 8
 
@@ -171,6 +173,40 @@ class Forest:
                 root[:] = up
 
 
+    def hook(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Links too; the numbers of those given links that span what was apart before."""
+        root, at, used = self.root, np.arange(len(a)), [np.zeros(0, np.int64)]
+        while True:
+            x, y = root[a[at]], root[b[at]]
+            differ = x != y
+            if not differ.any():
+                return np.concatenate(used)
+            at, low, high = at[differ], np.minimum(x, y)[differ], np.maximum(x, y)[differ]
+            high, first = np.unique(high, return_index=True)
+            root[high] = low[first]
+            used.append(at[first])
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+
+
+def _cell_pairs(k: int):
+    """Spanning edges of one task, each of which is a link itself: what is to be verified."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = pdf["bits"].to_numpy(np.int64).view(np.uint64)
+        left = np.flatnonzero(pdf["side"].to_numpy() != 1)
+        right = np.flatnonzero(pdf["side"].to_numpy() != 0)
+        forest, ids, found = Forest(len(bits)), pdf["node"].to_numpy(np.int64), []
+        for q, p in GrayTree(bits[left]).within(bits[right], k):
+            a, b = right[q], left[p]
+            used = forest.hook(a, b)
+            found.append(np.stack([ids[a[used]], ids[b[used]]]))
+        u, v = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return run
+
+
 def _cell_links(k: int):
     """Spanning edges of one task."""
 
@@ -212,14 +248,14 @@ def _gray() -> F.Column:
     return rank
 
 
-def link_edges(prints: DataFrame, k: int = 2, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def link_edges(prints: DataFrame, k: int = 2, cell: int = CELL, block: int = BLOCK, kernel=_cell_links) -> DataFrame:
     """Edges (u, v) that span every component of fingerprints at ``k`` or fewer differing bits.
 
-    ``prints`` has distinct ``bits`` with their ``node`` numbers.
+    ``prints`` has distinct ``bits`` with their ``node`` numbers. With ``_cell_pairs`` each edge is such a link itself.
     """
     n = prints.count()
     route_bits = max(0, int(np.ceil(np.log2(max(1, n / cell)))))
-    return _link_cells(_cells(prints, k, route_bits), _cell_links(k), k, block)
+    return _link_cells(_cells(prints, k, route_bits), kernel(k), k, block)
 
 
 def _link_cells(routed: DataFrame, kernel, k: int, block: int) -> DataFrame:
@@ -345,6 +381,12 @@ def near_duplicates(docs: DataFrame, k: int = 2, words: int = 3) -> DataFrame:
 # --- similar texts ------------------------------------------------------------------------------------
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """Bits that are set in over half of a set's shingle hashes (unsigned); none of no shingles."""
+    packed = shingles.astype(">u8").view(np.uint8).reshape(len(shingles), 8)
+    return int.from_bytes(majority([packed]).tobytes(), "big") if len(shingles) else 0
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
@@ -395,12 +437,13 @@ def _profiles(words: int, similarity: float):
             leads = [((x[:, None] ^ (x[:, None] >> np.uint64(29))) * mixes).min(axis=0) if len(x) else x for x in sets]
             tokens, counted, reach = zip(*(candidates(x, similarity) for x in sets)) if sets else ((), (), ())
             odd = [parities(x) for x in sets]
+            bits = np.array([set_fingerprint(x) for x in sets], np.uint64).view(np.int64)
             brief = np.array([folded(x, 1)[0] for x in odd], np.uint64).view(np.int64)
             n = pa.array([len(x) for x in sets], pa.int32())
-            cols = [batch.column(0), batch.column(2), _nodes(sets), n, pa.array(brief), _lists(odd), _lists(leads)]
+            cols = [batch.column(0), batch.column(2), _nodes(sets), n, pa.array(bits), pa.array(brief), _lists(odd), _lists(leads)]
             sketch = [folded(parities(x, SKETCH), SKETCH) for x in sets]
             cols += [pa.array(counted, pa.int32()), pa.array(reach, pa.int32()), _lists(sketch), _lists(list(tokens))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "brief", "odd", "leads", "counted", "reach", "sketch", "tokens"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "bits", "brief", "odd", "leads", "counted", "reach", "sketch", "tokens"])
 
     return run
 
@@ -464,16 +507,33 @@ def _verified(pairs: DataFrame, profiles: DataFrame, view: DataFrame, classes: D
     return edges
 
 
-def _lead_pairs(profiles: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Pairs (u, v) of each set with one set of those that agree in one of LEADS least hashes: a few a row."""
-    columns = ("node", "n", "brief")
+def _print_pairs(profiles: DataFrame, similarity: float, k: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of sets by their fingerprints: each set with one of the same fingerprint, and those along a forest
+    of the fingerprints at ``k`` or fewer differing bits, which the Gray-order index finds."""
+    columns = ("set", "n", "brief")
+    sets = profiles.select("bits", F.col("node").alias("set"), "n", "brief")
+    heads = sets.groupBy("bits").agg(F.min(F.struct(*columns)).alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = scratch.write(heads.select(F.col("bits").alias("node"), "head.*", "size"), "print-heads")
+    total = heads.count()
+    links = scratch.write(link_edges(heads.select("node", F.col("node").alias("bits")), k, kernel=_cell_pairs).distinct(), "print-links")
+    forest = _both_ends(links, heads, columns, total).drop("u", "v")
+    shared = heads.where("size > 1").select(F.col("node").alias("bits"), *(F.col(c).alias(c + "2") for c in columns))
+    same = join_spread(sets.select("bits", *(F.col(c).alias(c + "1") for c in columns)), shared, "bits", max(1, profiles.count()))
+    met = forest.unionByName(same.drop("bits")).where(_fits(similarity)[0] & (F.col("set1") != F.col("set2")))
+    return met.select(F.greatest("set1", "set2").alias("u"), F.least("set1", "set2").alias("v"), F.lit(True).alias("long"))
+
+
+def _lead_pairs(profiles: DataFrame, similarity: float, k: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of each set with one set of those that agree in one of LEADS least hashes, where fingerprints
+    differ in more than ``k`` bits: a few a row."""
+    columns = ("node", "n", "bits", "brief")
     keyed = profiles.select(*columns, F.posexplode("leads").alias("part", "lead"))
     keyed = scratch.write(keyed.select(F.col("lead").alias("key"), *(F.col(c).alias(c + "1") for c in columns)), "leads")
-    chosen = F.min_by(F.struct("node1", "n1", "brief1"), F.xxhash64("node1", "key")).alias("head")
+    chosen = F.min_by(F.struct(*(c + "1" for c in columns)), F.xxhash64("node1", "key")).alias("head")
     heads = keyed.groupBy("key").agg(chosen, F.count(F.lit(1)).alias("size")).where("size > 1")
     heads = heads.select("key", *(F.col("head")[c + "1"].alias(c + "2") for c in columns))
     met = join_spread(keyed, scratch.write(heads, "heads"), "key", max(1, keyed.count()))
-    met = met.where(_fits(similarity)[0] & (F.col("node1") != F.col("node2")))
+    met = met.where(_fits(similarity)[0] & (F.col("node1") != F.col("node2")) & (F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) > k))
     return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v"), F.lit(True).alias("long"))
 
 
@@ -544,8 +604,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     Every link is verified on the shingle sets (64-bit hashes), and none is missed:
 
-    1. Each set is compared with one set of those that agree in a least hash. This only joins most copies early.
-    2. Sets of this similarity share a shingle of their prefixes in any fixed order of shingles. Here those with a low
+    1. Each set has a SimHash fingerprint. The Gray-order index of ``near_duplicates`` links those at RADIUS or fewer
+       differing bits, and each pair of its forest is compared exactly.
+    2. No radius takes all sets of this similarity, so the rest has an exact way. Beyond RADIUS each set is compared
+       with one of those that agree in a least hash, which joins most copies early.
+    3. Sets of this similarity share a shingle of their prefixes in any fixed order of shingles. Here those with a low
        hash come first: those that no two components have (they make nothing meet), then the others by the number
        of sets that have them, so texts don't meet by a passage that many share. All pairs across components that
        meet are compared, but for those that exact bounds rule out: sizes, places in the order, and parities of the
@@ -558,18 +621,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     scratch = Scratch(spark, "similar")
     view = documents_view(docs).withColumn("text_hash", F.xxhash64("text"))
     total = view.count()
-    schema = "doc_id bigint, text_hash bigint, node bigint, n int, brief bigint, odd array<bigint>, leads array<bigint>, counted int, reach int, sketch array<bigint>, tokens array<bigint>"
+    schema = "doc_id bigint, text_hash bigint, node bigint, n int, bits bigint, brief bigint, odd array<bigint>, leads array<bigint>, counted int, reach int, sketch array<bigint>, tokens array<bigint>"
     rows = scratch.write(view.mapInArrow(_profiles(words, similarity), schema), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = scratch.write(rows.groupBy("node").agg(first.alias("least")), "classes")
     profiles = rows.drop("doc_id", "text_hash")
     if classes.count() < total:  # sets that several rows have are one profile
         profiles = scratch.write(profiles.groupBy("node").agg(*(F.any_value(c).alias(c) for c in profiles.columns if c != "node")), "profiles")
-    edges = _verified(_lead_pairs(profiles, similarity, scratch), profiles, view, classes, words, similarity, scratch, "first")
-    scratch.drop("leads", "heads")
+    early = _print_pairs(profiles, similarity, RADIUS, scratch).unionByName(_lead_pairs(profiles, similarity, RADIUS, scratch))
+    edges = _verified(early, profiles, view, classes, words, similarity, scratch, "first")
+    scratch.drop("leads", "heads", "print-heads", "print-links")
     found = components(edges)
     found = scratch.write(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "found")
-    placed = _with_component(profiles.drop("leads", "odd"), found)
+    placed = _with_component(profiles.drop("leads", "odd", "bits"), found)
     edges = edges.unionByName(_verified(_open_pairs(placed, similarity, cell, scratch), profiles, view, classes, words, similarity, scratch, "second"))
     scratch.drop("members", "found", "profiles")
     named = _named(classes, components(edges), "node")

@@ -129,6 +129,32 @@ def test_a_shared_passage_does_not_make_texts_meet(spark, monkeypatch):
     assert met["mixed"].count() > 5 and met["second-met"].count() < 20
 
 
+def test_the_fingerprint_index_links_near_copies(spark, monkeypatch):
+    """Without the way for the rest, the links are those of fingerprints at RADIUS or fewer differing bits, verified."""
+    rng = random.Random(29)
+    texts = [" ".join(invented(rng, 9))] * 2
+    for i in range(60):
+        words = invented(rng, 200)
+        texts += [" ".join(words), " ".join(copy_of(words, 0.95, 0.99, rng)), " ".join(copy_of(words, 0.80, 0.85, rng))]
+    rows = list(enumerate(texts))
+    prints = [simhash.set_fingerprint(shingle_set(t.encode(), 5)) for t in texts]
+    sets = [shingles(t) for t in texts]
+    want = {i: i for i, _ in rows}
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS:
+                assert jaccard(sets[a], sets[b]) >= 0.8
+                want = {i: want[b] if c == want[a] else c for i, c in want.items()}
+    least = {}
+    for i, c in want.items():
+        least.setdefault(c, i)
+    assert len(least) < len(rows) - 20
+    none = lambda *a: spark.createDataFrame([], "u bigint, v bigint, long boolean")
+    monkeypatch.setattr(simhash, "_lead_pairs", none)
+    monkeypatch.setattr(simhash, "_open_pairs", none)
+    assert components(frame(spark, rows)) == {i: least[c] for i, c in want.items()}
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     """The kept documents hang on links near the threshold and on the least doc_id of each component."""
     pipeline = pytest.importorskip("corpus_pipeline")
